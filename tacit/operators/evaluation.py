@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tacit.functions import dot, draw, draw_below
-from tacit.scratch import materialize
+from tacit.scratch import materialize, spread
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
 DRAWS_PER_NEGATIVE = 2
 DRAWS_GROWTH = 4
-# Items per task row when all items must be listed for a user who has seen nearly all of them.
-LISTING_SPAN = 10_000
+# Numbers that one row is expanded to at a time.
+NUMBER_SPAN = 10_000
 
 
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -56,13 +56,22 @@ def negative_candidates(
     return truth.unionByName(false)
 
 
+def _numbered(cases: DataFrame, count: int, name: str) -> DataFrame:
+    """Each case with the numbers 0..count-1, made in spans so that no row or task grows with it."""
+    if count <= NUMBER_SPAN:
+        numbers = F.sequence(F.lit(0), F.lit(count - 1))
+        return spread(cases, "user_idx").select("*", F.explode(numbers).alias(name))
+    low = F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(NUMBER_SPAN))).alias("_low")
+    high = F.least(F.col("_low") + NUMBER_SPAN, F.lit(count)) - 1
+    spans = spread(cases.select("*", low), *cases.columns, "_low")
+    return spans.select(*cases.columns, F.explode(F.sequence(F.col("_low"), high)).alias(name))
+
+
 def _draws(cases: DataFrame, n_items: int, n: int, seed: int) -> DataFrame:
     item = draw_below(
         F.lit(n_items), F.col("user_idx"), F.col("true_item"), F.col("j"), seed=seed
     )
-    return cases.select(
-        "user_idx", "true_item", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")
-    ).select("user_idx", "true_item", "j", item.cast("int").alias("item_idx"))
+    return _numbered(cases, n, "j").select("*", item.cast("int").alias("item_idx"))
 
 
 def _without_seen(pool: DataFrame, seen: DataFrame) -> DataFrame:
@@ -82,6 +91,7 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
 
     A case still short after about ``n_items`` draws belongs to a user who has seen nearly all
     items, so listing all items for it costs no more than reading that user's own history.
+    Listed items are taken in the order of a draw of their own.
     """
     key = ["user_idx", "true_item"]
     todo = materialize(cases, "cases")
@@ -108,37 +118,12 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
         if not left:
             return done.select("user_idx", "item_idx")
         todo, n_draws = short, n_draws * DRAWS_GROWTH
-    listed = _listing(todo, n_items)
-    drawn = (
-        _draws(todo, n_items, n_draws, seed)
-        .groupBy("user_idx", "true_item", "item_idx")
-        .agg(F.min("j").cast("bigint").alias("j"))
-    )
-    rest = F.lit(n_draws) + draw(
-        F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed
-    )
-    ordered = (
-        _without_seen(listed, seen)
-        .join(drawn, [*key, "item_idx"], "left")
-        .withColumn("j", F.coalesce("j", rest))
-    )
-    last = _first(ordered, n).select("user_idx", "item_idx")
+    order = draw(F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed)
+    listed = _without_seen(_numbered(todo, n_items, "item_idx"), seen).withColumn("j", order)
+    last = _first(listed, n).select("user_idx", "item_idx")
     return last if done is None else done.select("user_idx", "item_idx").unionByName(last)
 
 
-def _listing(cases: DataFrame, n_items: int) -> DataFrame:
-    """Every item for every case, produced in spans so that no row or task grows with the items."""
-    spans = cases.select(
-        "user_idx",
-        "true_item",
-        F.explode(F.sequence(F.lit(0), F.lit(n_items - 1), F.lit(LISTING_SPAN))).alias("low"),
-    ).repartition("user_idx", "true_item", "low")
-    high = F.least(F.col("low") + LISTING_SPAN, F.lit(n_items)) - 1
-    return spans.select(
-        "user_idx", "true_item", F.explode(F.sequence("low", high)).cast("int").alias("item_idx")
-    )
-
-
 def rank_candidates(scored: DataFrame) -> DataFrame:
     """Rank within a user by score; ties go to the lower item, then to the true row.
 

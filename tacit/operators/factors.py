@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tacit.functions import normal, uniform
+from tacit.scratch import spread
 
 # Upper end of the uniform start and deviation of the normal start.
 UNIFORM_SCALE = 0.01
@@ -37,7 +38,7 @@ def init_factors(
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)), lambda f: element(f).cast(storage)
     )
-    return entities.select(col).distinct().select(col, vector.alias("factors"))
+    return spread(entities.select(col).distinct(), col).select(col, vector.alias("factors"))
 
 
 def matrix_of(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tacit.scratch import materialize
+from tacit.scratch import materialize, task_width
 
 # Fixed value: bytes of counterpart vectors that a block may pull into one task.
 BLOCK_BYTES = 1 << 27
@@ -105,8 +105,7 @@ def build_layout(
     spark = pairs.sparkSession
     slots = spark.sparkContext.defaultParallelism
     n_blocks = max(math.ceil(n_pairs / block_pairs), BLOCKS_PER_SLOT * slots)
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots)
-    width = min(n_blocks, max(width, n_blocks // BLOCKS_PER_SLOT))
+    width = min(n_blocks, max(task_width(spark), n_blocks // BLOCKS_PER_SLOT))
     chunk_pairs = chunk_pairs or max(1, block_pairs // 4)
 
     large = materialize(

@@ -63,3 +63,18 @@ def store(df: DataFrame, name: str) -> Stored:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`store`, for tables that live as long as the session's folder."""
     return store(df, name).frame
+
+
+def task_width(spark: SparkSession) -> int:
+    """Partitions that keep every slot busy: the shuffle width, or the slots if there are more."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition a narrow table before a step that multiplies its rows or work.
+
+    Adaptive execution sizes partitions by their bytes and would leave such a step to few tasks;
+    an explicit number is kept as it is.
+    """
+    return df.repartition(task_width(df.sparkSession), *cols)
