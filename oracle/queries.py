@@ -134,8 +134,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "threshold_filter_k20": sql.query(RAW, threshold(20)),
         "kcore_k20": sql.query(RAW | sql.core(20), "SELECT user_id, item_id FROM core"),
-        "kcore_events_k25": sql.query(
-            EVENTS | sql.core(25, 8), "SELECT user_id, item_id FROM core"
+        "kcore_events_k60": sql.query(
+            EVENTS | sql.core(60, 8), "SELECT user_id, item_id FROM core"
         ),
         "top_n_filter_500": sql.query(
             RAW,

@@ -267,7 +267,7 @@ def unseen(n_items: str, draws: int, n: int = 99) -> dict[str, str]:
     return {
         "drawn": f"SELECT t.user_idx, t.item_idx AS truth, {item} AS item_idx, min(j) AS j"
         f" FROM test t CROSS JOIN (SELECT unnest(range({draws})) AS j) GROUP BY 1, 2, 3",
-        "fresh": "SELECT d.*, row_number() OVER (PARTITION BY user_idx, truth ORDER BY j) AS at"
+        "fresh": "SELECT d.*, row_number() OVER (PARTITION BY user_idx, truth ORDER BY j) AS pos"
         " FROM drawn d ANTI JOIN train USING (user_idx, item_idx) WHERE item_idx <> truth",
         "candidates": "SELECT user_idx, item_idx, 1 AS is_true FROM test UNION ALL"
         f" SELECT user_idx, item_idx, 0 FROM fresh WHERE pos <= {n}",

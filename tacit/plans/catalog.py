@@ -146,12 +146,12 @@ def kcore_k20(spark, sf_dir):
 
 
 @registered
-def kcore_events_k25(spark, sf_dir):
+def kcore_events_k60(spark, sf_dir):
     """Users and the values of their events: a second, denser source."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id")
     )
-    return kcore(materialize(events, "events"), "user_id", "item_id", 25)
+    return kcore(materialize(events, "events"), "user_id", "item_id", 60)
 
 
 @registered
