@@ -5,27 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tacit.functions import dot, draw, draw_below
-from tacit.scratch import materialize, spread
+from tacit.scratch import materialize, spread, store
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
 DRAWS_PER_NEGATIVE = 2
 DRAWS_GROWTH = 4
+# Largest factor table, at eight bytes an element, that scoring broadcasts.
+BROADCAST_BYTES = 64 << 20
 # Numbers that one row is expanded to at a time.
 NUMBER_SPAN = 10_000
 
 
+def attach(pairs: DataFrame, factors: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """Join vectors to pairs as ``name``; also returns the vector length.
+
+    Generated pairs look small to the planner, which counts the rows before they are multiplied.
+    So the choice is made here: a factor table of checked size is broadcast, a larger one is
+    merged, where adaptive execution splits skewed keys.
+    """
+    size = factors.agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("factors")).alias("width")
+    ).first()
+    width = size.width or 0
+    table = factors.select(key, F.col("factors").alias(name))
+    if size.rows * width * 8 <= BROADCAST_BYTES:
+        return pairs.join(F.broadcast(table), key), width
+    return pairs.join(table.hint("merge"), key), width
+
+
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Add ``score`` = inner product; pairs without both vectors drop out.
 
     A NaN score is an error: it would sort before every number and look like a perfect rank.
     """
-    score = dot(F.col("p_factors"), F.col("q_factors"))
-    score = F.when(F.isnan(score), F.raise_error(F.lit("score is NaN"))).otherwise(score)
-    return (
-        pairs.join(users.select("user_idx", F.col("factors").alias("p_factors")), "user_idx")
-        .join(items.select("item_idx", F.col("factors").alias("q_factors")), "item_idx")
-        .select(*pairs.columns, score.cast("double").alias("score"))
+    with_user, width = attach(pairs, users, "user_idx", "p_factors")
+    with_both, _ = attach(with_user, items, "item_idx", "q_factors")
+    scored = with_both.select(
+        *pairs.columns, dot(F.col("p_factors"), F.col("q_factors"), width).alias("score")
+    )
+    checked = F.when(F.isnan("score"), F.raise_error(F.lit("score is NaN"))).otherwise(
+        F.col("score")
     )
+    return scored.select(*pairs.columns, checked.cast("double").alias("score"))
 
 
 def negative_candidates(
@@ -111,13 +132,12 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
         )
         got = materialize(_first(_without_seen(pool, seen), n), "unseen")
         full = got.groupBy(*key).count().where(F.col("count") >= n).select(*key)
-        short = materialize(todo.join(full, key, "left_anti"), "cases")
-        left = short.count()
-        enough = got.join(short, key, "left_anti") if left else got
+        short = store(todo.join(full, key, "left_anti"), "cases")
+        enough = got.join(short.frame, key, "left_anti") if short.rows else got
         done = enough if done is None else done.unionByName(enough)
-        if not left:
+        if not short.rows:
             return done.select("user_idx", "item_idx")
-        todo, n_draws = short, n_draws * DRAWS_GROWTH
+        todo, n_draws = short.frame, n_draws * DRAWS_GROWTH
     order = draw(F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed)
     listed = _without_seen(_numbered(todo, n_items, "item_idx"), seen).withColumn("j", order)
     last = _first(listed, n).select("user_idx", "item_idx")

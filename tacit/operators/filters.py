@@ -84,11 +84,10 @@ def peel(df: DataFrame, user_col: str, item_col: str, k: int) -> Peeling:
                 alive.groupBy(col).agg(F.sum("n").alias("n")).where(F.col("n") < k).select(col),
                 "core-dropped",
             )
-            found = light.frame.count()
-            if found:
+            if light.rows:
                 dropped[col] = dropped[col].unionByName(light.frame)
                 alive = alive.join(light.frame, col, "left_anti")
-                removed += found
+                removed += light.rows
         if not removed:
             pairs.drop()
             return Peeling(dropped[user_col], dropped[item_col], passes)

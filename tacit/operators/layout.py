@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tacit.scratch import materialize, task_width
+from tacit.scratch import store, task_width
 
 # Fixed value: bytes of counterpart vectors that a block may pull into one task.
-BLOCK_BYTES = 1 << 27
+BLOCK_BYTES = 1 << 26
 # More blocks than task slots, so that hashing spreads them evenly.
 BLOCKS_PER_SLOT = 4
+# Partitions of a layout stay below this unless the session's own shuffle width is larger.
+MAX_WIDTH = 1 << 15
 # Split entities up to this number are broadcast to tag their rows; beyond it they are joined.
 BROADCAST_SPLITS = 1_000_000
 # Block numbers per routing row, which bounds the row of a counterpart needed everywhere.
@@ -67,7 +69,11 @@ def with_confidence(pairs: DataFrame, confidence: DataFrame | float) -> DataFram
 
 @dataclass(frozen=True)
 class Layout:
-    """``histories``: block, own, split, c, pairs.  ``routes``: other, blocks."""
+    """``histories``: block, own, split, c, others, n, w, wr.  ``routes``: other, blocks.
+
+    The arrays n, w and wr are null where all three are one for every pair of the row, which
+    is the plain implicit case; a pair then costs the four bytes of its counterpart.
+    """
 
     own: str
     other: str
@@ -105,21 +111,22 @@ def build_layout(
     spark = pairs.sparkSession
     slots = spark.sparkContext.defaultParallelism
     n_blocks = max(math.ceil(n_pairs / block_pairs), BLOCKS_PER_SLOT * slots)
-    width = min(n_blocks, max(task_width(spark), n_blocks // BLOCKS_PER_SLOT))
+    wanted = min(n_blocks // BLOCKS_PER_SLOT, MAX_WIDTH)
+    width = min(n_blocks, max(task_width(spark), wanted))
     chunk_pairs = chunk_pairs or max(1, block_pairs // 4)
 
-    large = materialize(
+    large = store(
         pairs.groupBy(own)
         .agg(F.count(F.lit(1)).alias("_size"))
         .where(F.col("_size") > chunk_pairs)
         .select(own, F.ceil(F.col("_size") / F.lit(chunk_pairs)).alias("_chunks")),
         "large",
     )
-    n_large = large.count()
     chunk = F.lit(None).cast("bigint")
     placed = pairs
-    if n_large:
-        tag = F.broadcast(large) if n_large <= BROADCAST_SPLITS else large
+    if large.rows:
+        few = large.rows <= BROADCAST_SPLITS
+        tag = F.broadcast(large.frame) if few else large.frame
         placed = pairs.join(tag, own, "left")
         chunk = F.when(F.col("_chunks").isNotNull(), F.pmod(F.xxhash64(other), F.col("_chunks")))
     split = chunk.isNotNull()
@@ -142,11 +149,15 @@ def build_layout(
     # Hash partitioning on the block also serves the grouping below: one shuffle, and a group
     # is never longer than a chunk.
     seen = F.struct(F.col(other).alias("other"), "n", "w", "wr")
+    plain = (F.col("n") == 1) & (F.col("w") == 1) & (F.col("wr") == 1)
+    numbers = [
+        F.when(~F.col("plain"), F.col(f"pairs.{name}")).alias(name) for name in ("n", "w", "wr")
+    ]
     histories = (
         placed.repartition(width, "block")
         .groupBy("block", own, "split", "chunk", "c")
-        .agg(F.collect_list(seen).alias("pairs"))
-        .select("block", own, "split", "c", "pairs")
+        .agg(F.collect_list(seen).alias("pairs"), F.bool_and(plain).alias("plain"))
+        .select("block", own, "split", "c", F.col("pairs.other").alias("others"), *numbers)
         .sortWithinPartitions("block")
     )
     # collect_set combines on the map side, so a popular counterpart arrives as block sets.
@@ -160,7 +171,7 @@ def build_layout(
         own,
         other,
         n_blocks,
-        bool(n_large),
+        bool(large.rows),
         histories.persist(StorageLevel.MEMORY_AND_DISK),
         routes.persist(StorageLevel.MEMORY_AND_DISK),
     )

@@ -94,6 +94,15 @@ def messages(layout: Layout, counterpart: DataFrame, own: DataFrame | None) -> D
     )
 
 
+def numbers_of(column: pa.ChunkedArray, lengths: np.ndarray) -> np.ndarray:
+    """One number per pair; a row without a list stands for ones."""
+    out = np.ones(lengths.sum())
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    if given.any():
+        out[np.repeat(given, lengths)] = column.combine_chunks().flatten().to_numpy()
+    return out
+
+
 def block_update(layout: Layout, how: Update, cache: np.ndarray, warm: bool):
     """The function that updates the entities of one block from the messages it received."""
     own_col, item_side = layout.own, layout.own == "item_idx"
@@ -128,13 +137,10 @@ def block_update(layout: Layout, how: Update, cache: np.ndarray, warm: bool):
         known = ids[theirs]
         vectors = np.ascontiguousarray(rows[theirs].T)
 
-        lists = histories.column("pairs").combine_chunks()
-        lengths = lists.value_lengths().to_numpy()
-        pairs = lists.flatten()
-        other = pairs.field("other").to_numpy()
-        n = pairs.field("n").to_numpy()
-        w = pairs.field("w").to_numpy()
-        wr = pairs.field("wr").to_numpy()
+        others = histories.column("others").combine_chunks()
+        lengths = others.value_lengths().to_numpy()
+        other = others.flatten().to_numpy()
+        n, w, wr = (numbers_of(histories.column(name), lengths) for name in ("n", "w", "wr"))
         at = np.searchsorted(known, other)
         found = at < len(known)
         found[found] = known[at[found]] == other[found]

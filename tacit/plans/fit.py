@@ -64,7 +64,6 @@ class Placement:
         self.pairs: Stored = store(
             with_confidence(pair_table(interactions, o.on_duplicate), confidence), "pairs"
         )
-        self.n_pairs = self.pairs.frame.count()
         self.layouts: dict[str, Layout] = {}
 
     def side(self, name: str) -> Layout:
@@ -72,7 +71,7 @@ class Placement:
             o = self.options
             self.layouts[name] = build_layout(
                 self.pairs.frame,
-                self.n_pairs,
+                self.pairs.rows,
                 name,
                 o.block_pairs or default_block_pairs(o.k),
                 o.chunk_pairs,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,11 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 class Stored:
-    """A DataFrame written to the shared folder, with the path needed to drop it again."""
+    """A DataFrame written to the shared folder, with its row count and the path to drop it."""
 
-    def __init__(self, frame: DataFrame, path: str):
+    def __init__(self, frame: DataFrame, path: str, rows: int):
         self.frame = frame
         self.path = path
+        self.rows = rows
 
     def drop(self) -> None:
         """Delete the files.  Only for tables that no live DataFrame reads any more."""
@@ -53,11 +54,13 @@ class Stored:
 
 
 def store(df: DataFrame, name: str) -> Stored:
-    """Run ``df`` once into a parquet table of the shared folder."""
+    """Run ``df`` once into a parquet table of the shared folder, counting rows on the way."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    # A plan that proves empty while it runs may skip the count.
+    return Stored(spark.read.schema(df.schema).parquet(path), path, seen.get.get("rows", 0))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -72,9 +75,10 @@ def task_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition a narrow table before a step that multiplies its rows or work.
+    """Partition a narrow table by a hash before a step that multiplies its rows or work.
 
     Adaptive execution sizes partitions by their bytes and would leave such a step to few tasks;
-    an explicit number is kept as it is.
+    an explicit number is kept as it is.  Hashing the hash keeps the planner from dropping this
+    shuffle in favour of an earlier, adaptively merged one on the same columns.
     """
-    return df.repartition(task_width(df.sparkSession), *cols)
+    return df.repartition(task_width(df.sparkSession), F.xxhash64(*cols))

@@ -48,10 +48,14 @@ GOLDEN = {
 }
 
 
+@pytest.fixture(scope="module")
+def prepared(mock):
+    return prepare(mock, k=2)
+
+
 @pytest.mark.parametrize("c0,begin", list(GOLDEN))
 @pytest.mark.parametrize("chunk", [None, 1])
-def test_golden_iteration(spark, mock, c0, begin, chunk):
-    prepared = prepare(mock, k=2)
+def test_golden_iteration(spark, prepared, c0, begin, chunk):
     c = item_confidence(prepared.popularity, c0)
     o = FitOptions(k=2, start=begin, storage="double", chunk_pairs=chunk)
     p0, q0 = start(spark, "user_idx", 3), start(spark, "item_idx", 3)
