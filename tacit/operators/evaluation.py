@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tacit.functions import dot, draw, draw_below
 from tacit.scratch import materialize, spread, store
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
-DRAWS_PER_NEGATIVE = 2
+DRAWS_PER_NEGATIVE = 1.25
 DRAWS_GROWTH = 4
 # Largest factor table, at eight bytes an element, that scoring broadcasts.
 BROADCAST_BYTES = 64 << 20
@@ -66,7 +68,9 @@ def negative_candidates(
     truth = test.select("user_idx", "item_idx", F.lit(1).cast("bigint").alias("is_true"))
     cases = test.select("user_idx", F.col("item_idx").alias("true_item"))
     if mode == "uniform":
-        drawn = _draws(cases, n_items, n, seed)
+        drawn = _numbered(cases, n, "j").withColumn(
+            "item_idx", _draw_item(n_items, F.col("j"), seed)
+        )
     elif mode == "unseen":
         if seen is None:
             raise ValueError("unseen negatives need the seen pairs")
@@ -88,11 +92,25 @@ def _numbered(cases: DataFrame, count: int, name: str) -> DataFrame:
     return spans.select(*cases.columns, F.explode(F.sequence(F.col("_low"), high)).alias(name))
 
 
-def _draws(cases: DataFrame, n_items: int, n: int, seed: int) -> DataFrame:
-    item = draw_below(
-        F.lit(n_items), F.col("user_idx"), F.col("true_item"), F.col("j"), seed=seed
+def _draw_item(n_items: int, j: Column, seed: int) -> Column:
+    item = draw_below(F.lit(n_items), F.col("user_idx"), F.col("true_item"), j, seed=seed)
+    return item.cast("int")
+
+
+def _distinct_draws(cases: DataFrame, n_items: int, count: int, seed: int) -> DataFrame:
+    """The different items among ``count`` draws, with ``j`` in the order of first draws.
+
+    Usual rounds settle repeats inside the row of a case; only a round too long for one row
+    shuffles its draws to find them.
+    """
+    if count <= NUMBER_SPAN:
+        numbers = F.sequence(F.lit(0), F.lit(count - 1))
+        drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_item(n_items, j, seed)))
+        return spread(cases, "user_idx").select("*", F.posexplode(drawn).alias("j", "item_idx"))
+    drawn = _numbered(cases, count, "j").withColumn(
+        "item_idx", _draw_item(n_items, F.col("j"), seed)
     )
-    return _numbered(cases, n, "j").select("*", item.cast("int").alias("item_idx"))
+    return drawn.groupBy("user_idx", "true_item", "item_idx").agg(F.min("j").alias("j"))
 
 
 def _without_seen(pool: DataFrame, seen: DataFrame) -> DataFrame:
@@ -123,13 +141,9 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
         "seen",
     )
     done = None
-    n_draws = DRAWS_PER_NEGATIVE * n
+    n_draws = math.ceil(DRAWS_PER_NEGATIVE * n)
     while n_draws < n_items:
-        pool = (
-            _draws(todo, n_items, n_draws, seed)
-            .groupBy("user_idx", "true_item", "item_idx")
-            .agg(F.min("j").alias("j"))
-        )
+        pool = _distinct_draws(todo, n_items, n_draws, seed)
         got = materialize(_first(_without_seen(pool, seen), n), "unseen")
         full = got.groupBy(*key).count().where(F.col("count") >= n).select(*key)
         short = store(todo.join(full, key, "left_anti"), "cases")
