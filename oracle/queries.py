@@ -85,6 +85,26 @@ TRAIN_ITEMS = "(SELECT count(DISTINCT item_idx) FROM train)"
 CANDIDATE_ROWS = f"SELECT {BIG_PAIR}, CAST(is_true AS BIGINT) AS is_true FROM candidates"
 
 
+THIN = INDEXED | {
+    "train": f"SELECT * FROM inter WHERE {sql.uniform('user_idx', 'item_idx')} < 0.1",
+    "pop": sql.popularity("train"),
+}
+
+
+def completed_factors() -> str:
+    parts = (
+        THIN
+        | {"conf": sql.confidence("pop", 64.0), "pairs": sql.pairs("train", "distinct")}
+        | sql.fit("train", 2, 1)
+        | {
+            "start": sql.start("inter", "item_idx", 2, "normal"),
+            "whole": "SELECT item_idx, coalesce(q.x0, s.x0) AS x0, coalesce(q.x1, s.x1) AS x1"
+            " FROM start s LEFT JOIN q1 q USING (item_idx)",
+        }
+    )
+    return sql.query(parts, sql.side_rows("whole", "item", 2))
+
+
 def telemetry() -> str:
     base = (
         RAW
@@ -113,6 +133,8 @@ def telemetry() -> str:
         rows.append(
             f"SELECT CAST({t} AS BIGINT) AS iteration, (SELECT n_users FROM size) AS n_users,"
             f" (SELECT n_items FROM size) AS n_items, {sql.metrics()},"
+            f" (SELECT round(sqrt(avg((1.0 - ({sql.dot(2)})) * (1.0 - ({sql.dot(2)})))), 9)"
+            f" FROM test JOIN p{t} p USING (user_idx) JOIN q{t} q USING (item_idx)) AS rmse,"
             " (SELECT round((n_users + n_items) * 4.0 / 1000000.0, 6) FROM size)::DOUBLE"
             f" AS mops_elementwise FROM ranked{t} WHERE is_true = 1"
         )
@@ -261,6 +283,12 @@ def oracle_sql() -> dict[str, str]:
             f" round(sqrt(sum((1.0 - ({sql.dot(2)})) * (1.0 - ({sql.dot(2)}))) / count(*)), 9)"
             " AS rmse FROM test t JOIN p1 p USING (user_idx) JOIN q1 q USING (item_idx)",
         ),
+        "complete_factor_table": completed_factors(),
+        "complete_confidence_table": sql.query(
+            THIN | {"conf": sql.confidence("pop", 512.0)},
+            "SELECT CAST(item_idx AS BIGINT) AS item_idx, round(coalesce(c_i, 0.0), 9) AS c_i"
+            " FROM (SELECT DISTINCT item_idx FROM inter) LEFT JOIN conf USING (item_idx)",
+        ),
         "telemetry_ops": sql.query(
             INDEXED
             | {

@@ -7,7 +7,13 @@ from tacit.operators.evaluation import (
     ranking_metrics,
     score_pairs,
 )
-from tacit.operators.factors import gram, init_factors, weighted_items
+from tacit.operators.factors import (
+    complete_confidence,
+    complete_factors,
+    gram,
+    init_factors,
+    weighted_items,
+)
 from tacit.operators.filters import kcore, peel, threshold_filter, top_ids, top_n_filter
 from tacit.operators.history import entity_history
 from tacit.operators.indexing import apply_index, dense_index
@@ -16,6 +22,8 @@ from tacit.operators.weights import item_confidence, item_popularity
 
 __all__ = [
     "apply_index",
+    "complete_confidence",
+    "complete_factors",
     "dense_index",
     "entity_history",
     "evaluate",

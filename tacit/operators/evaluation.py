@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tacit.functions import dot, draw, draw_below
-from tacit.scratch import materialize, spread, store
+from tacit.scratch import materialize, spread, store, task_width
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
 DRAWS_PER_NEGATIVE = 1.25
@@ -18,31 +18,18 @@ BROADCAST_BYTES = 64 << 20
 NUMBER_SPAN = 10_000
 
 
-def attach(pairs: DataFrame, factors: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-    """Join vectors to pairs as ``name``; also returns the vector length.
-
-    Generated pairs look small to the planner, which counts the rows before they are multiplied.
-    So the choice is made here: a factor table of checked size is broadcast, a larger one is
-    merged, where adaptive execution splits skewed keys.
-    """
-    size = factors.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("factors")).alias("width")
-    ).first()
-    width = size.width or 0
-    table = factors.select(key, F.col("factors").alias(name))
-    if size.rows * width * 8 <= BROADCAST_BYTES:
-        return pairs.join(F.broadcast(table), key), width
-    return pairs.join(table.hint("merge"), key), width
-
-
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Add ``score`` = inner product; pairs without both vectors drop out.
 
     A NaN score is an error: it would sort before every number and look like a perfect rank.
     """
-    with_user, width = attach(pairs, users, "user_idx", "p_factors")
-    with_both, _ = attach(with_user, items, "item_idx", "q_factors")
-    scored = with_both.select(
+    tables = [
+        items.select("item_idx", F.col("factors").alias("q_factors")),
+        # Users last: the scores are then already placed for a ranking within users.
+        users.select("user_idx", F.col("factors").alias("p_factors")),
+    ]
+    joined, width = _attach(pairs, tables)
+    scored = joined.select(
         *pairs.columns, dot(F.col("p_factors"), F.col("q_factors"), width).alias("score")
     )
     checked = F.when(F.isnan("score"), F.raise_error(F.lit("score is NaN"))).otherwise(
@@ -51,6 +38,32 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     return scored.select(*pairs.columns, checked.cast("double").alias("score"))
 
 
+def _attach(pairs: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Join each (id, vector) table to the pairs; also returns the vector length.
+
+    Generated pairs look small to the planner, which counts the rows before they are multiplied.
+    So the choice is made here: a table of checked size is broadcast, a larger one is merged,
+    where adaptive execution splits skewed keys.
+    """
+    sizes = None
+    for at, table in enumerate(tables):
+        vector = table.columns[1]
+        size = table.agg(
+            F.lit(at).alias("at"),
+            F.count(F.lit(1)).alias("rows"),
+            F.max(F.size(vector)).alias("width"),
+        )
+        sizes = size if sizes is None else sizes.unionByName(size)
+    width = 0
+    for size in sorted(sizes.collect(), key=lambda row: row.at):
+        width = max(width, size.width or 0)
+        table = tables[size.at]
+        small = size.rows * (size.width or 0) * 8 <= BROADCAST_BYTES
+        hinted = F.broadcast(table) if small else table.hint("merge")
+        pairs = pairs.join(hinted, table.columns[0])
+    return pairs, width
+
+
 def negative_candidates(
     test: DataFrame,
     n_items: int,
@@ -65,27 +78,32 @@ def negative_candidates(
     ``unseen``: distinct items outside ``seen`` (user_idx, item_idx) and other than the true
     one, in draw order; a user with fewer than ``n`` unseen items gets all of them.
     """
-    truth = test.select("user_idx", "item_idx", F.lit(1).cast("bigint").alias("is_true"))
     cases = test.select("user_idx", F.col("item_idx").alias("true_item"))
     if mode == "uniform":
-        drawn = _numbered(cases, n, "j").withColumn(
-            "item_idx", _draw_item(n_items, F.col("j"), seed)
+        # Number n stands for the true row, so that all candidates of a user come from one row
+        # and stay in its partition up to the ranking.
+        stored = materialize(cases, "cases")
+        numbered = _numbered(stored.repartition(task_width(stored.sparkSession), "user_idx"), n + 1)
+        true = F.col("j") == n
+        drawn = _draw_item(n_items, F.col("j"), seed)
+        return numbered.select(
+            "user_idx",
+            F.when(true, F.col("true_item")).otherwise(drawn).alias("item_idx"),
+            true.cast("bigint").alias("is_true"),
         )
-    elif mode == "unseen":
+    if mode == "unseen":
         if seen is None:
             raise ValueError("unseen negatives need the seen pairs")
+        truth = test.select("user_idx", "item_idx", F.lit(1).cast("bigint").alias("is_true"))
         drawn = _unseen(cases.distinct(), n_items, n, seed, seen)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    false = drawn.select("user_idx", "item_idx", F.lit(0).cast("bigint").alias("is_true"))
-    return truth.unionByName(false)
+        return truth.unionByName(drawn.withColumn("is_true", F.lit(0).cast("bigint")))
+    raise ValueError(f"unknown mode {mode!r}")
 
 
-def _numbered(cases: DataFrame, count: int, name: str) -> DataFrame:
-    """Each case with the numbers 0..count-1, made in spans so that no row or task grows with it."""
+def _numbered(cases: DataFrame, count: int, name: str = "j") -> DataFrame:
+    """Each case with the numbers 0..count-1, at most ``NUMBER_SPAN`` of them from one row."""
     if count <= NUMBER_SPAN:
-        numbers = F.sequence(F.lit(0), F.lit(count - 1))
-        return spread(cases, "user_idx").select("*", F.explode(numbers).alias(name))
+        return cases.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name))
     low = F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(NUMBER_SPAN))).alias("_low")
     high = F.least(F.col("_low") + NUMBER_SPAN, F.lit(count)) - 1
     spans = spread(cases.select("*", low), *cases.columns, "_low")
@@ -107,9 +125,7 @@ def _distinct_draws(cases: DataFrame, n_items: int, count: int, seed: int) -> Da
         numbers = F.sequence(F.lit(0), F.lit(count - 1))
         drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_item(n_items, j, seed)))
         return spread(cases, "user_idx").select("*", F.posexplode(drawn).alias("j", "item_idx"))
-    drawn = _numbered(cases, count, "j").withColumn(
-        "item_idx", _draw_item(n_items, F.col("j"), seed)
-    )
+    drawn = _numbered(cases, count).withColumn("item_idx", _draw_item(n_items, F.col("j"), seed))
     return drawn.groupBy("user_idx", "true_item", "item_idx").agg(F.min("j").alias("j"))
 
 
@@ -153,7 +169,8 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
             return done.select("user_idx", "item_idx")
         todo, n_draws = short.frame, n_draws * DRAWS_GROWTH
     order = draw(F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed)
-    listed = _without_seen(_numbered(todo, n_items, "item_idx"), seen).withColumn("j", order)
+    every = _numbered(spread(todo, "user_idx"), n_items, "item_idx")
+    listed = _without_seen(every, seen).withColumn("j", order)
     last = _first(listed, n).select("user_idx", "item_idx")
     return last if done is None else done.select("user_idx", "item_idx").unionByName(last)
 
@@ -194,11 +211,15 @@ def ranking_metrics(test: DataFrame, ranked: DataFrame, k: int = 10) -> DataFram
 
 
 def prediction_error(test: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """One row ``(n_test, n_covered, coverage, rmse)``; rmse is null without coverage."""
+    """One row ``(n_test, n_covered, coverage, rmse)``; rmse is null without coverage.
+
+    Without a ``rating`` column the target is one.
+    """
     n_test = test.agg(F.count(F.lit(1))).scalar()
-    miss = F.col("rating").cast("double") - F.col("score")
+    rating = F.col("rating").cast("double") if "rating" in test.columns else F.lit(1.0)
+    miss = F.col("rating") - F.col("score")
     return (
-        score_pairs(test.select("user_idx", "item_idx", "rating"), users, items)
+        score_pairs(test.select("user_idx", "item_idx", rating.alias("rating")), users, items)
         .agg(F.count(F.lit(1)).alias("n_covered"), F.sum(miss * miss).alias("_sse"))
         .select(
             n_test.alias("n_test"),

@@ -14,6 +14,21 @@ UNIFORM_SCALE = 0.01
 NORMAL_SCALE = 0.1
 
 
+def start_vector(col: str, k: int, distribution: str, seed: int, storage: str) -> Column:
+    """The start vector of the id in column ``col``: draws on (side, id, position)."""
+
+    def element(f: Column) -> Column:
+        keys = (col, F.col(col), f)
+        if distribution == "uniform":
+            return uniform(*keys, seed=seed) * F.lit(UNIFORM_SCALE)
+        if distribution == "normal":
+            return normal(*keys, seed=seed) * F.lit(NORMAL_SCALE)
+        raise ValueError(f"unknown distribution {distribution!r}")
+
+    positions = F.sequence(F.lit(0), F.lit(k - 1))
+    return F.transform(positions, lambda f: element(f).cast(storage))
+
+
 def init_factors(
     entities: DataFrame,
     col: str,
@@ -24,21 +39,42 @@ def init_factors(
 ) -> DataFrame:
     """``(col, factors)``: one start vector per distinct value of ``col``.
 
-    Each element is a draw on (side, id, position), U[0, 0.01) or N(0, 0.1).
+    "uniform" draws elements from U[0, 0.01), "normal" from N(0, 0.1).
     """
+    vector = start_vector(col, k, distribution, seed, storage)
+    return spread(entities.select(col).distinct(), col).select(col, vector.alias("factors"))
 
-    def element(f: Column) -> Column:
-        keys = (col, F.col(col), f)
-        if distribution == "uniform":
-            return uniform(*keys, seed=seed) * F.lit(UNIFORM_SCALE)
-        if distribution == "normal":
-            return normal(*keys, seed=seed) * F.lit(NORMAL_SCALE)
-        raise ValueError(f"unknown distribution {distribution!r}")
 
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda f: element(f).cast(storage)
+def complete_factors(
+    entities: DataFrame,
+    factors: DataFrame,
+    col: str,
+    k: int,
+    distribution: str = "normal",
+    seed: int = 42,
+    storage: str = "float",
+) -> DataFrame:
+    """``factors`` for every value of ``col`` in ``entities``; unknown ids get a start vector.
+
+    The vector of an unknown id is a function of the id, hence the same wherever it is used.
+    """
+    vector = start_vector(col, k, distribution, seed, storage)
+    known = factors.select(col, F.col("factors").alias("_known"))
+    return (
+        spread(entities.select(col).distinct(), col)
+        .join(known, col, "left")
+        .select(col, F.coalesce("_known", vector).alias("factors"))
+    )
+
+
+def complete_confidence(entities: DataFrame, confidence: DataFrame) -> DataFrame:
+    """Confidence of every item in ``entities``; items without one get zero."""
+    return (
+        entities.select("item_idx")
+        .distinct()
+        .join(confidence.select("item_idx", "c_i"), "item_idx", "left")
+        .select("item_idx", F.coalesce("c_i", F.lit(0.0)).alias("c_i"))
     )
-    return spread(entities.select(col).distinct(), col).select(col, vector.alias("factors"))
 
 
 def matrix_of(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:

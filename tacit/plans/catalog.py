@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tacit.operators import (
     apply_index,
+    complete_confidence,
+    complete_factors,
     dense_index,
     entity_history,
     gram,
@@ -480,6 +482,28 @@ def hit_ndcg_unseen(spark, sf_dir):
     return _metrics(spark, sf_dir, "unseen")
 
 
+def _thin_train(data: DataFrame) -> DataFrame:
+    """A random tenth of the pairs, which leaves some users and items unknown."""
+    return random_split(data, ["user_idx", "item_idx"], 0.1)[0]
+
+
+@registered
+def complete_factor_table(spark, sf_dir):
+    """Item vectors from a thin train part, with start vectors for the items it lacks."""
+    data = interactions(spark, sf_dir)
+    train = _thin_train(data)
+    options = FitOptions(k=2, iterations=1, c0=64.0, on_duplicate="distinct")
+    model = fit(train, item_popularity(train), options)
+    return long_factors(complete_factors(data, model.items, "item_idx", 2), "item_idx")
+
+
+@registered
+def complete_confidence_table(spark, sf_dir):
+    data = interactions(spark, sf_dir)
+    weights = item_confidence(item_popularity(_thin_train(data)))
+    return complete_confidence(data, weights).select(big("item_idx"), rounded("c_i"))
+
+
 @registered
 def rmse_coverage(spark, sf_dir):
     """Random split by pair; test pairs of entities without factors lower the coverage."""
@@ -520,5 +544,6 @@ def telemetry(spark, sf_dir):
         "n_covered",
         rounded("hit_ratio"),
         rounded("ndcg"),
+        rounded("rmse"),
         rounded("mops_elementwise", 6),
     )

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tacit.operators.evaluation import evaluate
+from tacit.operators.evaluation import evaluate, prediction_error
 from tacit.operators.factors import init_factors, weighted_items
 from tacit.operators.layout import (
     Layout,
@@ -277,6 +277,7 @@ TELEMETRY = T.StructType(
         T.StructField("n_covered", T.LongType()),
         T.StructField("hit_ratio", T.DoubleType()),
         T.StructField("ndcg", T.DoubleType()),
+        T.StructField("rmse", T.DoubleType()),
         T.StructField("mops_elementwise", T.DoubleType()),
         T.StructField("mops_exact", T.DoubleType()),
         T.StructField("gain_factor", T.DoubleType()),
@@ -318,7 +319,7 @@ def fit_with_telemetry(
     top: int = 10,
     mode: str = "uniform",
 ) -> tuple[FactorModel, DataFrame]:
-    """:func:`fit`, with ranking quality and cost figures for every iteration."""
+    """:func:`fit`, with ranking quality, error and cost figures for every iteration."""
     spark = train.sparkSession
     cost = operation_counts(train, options.k).first()
     rows = []
@@ -335,6 +336,7 @@ def fit_with_telemetry(
             mode,
             train if mode == "unseen" else None,
         ).first()
+        error = prediction_error(test, model.users, model.items).first()
         rows.append(
             (
                 iteration,
@@ -345,6 +347,7 @@ def fit_with_telemetry(
                 quality.n_covered,
                 quality.hit_ratio,
                 quality.ndcg,
+                error.rmse,
                 cost.mops_elementwise,
                 cost.mops_exact,
                 cost.gain_factor,

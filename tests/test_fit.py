@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tacit.operators import gram, init_factors, item_confidence
+from tacit.operators import (
+    complete_confidence, complete_factors, gram, init_factors, item_confidence,
+)
 from tacit.plans import (
     FitOptions, als_items, als_users, fit, fit_uniform, fit_with_telemetry, prepare,
     sweep_items, sweep_users,
@@ -262,3 +264,15 @@ def test_telemetry(spark):
     assert rows[0].mops_exact == pytest.approx((m + n) * 27 / 1e6)
     assert rows[0].gain_factor == 3
     assert all(r.ndcg <= r.hit_ratio <= 1 for r in rows)
+
+
+def test_completed_tables(spark):
+    everyone = spark.range(5).selectExpr("cast(id as int) item_idx")
+    known = spark.createDataFrame([(1, [9.0, 9.0])], "item_idx int, factors array<float>")
+    got = vectors(complete_factors(everyone, known, "item_idx", 2))
+    begin = vectors(init_factors(everyone, "item_idx", 2, "normal"))
+    assert set(got) == set(range(5)) and list(got[1]) == [9.0, 9.0]
+    assert all((got[i] == begin[i]).all() for i in (0, 2, 3, 4))
+    weights = spark.createDataFrame([(1, 2.5)], "item_idx int, c_i double")
+    assert {r.item_idx: r.c_i for r in complete_confidence(everyone, weights).collect()} == {
+        0: 0.0, 1: 2.5, 2: 0.0, 3: 0.0, 4: 0.0}
