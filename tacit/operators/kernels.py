@@ -42,23 +42,27 @@ def sweep(x, vectors, at, lengths, coef, wr, scale, cache, lam):
     builds A, so the cost is K per observation and K*K per entity.
     """
     starts = ragged_starts(lengths)
-    warm = x.any()
-    rhat = np.zeros(len(at))
-    if warm:
+    entity = np.repeat(np.arange(len(lengths)), lengths)
+    # What is left to explain: wr - coef * prediction.
+    left = wr.copy()
+    if x.any():
+        predicted = np.zeros(len(at))
         for f in range(len(cache)):
-            rhat += np.repeat(x[:, f], lengths) * vectors[f].take(at)
+            predicted += x[:, f].take(entity) * vectors[f].take(at)
+        left -= coef * predicted
     for f in range(len(cache)):
         v = vectors[f].take(at).astype(np.float64, copy=False)
+        wv = coef * v
         old = x[:, f].copy()
-        if warm:
-            rhat -= np.repeat(old, lengths) * v
-        cv = coef * v
-        top = np.add.reduceat(wr * v - cv * rhat, starts)
+        observed = np.add.reduceat(wv * v, starts)
+        v *= left
+        top = np.add.reduceat(v, starts) + old * observed
         top -= scale * (x @ cache[:, f] - old * cache[f, f])
-        bottom = np.add.reduceat(cv * v, starts) + scale * cache[f, f] + lam
+        bottom = observed + scale * cache[f, f] + lam
         check_positive(bottom)
         x[:, f] = top / bottom
-        rhat += np.repeat(x[:, f], lengths) * v
+        wv *= (x[:, f] - old).take(entity)
+        left -= wv
     check_finite(x)
     return x
 
@@ -99,15 +103,24 @@ def solve(vectors, at, lengths, coef, wr, scale, cache, lam):
     return out
 
 
-def pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Upper triangle of ``a`` followed by ``b``."""
-    return np.concatenate([a[np.triu_indices(len(b))], b])
+def triangle(k: int) -> int:
+    return k * (k + 1) // 2
 
 
-def unpack(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse of :func:`pack` for a batch of rows."""
+def pack(a: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Upper triangle of ``a``, then the other vectors."""
+    return np.concatenate([a[np.triu_indices(len(a))], *more])
+
+
+def symmetric(rows: np.ndarray, k: int) -> np.ndarray:
+    """A batch of matrices from their upper triangles."""
     upper = np.triu_indices(k)
     a = np.zeros((len(rows), k, k))
-    a[:, upper[0], upper[1]] = rows[:, : len(upper[0])]
-    a[:, upper[1], upper[0]] = rows[:, : len(upper[0])]
-    return a, rows[:, len(upper[0]) :]
+    a[:, upper[0], upper[1]] = rows
+    a[:, upper[1], upper[0]] = rows
+    return a
+
+
+def unpack(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices and right-hand sides of a batch of packed systems."""
+    return symmetric(rows[:, : triangle(k)], k), rows[:, triangle(k) :]

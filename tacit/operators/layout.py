@@ -115,20 +115,22 @@ def build_layout(
     width = min(n_blocks, max(task_width(spark), wanted))
     chunk_pairs = chunk_pairs or max(1, block_pairs // 4)
 
-    large = store(
-        pairs.groupBy(own)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .where(F.col("_size") > chunk_pairs)
-        .select(own, F.ceil(F.col("_size") / F.lit(chunk_pairs)).alias("_chunks")),
-        "large",
-    )
     chunk = F.lit(None).cast("bigint")
-    placed = pairs
-    if large.rows:
-        few = large.rows <= BROADCAST_SPLITS
-        tag = F.broadcast(large.frame) if few else large.frame
-        placed = pairs.join(tag, own, "left")
-        chunk = F.when(F.col("_chunks").isNotNull(), F.pmod(F.xxhash64(other), F.col("_chunks")))
+    placed, n_large = pairs, 0
+    if n_pairs > chunk_pairs:
+        large = store(
+            pairs.groupBy(own)
+            .agg(F.count(F.lit(1)).alias("_size"))
+            .where(F.col("_size") > chunk_pairs)
+            .select(own, F.ceil(F.col("_size") / F.lit(chunk_pairs)).alias("_chunks")),
+            "large",
+        )
+        n_large = large.rows
+        if n_large:
+            tag = F.broadcast(large.frame) if n_large <= BROADCAST_SPLITS else large.frame
+            placed = pairs.join(tag, own, "left")
+            part = F.pmod(F.xxhash64(other), F.col("_chunks"))
+            chunk = F.when(F.col("_chunks").isNotNull(), part)
     split = chunk.isNotNull()
     where = F.when(split, F.xxhash64(F.col(own), chunk)).otherwise(F.xxhash64(own))
     # On the item side the confidence belongs to the entity; on the user side it comes along
@@ -171,7 +173,7 @@ def build_layout(
         own,
         other,
         n_blocks,
-        bool(large.rows),
+        bool(n_large),
         histories.persist(StorageLevel.MEMORY_AND_DISK),
         routes.persist(StorageLevel.MEMORY_AND_DISK),
     )

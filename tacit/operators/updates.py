@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,47 +29,97 @@ class Update:
 
 
 class State:
-    """A factor table made of one or two stored parts."""
+    """A fresh factor table, stored in one or two parts.
 
-    def __init__(self, frame: DataFrame, parts: list[Stored]):
-        self.frame = frame
+    Next to the vectors each part holds the Gram matrices of its task groups, so the next
+    half-step gets its missing-data matrix without a second pass over the vectors.
+    """
+
+    def __init__(self, own: str, parts: list[Stored]):
         self.parts = parts
+        tables = [part.frame.where(F.col(own).isNotNull()) for part in parts]
+        if len(parts) > 1:
+            tables[0] = tables[0].where(F.col("partial").isNull()).drop("partial")
+        self.frame = reduce(DataFrame.unionByName, tables).drop("gram")
+
+    def cache(self, k: int) -> np.ndarray:
+        grams = [
+            part.frame.where(F.col("gram").isNotNull()).select(F.posexplode("gram"))
+            for part in self.parts
+        ]
+        cells = reduce(DataFrame.unionAll, grams).groupBy("pos").agg(F.sum("col").alias("value"))
+        packed = np.zeros(kernels.triangle(k))
+        for row in cells.collect():
+            packed[row.pos] = row.value
+        return kernels.symmetric(packed[None, :], k)[0]
 
     def drop(self) -> None:
         for part in self.parts:
             part.drop()
 
 
-def step(layout: Layout, counterpart: DataFrame, own: DataFrame | None, how: Update) -> State:
+def step(
+    layout: Layout,
+    counterpart: DataFrame,
+    own: DataFrame | None,
+    how: Update,
+    cache: np.ndarray | None = None,
+) -> State:
     """New factors of ``layout.own`` as a stored table.
 
     ``counterpart`` and ``own`` hold id, factors and, for items, c_i.  ``own`` gives the start
-    vectors of a warm sweep and may be None otherwise.  Entities without any observed
-    counterpart do not appear in the result.
+    vectors of a warm sweep and may be None otherwise.  ``cache`` is the missing-data matrix of
+    the counterpart where it is known already.  Entities without any observed counterpart do
+    not appear in the result.
     """
     item_side = layout.own == "item_idx"
-    # The missing-data matrix of the counterpart: weighted by c when the items are summed over,
-    # plain when the users are (an item's own c then scales it).
-    cache = cache_matrix(counterpart, None if item_side else "c_i", how.k)
+    if cache is None:
+        # Weighted by c when the items are summed over, plain when the users are: an item's own
+        # c then scales it.
+        cache = cache_matrix(counterpart, None if item_side else "c_i", how.k)
     warm = own is not None and how.start == "warm" and how.method == "sweep"
-    out_c = ", c_i double" if item_side else ""
-    out_partial = ", partial array<double>" if layout.has_split else ""
-    schema = f"{layout.own} int{out_c}, factors array<{how.storage}>{out_partial}"
-    update = block_update(layout, how, cache, warm)
-    result = store(
-        layout.histories.groupBy("block")
-        .cogroup(messages(layout, counterpart, own if warm else None).groupBy("block"))
-        .applyInArrow(update, schema),
-        f"{layout.own}-factors",
-    )
-    if not layout.has_split:
-        return State(result.frame, [result])
-    whole = result.frame.where(F.col("partial").isNull()).drop("partial")
-    joined = store(
-        finish_split(layout, result.frame, own if warm else None, how, cache),
-        f"{layout.own}-split",
-    )
-    return State(whole.unionByName(joined.frame), [result, joined])
+    schema = f"{layout.own} int, factors array<{how.storage}>, gram array<double>"
+    if item_side:
+        schema += ", c_i double"
+    own = own if warm else None
+    parts = [
+        store(
+            layout.histories.groupBy("block")
+            .cogroup(messages(layout, counterpart, own).groupBy("block"))
+            .applyInArrow(
+                block_update(layout, how, cache, warm),
+                schema + (", partial array<double>" if layout.has_split else ""),
+            ),
+            f"{layout.own}-factors",
+        )
+    ]
+    if layout.has_split:
+        parts.append(
+            store(
+                finish_split(layout, parts[0].frame, own, how, cache, schema),
+                f"{layout.own}-split",
+            )
+        )
+    return State(layout.own, parts)
+
+
+def factor_batch(
+    own_col: str, ids: np.ndarray, c: np.ndarray | None, x: np.ndarray, value_type: pa.DataType
+) -> dict[str, pa.Array]:
+    """Columns for the updated entities and one more row with the Gram matrix of their vectors."""
+    count, k = x.shape
+    stored = x.astype(value_type.to_pandas_dtype(), copy=False)
+    exact = stored.astype(np.float64, copy=False)
+    gram = (exact.T if c is None else exact.T * c) @ exact
+    offsets = np.append(np.arange(count + 1, dtype=np.int32) * k, np.int32(count * k))
+    columns = {
+        own_col: pa.array([*ids.tolist(), None], pa.int32()),
+        "factors": pa.ListArray.from_arrays(pa.array(offsets), pa.array(stored.ravel())),
+        "gram": pa.array([None] * count + [kernels.pack(gram)], pa.list_(pa.float64())),
+    }
+    if c is not None:
+        columns["c_i"] = pa.array([*c.tolist(), None], pa.float64())
+    return columns
 
 
 def messages(layout: Layout, counterpart: DataFrame, own: DataFrame | None) -> DataFrame:
@@ -110,24 +161,25 @@ def block_update(layout: Layout, how: Update, cache: np.ndarray, warm: bool):
     k, lam, method = how.k, how.lam, how.method
     value_type = ARROW_TYPE[how.storage]
 
-    def table(ids, c, x, partial_ids, partial_c, partials):
-        count, split = len(ids), len(partial_ids)
-        columns = {own_col: pa.array(np.concatenate([ids, partial_ids]).astype(np.int32))}
-        if item_side:
-            columns["c_i"] = pa.array(np.concatenate([c, partial_c]))
-        offsets = np.arange(count + split + 1, dtype=np.int32) * k
-        offsets[count:] = count * k
-        flat = pa.array(x.ravel().astype(value_type.to_pandas_dtype(), copy=False))
-        columns["factors"] = pa.ListArray.from_arrays(pa.array(offsets), flat)
-        if has_split:
-            columns["partial"] = pa.array([None] * count + partials, pa.list_(pa.float64()))
-        return pa.table(columns)
-
-    nothing = (np.empty(0, np.int32), np.empty(0), np.empty((0, k)), [], [], [])
+    def table(ids, c, x, partial_ids=(), partial_c=(), partials=()):
+        columns = factor_batch(own_col, ids, c if item_side else None, x, value_type)
+        made = pa.table(columns)
+        if not has_split:
+            return made
+        extra = {
+            own_col: pa.array(partial_ids, pa.int32()),
+            "factors": pa.nulls(len(partial_ids), pa.list_(value_type)),
+            "gram": pa.nulls(len(partial_ids), pa.list_(pa.float64())),
+            "c_i": pa.array(partial_c, pa.float64()),
+            "partial": pa.array(partials, pa.list_(pa.float64())),
+        }
+        empty = pa.nulls(made.num_rows, pa.list_(pa.float64()))
+        made = made.append_column("partial", empty)
+        return pa.concat_tables([made, pa.table({c: extra[c] for c in made.column_names})])
 
     def update(histories: pa.Table, received: pa.Table) -> pa.Table:
         if not histories.num_rows or not received.num_rows:
-            return table(*nothing)
+            return table(np.empty(0, np.int32), np.empty(0), np.empty((0, k)))
         is_own = received.column("own").to_numpy()
         ids = received.column("id").to_numpy()
         rows = matrix_of(received.column("factors"), k)
@@ -194,7 +246,12 @@ def block_update(layout: Layout, how: Update, cache: np.ndarray, warm: bool):
 
 
 def finish_split(
-    layout: Layout, result: DataFrame, own: DataFrame | None, how: Update, cache: np.ndarray
+    layout: Layout,
+    result: DataFrame,
+    own: DataFrame | None,
+    how: Update,
+    cache: np.ndarray,
+    schema: str,
 ) -> DataFrame:
     """Add up the partial equations of split entities and update them.
 
@@ -216,15 +273,16 @@ def finish_split(
         starts = own.select(layout.own, F.col("factors").alias("start"))
         systems = systems.join(starts, layout.own, "left")
     k, lam, method, started = how.k, how.lam, how.method, own is not None
-    value_type = ARROW_TYPE[how.storage]
+    own_col, value_type = layout.own, ARROW_TYPE[how.storage]
 
     def update(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, kernels.SOLVE_BATCH):
                 part = batch.slice(low, kernels.SOLVE_BATCH)
                 a, b = kernels.unpack(matrix_of(part.column("system")), k)
-                scale = part.column("c_i").to_numpy() if item_side else np.ones(len(b))
-                a = a + scale[:, None, None] * cache + lam * np.eye(k)
+                c = part.column("c_i").to_numpy() if item_side else None
+                a += cache if c is None else c[:, None, None] * cache
+                a += lam * np.eye(k)
                 if method == "sweep":
                     x = np.zeros((len(b), k))
                     if started:
@@ -235,13 +293,7 @@ def finish_split(
                 else:
                     x = np.linalg.solve(a, b[:, :, None])[:, :, 0]
                     kernels.check_finite(x)
-                flat = pa.array(x.ravel().astype(value_type.to_pandas_dtype(), copy=False))
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * k)
-                columns = [part.column(c) for c in keys]
-                columns.append(pa.ListArray.from_arrays(offsets, flat))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "factors"])
-
-    c_field = ", c_i double" if item_side else ""
-    return systems.mapInArrow(
-        update, f"{layout.own} int{c_field}, factors array<{how.storage}>"
-    )
+                ids = part.column(own_col).to_numpy()
+                yield pa.RecordBatch.from_pydict(factor_batch(own_col, ids, c, x, value_type))
+
+    return systems.mapInArrow(update, schema)

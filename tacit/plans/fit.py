@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tacit.operators.evaluation import evaluate, prediction_error
-from tacit.operators.factors import init_factors, weighted_items
+from tacit.operators.factors import cache_matrix, init_factors, weighted_items
 from tacit.operators.layout import (
     Layout,
     build_layout,
@@ -167,9 +167,15 @@ def _alternate(
     options = placement.options
     how = options.update(method)
     parts: dict[str, State] = {}
+    idle = {"user": 0.0, "item": 0.0}
+    if keep is not None:
+        idle["user"] = cache_matrix(keep[0], None, how.k)
+        idle["item"] = cache_matrix(keep[1], "c_i", how.k)
 
     def advance(side: str, counterpart: DataFrame, own: DataFrame) -> DataFrame:
-        fresh = step(placement.side(side), counterpart, own, how)
+        facing = "item" if side == "user" else "user"
+        cache = parts[facing].cache(how.k) + idle[facing] if facing in parts else None
+        fresh = step(placement.side(side), counterpart, own, how, cache)
         if side in parts:
             parts[side].drop()
         parts[side] = fresh
