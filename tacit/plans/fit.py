@@ -198,7 +198,11 @@ def fit(
     options: FitOptions = FitOptions(),
     on_iteration: Callable[[int, float, FactorModel], None] | None = None,
 ) -> FactorModel:
-    """Popularity-weighted factorisation by element-wise alternating least squares."""
+    """Popularity-weighted factorisation by element-wise alternating least squares.
+
+    ``on_iteration`` receives iteration, seconds and model; that model's tables are replaced by
+    the next iteration, so it must use them before it returns.
+    """
     confidence = store(item_confidence(popularity, options.c0, options.alpha), "confidence").frame
     placement = Placement(interactions, confidence, options)
     try:
