@@ -1,20 +1,45 @@
-"""From raw documents to packed sequences: the stages of the corpus pipeline, in order."""
+"""From raw documents to packed sequences: the stages of the corpus pipeline, in order.
+
+Every stage works on all rows that the stage before kept, and passes on all columns of the rows
+it keeps.  Null and empty texts leave with the first stage, as they have no language.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tacit.llm import packing
+from tacit.llm import langid, near_dup, packing, quality
 from tacit.scratch import materialize
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model is fitted on the labelled rows of docs."""
+    return langid.keep(docs, langid.fit(docs))
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    return near_dup.keep(docs, words=5, percent=80)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences, with their ids."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", apply_quality_rules),
+    ("near duplicates", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
+# A trained network decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
