@@ -13,8 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tacit.llm.text import once, slices
-from tacit.llm.tokens import BYTE_PATTERN, ENCODE_BYTES, rank_bytes, rank_encoder
+from tacit.llm.text import SLICE_BYTES, once, slices
+from tacit.llm.tokens import BYTE_PATTERN, rank_bytes, rank_encoder
 
 # Characters of a chunk, and how far it reaches into the next one.
 CHUNK_CHARS = 32_768
@@ -51,7 +51,7 @@ def _encode_pieces(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def work(batches):
         encoder = rank_encoder(ranks, pattern)
-        for batch in slices(batches, at, ENCODE_BYTES):
+        for batch in slices(batches, at, SLICE_BYTES):
             ids, starts = encoder.encode(batch.column(at))
             lists = pa.ListArray.from_arrays(
                 pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32))
@@ -174,8 +174,8 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     def work(batches):
         known = pa.array(rank_bytes(ranks), pa.large_binary())
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                some = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
                 lists = some.column(at).fill_null([]) if some.column(at).null_count else some.column(at)
                 made = known.take(lists.flatten())
                 ends = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1)

@@ -201,8 +201,9 @@ def rank_encoder(path: str, pattern: str = BYTE_PATTERN) -> Encoder:
         def whole(piece: str) -> bytes:
             return _packed(encoding.encode_ordinary(piece))
 
-        rest = Ids(lambda piece: whole(" " + piece), PIECES)
-        return Encoder(byte_pieces, Ids(whole, PIECES // 10), rest, learn)
+        # One call learns many pieces cheaply, so a smaller memory does.
+        rest = Ids(lambda piece: whole(" " + piece), PIECES // 4)
+        return Encoder(byte_pieces, Ids(whole, PIECES // 40), rest, learn)
 
     return once(("ranks", path, pattern), make)
 
