@@ -81,7 +81,15 @@ def trial(iterations: int = 1, n_users: int | None = None, base: dict | None = N
     )
 
 
-TRAIN_ITEMS = "(SELECT count(DISTINCT item_idx) FROM train)"
+def by_pair(share: float) -> dict[str, str]:
+    """A random split by pair."""
+    chosen = f"{sql.uniform('user_idx', 'item_idx')} < {share}"
+    return INDEXED | {
+        "train": f"SELECT * FROM inter WHERE {chosen}",
+        "test": f"SELECT * FROM inter WHERE NOT ({chosen})",
+    }
+
+
 CANDIDATE_ROWS = f"SELECT {BIG_PAIR}, CAST(is_true AS BIGINT) AS is_true FROM candidates"
 
 
@@ -110,14 +118,14 @@ def telemetry() -> str:
         RAW
         | sql.core(10)
         | sql.indexed("core")
-        | sql.leave_one_out(500)
+        | sql.leave_one_out(None)
         | {
             "pop": sql.popularity("inter"),
             "conf": sql.confidence("pop", 512.0),
             "pairs": sql.pairs("train", "distinct"),
         }
         | sql.fit("train", 2, 2)
-        | sql.negatives(TRAIN_ITEMS)
+        | sql.negatives()
         | {
             "size": "SELECT count(DISTINCT user_idx) AS n_users, count(DISTINCT item_idx) AS n_items"
             " FROM train"
@@ -132,11 +140,11 @@ def telemetry() -> str:
         }
         rows.append(
             f"SELECT CAST({t} AS BIGINT) AS iteration, (SELECT n_users FROM size) AS n_users,"
-            f" (SELECT n_items FROM size) AS n_items, {sql.metrics()},"
+            f" (SELECT n_items FROM size) AS n_items, {sql.metrics(least=False)},"
             f" (SELECT round(sqrt(avg((1.0 - ({sql.dot(2)})) * (1.0 - ({sql.dot(2)})))), 9)"
             f" FROM test JOIN p{t} p USING (user_idx) JOIN q{t} q USING (item_idx)) AS rmse,"
             " (SELECT round((n_users + n_items) * 4.0 / 1000000.0, 6) FROM size)::DOUBLE"
-            f" AS mops_elementwise FROM ranked{t} WHERE is_true = 1"
+            f" AS mops_elementwise FROM {sql.true_rows(f'ranked{t}')}"
         )
     return sql.query(base, " UNION ALL ".join(rows))
 
@@ -253,31 +261,60 @@ def oracle_sql() -> dict[str, str]:
             f" round({sql.dot(2)}, 9) + 0.0 AS score FROM test t JOIN p1 p USING (user_idx)"
             " JOIN q1 q USING (item_idx)",
         ),
-        "negatives_uniform": sql.query(loo(None) | sql.negatives(TRAIN_ITEMS), CANDIDATE_ROWS),
-        "negatives_unseen": sql.query(loo(None) | sql.unseen(TRAIN_ITEMS, 400), CANDIDATE_ROWS),
+        "negatives_uniform": sql.query(loo(None) | sql.negatives(), CANDIDATE_ROWS),
+        "negatives_unseen": sql.query(loo(None) | sql.unseen(400), CANDIDATE_ROWS),
         "ranked_candidates": sql.query(
-            trial() | sql.negatives(TRAIN_ITEMS) | sql.ranking("p1", "q1", 2),
+            trial() | sql.negatives() | sql.ranking("p1", "q1", 2),
             f"SELECT {BIG_PAIR}, CAST(is_true AS BIGINT) AS is_true,"
             " CAST(rank AS BIGINT) AS rank FROM ranked",
         ),
         "hit_ndcg_uniform": sql.query(
-            trial() | sql.negatives(TRAIN_ITEMS) | sql.ranking("p1", "q1", 2),
-            f"SELECT {sql.metrics()} FROM ranked WHERE is_true = 1",
+            trial() | sql.negatives() | sql.ranking("p1", "q1", 2),
+            f"SELECT {sql.metrics()} FROM {sql.true_rows()}",
         ),
         "hit_ndcg_unseen": sql.query(
-            trial() | sql.unseen(TRAIN_ITEMS, 400) | sql.ranking("p1", "q1", 2),
-            f"SELECT {sql.metrics()} FROM ranked WHERE is_true = 1",
+            trial() | sql.unseen(400) | sql.ranking("p1", "q1", 2),
+            f"SELECT {sql.metrics()} FROM {sql.true_rows()}",
+        ),
+        "hit_ndcg_sparse_train": sql.query(
+            trial(base=by_pair(0.02)) | sql.negatives() | sql.ranking("p1", "q1", 2),
+            f"SELECT {sql.metrics()} FROM {sql.true_rows()}",
+        ),
+        "hit_ndcg_many_per_user": sql.query(
+            trial(base=by_pair(0.8)) | sql.negatives() | sql.ranking("p1", "q1", 2),
+            f"SELECT {sql.metrics()} FROM {sql.true_rows()}",
+        ),
+        "scored_pairs_k32": sql.query(
+            INDEXED | starts(32),
+            f"SELECT {BIG_PAIR}, round({sql.dot(32)}, 9) + 0.0 AS score"
+            " FROM (SELECT DISTINCT user_idx, item_idx FROM inter)"
+            " JOIN p0 p USING (user_idx) JOIN q0 q USING (item_idx)",
+        ),
+        "sweep_items_split": one_step("item"),
+        "als_users_split": one_step(
+            "user", own=False, base=UNIFORM, method="solve", distribution="normal"
+        ),
+        "fit_two_iterations_keep": sql.query(
+            INDEXED
+            | POPULARITY
+            | {"conf": sql.confidence("pop", 64.0), "pairs": sql.pairs("inter", "keep")}
+            | sql.fit("inter", 2, 2),
+            sql.model_rows("p2", "q2", 2),
+        ),
+        "als_fit_idle_entities": sql.query(
+            INDEXED
+            | {"train": THIN["train"], "conf": UNIFORM["conf"]}
+            | {"pairs": sql.pairs("train", "distinct")}
+            | sql.fit("inter", 2, 2, distribution="normal", method="solve", idle=True),
+            sql.model_rows("p2", "q2", 2),
+        ),
+        "user_history_parts": sql.query(
+            RAW,
+            "SELECT user_id AS user_idx, count(*) AS n, string_agg(CAST(item_id AS VARCHAR),"
+            " ',' ORDER BY item_id) AS items FROM raw GROUP BY user_id",
         ),
         "rmse_coverage": sql.query(
-            trial(
-                base=INDEXED
-                | {
-                    "train": "SELECT * FROM inter WHERE "
-                    f"{sql.uniform('user_idx', 'item_idx')} < 0.3",
-                    "test": "SELECT * FROM inter WHERE NOT "
-                    f"({sql.uniform('user_idx', 'item_idx')} < 0.3)",
-                }
-            ),
+            trial(base=by_pair(0.8)),
             "SELECT (SELECT count(*) FROM test) AS n_test, count(*) AS n_covered,"
             " round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM test), 9) AS coverage,"
             f" round(sqrt(sum((1.0 - ({sql.dot(2)})) * (1.0 - ({sql.dot(2)}))) / count(*)), 9)"

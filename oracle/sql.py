@@ -198,16 +198,27 @@ def fit(
     begin: str = "warm",
     distribution: str = "uniform",
     method: str = "sweep",
+    idle: bool = False,
 ) -> dict[str, str]:
-    """Alternating fit over ``pairs`` and ``conf``; ends in tables p{iterations}, q{iterations}."""
+    """Alternating fit over ``pairs`` and ``conf``; ends in tables p{iterations}, q{iterations}.
+
+    With ``idle``, ids of ``source`` without a pair keep their start vectors.
+    """
     parts = {
         "p0": start(source, "user_idx", k, distribution),
         "q0": start(source, "item_idx", k, distribution),
     }
     for t in range(1, iterations + 1):
         warm = begin == "warm"
-        parts |= half_step(f"p{t}", "user", f"q{t-1}", k, f"p{t-1}" if warm else None, method)
-        parts |= half_step(f"q{t}", "item", f"p{t}", k, f"q{t-1}" if warm else None, method)
+        for side, own, other in (("user", "p", f"q{t-1}"), ("item", "q", f"p{t}")):
+            name = f"{own}{t}"
+            fresh = f"{name}_fresh" if idle else name
+            parts |= half_step(fresh, side, other, k, f"{own}{t-1}" if warm else None, method)
+            if idle:
+                parts[name] = (
+                    f"SELECT * FROM {fresh} UNION ALL"
+                    f" SELECT * FROM {own}0 ANTI JOIN pairs USING ({side}_idx)"
+                )
     return parts
 
 
@@ -242,35 +253,51 @@ def leave_one_out(n_users: int | None) -> dict[str, str]:
         sample += (
             f" ORDER BY {draw('user_idx', chr(39) + 'sample' + chr(39))}, user_idx LIMIT {n_users}"
         )
-    order = draw("user_idx", "item_idx")
+    drawn = f"(CAST({draw('user_idx', 'item_idx')} AS DOUBLE) + 1.0) / {RANGE}"
     return {
         "sampled": sample,
+        "hidden": f"SELECT user_idx, item_idx, -ln({drawn}) / count(*) AS wait FROM inter"
+        " WHERE user_idx IN (SELECT user_idx FROM sampled) GROUP BY user_idx, item_idx",
         "test": "SELECT user_idx, item_idx FROM (SELECT user_idx, item_idx, row_number() OVER"
-        f" (PARTITION BY user_idx ORDER BY {order}, item_idx) AS pos FROM inter"
-        " WHERE user_idx IN (SELECT user_idx FROM sampled)) WHERE pos = 1",
+        " (PARTITION BY user_idx ORDER BY wait, item_idx) AS pos FROM hidden) WHERE pos = 1",
         "train": "SELECT i.* FROM inter i ANTI JOIN test USING (user_idx, item_idx)",
     }
 
 
-def negatives(n_items: str, n: int = 99) -> dict[str, str]:
+# The items that can be drawn, numbered, and the distinct test pairs.
+FRAME = {
+    "frame": "SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS place"
+    " FROM (SELECT DISTINCT item_idx FROM train)",
+    "cases": "SELECT DISTINCT user_idx, item_idx AS truth FROM test",
+}
+TRUE_ROWS = "SELECT user_idx, truth, truth AS item_idx, 1 AS is_true FROM cases"
+
+
+def places(draws: int) -> str:
+    place = f"{draw('user_idx', 'truth', 'j')} % (SELECT count(*) FROM frame)"
+    return (
+        f"SELECT user_idx, truth, j, {place} AS place FROM cases"
+        f" CROSS JOIN (SELECT unnest(range({draws})) AS j)"
+    )
+
+
+def negatives(n: int = 99) -> dict[str, str]:
     """``candidates`` of ``test`` with uniform draws."""
-    item = f"{draw('user_idx', 'item_idx', 'j')} % {n_items}"
-    return {
-        "candidates": "SELECT user_idx, item_idx, 1 AS is_true FROM test UNION ALL"
-        f" SELECT user_idx, {item}, 0 FROM test CROSS JOIN (SELECT unnest(range({n})) AS j)"
+    return FRAME | {
+        "candidates": f"{TRUE_ROWS} UNION ALL SELECT user_idx, truth, item_idx, 0"
+        f" FROM ({places(n)}) JOIN frame USING (place)"
     }
 
 
-def unseen(n_items: str, draws: int, n: int = 99) -> dict[str, str]:
+def unseen(draws: int, n: int = 99) -> dict[str, str]:
     """``candidates`` of ``test`` with the first distinct unseen draws."""
-    item = f"{draw('t.user_idx', 't.item_idx', 'j')} % {n_items}"
-    return {
-        "drawn": f"SELECT t.user_idx, t.item_idx AS truth, {item} AS item_idx, min(j) AS j"
-        f" FROM test t CROSS JOIN (SELECT unnest(range({draws})) AS j) GROUP BY 1, 2, 3",
+    return FRAME | {
+        "drawn": f"SELECT user_idx, truth, item_idx, min(j) AS j FROM ({places(draws)})"
+        " JOIN frame USING (place) GROUP BY 1, 2, 3",
         "fresh": "SELECT d.*, row_number() OVER (PARTITION BY user_idx, truth ORDER BY j) AS pos"
         " FROM drawn d ANTI JOIN train USING (user_idx, item_idx) WHERE item_idx <> truth",
-        "candidates": "SELECT user_idx, item_idx, 1 AS is_true FROM test UNION ALL"
-        f" SELECT user_idx, item_idx, 0 FROM fresh WHERE pos <= {n}",
+        "candidates": f"{TRUE_ROWS} UNION ALL"
+        f" SELECT user_idx, truth, item_idx, 0 FROM fresh WHERE pos <= {n}",
     }
 
 
@@ -279,15 +306,28 @@ def ranking(users: str, items: str, k: int) -> dict[str, str]:
     return {
         "scored": f"SELECT c.*, {dot(k)} AS score FROM candidates c JOIN {users} p USING"
         f" (user_idx) JOIN {items} q USING (item_idx)",
-        "ranked": "SELECT *, row_number() OVER (PARTITION BY user_idx"
-        " ORDER BY score DESC, item_idx, is_true DESC) AS rank FROM scored",
+        "ranked": "SELECT *, row_number() OVER (PARTITION BY user_idx, truth"
+        " ORDER BY score DESC, item_idx, is_true DESC) AS rank,"
+        " count(*) OVER (PARTITION BY user_idx, truth) - 1 AS n FROM scored",
     }
 
 
-def metrics(digits: int = 9) -> str:
+METRICS = (
+    "(SELECT count(*) FROM test) AS n_test, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_covered,"
+    " {least}round(CAST(sum(n * c) AS DOUBLE) / sum(c), 9) AS mean_candidates,"
+    " round(sum(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END * c) / sum(c), 9)::DOUBLE AS hit_ratio,"
+    " round(sum(CASE WHEN rank <= 10 THEN ln(2.0) / ln(rank + 1.0) ELSE 0.0 END * c) / sum(c), 9)"
+    " AS ndcg"
+)
+
+
+def metrics(least: bool = True) -> str:
+    return METRICS.format(least="min(n) AS min_candidates, " if least else "")
+
+
+def true_rows(ranked: str = "ranked") -> str:
+    """The ranked true rows with the number of test rows each stands for."""
     return (
-        "(SELECT count(*) FROM test) AS n_test, count(*) AS n_covered,"
-        f" round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), {digits}) AS hit_ratio,"
-        f" round(avg(CASE WHEN rank <= 10 THEN ln(2.0) / ln(rank + 1.0) ELSE 0.0 END), {digits})"
-        " AS ndcg"
+        f"(SELECT * FROM {ranked} WHERE is_true = 1) JOIN (SELECT user_idx, item_idx AS truth,"
+        " count(*) AS c FROM test GROUP BY 1, 2) USING (user_idx, truth)"
     )

@@ -1,4 +1,5 @@
 from tacit.operators.evaluation import (
+    case_ranks,
     evaluate,
     negative_candidates,
     prediction_error,
@@ -22,6 +23,7 @@ from tacit.operators.weights import item_confidence, item_popularity
 
 __all__ = [
     "apply_index",
+    "case_ranks",
     "complete_confidence",
     "complete_factors",
     "dense_index",

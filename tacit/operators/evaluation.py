@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tacit.functions import dot, draw, draw_below
-from tacit.scratch import materialize, spread, store, task_width
+from tacit.operators.indexing import dense_index
+from tacit.scratch import Stored, materialize, spread, store, task_width
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
 DRAWS_PER_NEGATIVE = 1.25
@@ -66,38 +67,53 @@ def _attach(pairs: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, int]:
 
 def negative_candidates(
     test: DataFrame,
-    n_items: int,
+    items: DataFrame,
     n: int = 99,
     seed: int = 42,
     mode: str = "uniform",
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """``(user_idx, item_idx, is_true)``: each test row plus ``n`` sampled items of [0, n_items).
+    """``(user_idx, true_item, item_idx, is_true)``: each test pair plus ``n`` items of ``items``.
 
+    A case is a distinct (user, item) pair of ``test``.  Items are drawn by their position among
+    the ids of ``items``, usually the items that have a vector, so gaps between ids cost nothing.
     ``uniform``: draws with replacement; they may repeat or hit the true or a seen item.
     ``unseen``: distinct items outside ``seen`` (user_idx, item_idx) and other than the true
     one, in draw order; a user with fewer than ``n`` unseen items gets all of them.
     """
-    cases = test.select("user_idx", F.col("item_idx").alias("true_item"))
+    cases = test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
+    truth = cases.select(
+        "user_idx",
+        "true_item",
+        F.col("true_item").cast("int").alias("item_idx"),
+        F.lit(1).cast("bigint").alias("is_true"),
+    )
+    places = _places(items)
     if mode == "uniform":
-        # Number n stands for the true row, so that all candidates of a user come from one row
-        # and stay in its partition up to the ranking.
         stored = materialize(cases, "cases")
-        numbered = _numbered(stored.repartition(task_width(stored.sparkSession), "user_idx"), n + 1)
-        true = F.col("j") == n
-        drawn = _draw_item(n_items, F.col("j"), seed)
-        return numbered.select(
-            "user_idx",
-            F.when(true, F.col("true_item")).otherwise(drawn).alias("item_idx"),
-            true.cast("bigint").alias("is_true"),
-        )
-    if mode == "unseen":
+        numbered = _numbered(stored.repartition(task_width(stored.sparkSession), "user_idx"), n)
+        drawn = numbered.withColumn("place", _draw_place(places.rows, F.col("j"), seed))
+        false = _named(drawn, places).select("user_idx", "true_item", "item_idx")
+    elif mode == "unseen":
         if seen is None:
             raise ValueError("unseen negatives need the seen pairs")
-        truth = test.select("user_idx", "item_idx", F.lit(1).cast("bigint").alias("is_true"))
-        drawn = _unseen(cases.distinct(), n_items, n, seed, seen)
-        return truth.unionByName(drawn.withColumn("is_true", F.lit(0).cast("bigint")))
-    raise ValueError(f"unknown mode {mode!r}")
+        false = _unseen(cases, places, n, seed, seen)
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    return truth.unionByName(false.withColumn("is_true", F.lit(0).cast("bigint")))
+
+
+def _places(items: DataFrame) -> Stored:
+    """``(place, item_idx)``: the ids of ``items`` numbered from 0 in ascending order."""
+    ids = items.select("item_idx").distinct()
+    return store(dense_index(ids, "item_idx", "first_seen", "item_idx", "place"), "places")
+
+
+def _named(drawn: DataFrame, places: Stored) -> DataFrame:
+    """Put items in the place of their positions."""
+    table = places.frame.select("place", F.col("item_idx").cast("int").alias("item_idx"))
+    small = places.rows * 16 <= BROADCAST_BYTES
+    return drawn.join(F.broadcast(table) if small else table.hint("merge"), "place").drop("place")
 
 
 def _numbered(cases: DataFrame, count: int, name: str = "j") -> DataFrame:
@@ -110,23 +126,23 @@ def _numbered(cases: DataFrame, count: int, name: str = "j") -> DataFrame:
     return spans.select(*cases.columns, F.explode(F.sequence(F.col("_low"), high)).alias(name))
 
 
-def _draw_item(n_items: int, j: Column, seed: int) -> Column:
-    item = draw_below(F.lit(n_items), F.col("user_idx"), F.col("true_item"), j, seed=seed)
-    return item.cast("int")
+def _draw_place(count: int, j: Column, seed: int) -> Column:
+    place = draw_below(F.lit(count), F.col("user_idx"), F.col("true_item"), j, seed=seed)
+    return place.cast("int")
 
 
-def _distinct_draws(cases: DataFrame, n_items: int, count: int, seed: int) -> DataFrame:
-    """The different items among ``count`` draws, with ``j`` in the order of first draws.
+def _distinct_draws(cases: DataFrame, count: int, draws: int, seed: int) -> DataFrame:
+    """The different places among ``draws`` draws, with ``j`` in the order of first draws.
 
     Usual rounds settle repeats inside the row of a case; only a round too long for one row
     shuffles its draws to find them.
     """
-    if count <= NUMBER_SPAN:
-        numbers = F.sequence(F.lit(0), F.lit(count - 1))
-        drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_item(n_items, j, seed)))
-        return spread(cases, "user_idx").select("*", F.posexplode(drawn).alias("j", "item_idx"))
-    drawn = _numbered(cases, count).withColumn("item_idx", _draw_item(n_items, F.col("j"), seed))
-    return drawn.groupBy("user_idx", "true_item", "item_idx").agg(F.min("j").alias("j"))
+    if draws <= NUMBER_SPAN:
+        numbers = F.sequence(F.lit(0), F.lit(draws - 1))
+        drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_place(count, j, seed)))
+        return spread(cases, "user_idx").select("*", F.posexplode(drawn).alias("j", "place"))
+    drawn = _numbered(cases, draws).withColumn("place", _draw_place(count, F.col("j"), seed))
+    return drawn.groupBy("user_idx", "true_item", "place").agg(F.min("j").alias("j"))
 
 
 def _without_seen(pool: DataFrame, seen: DataFrame) -> DataFrame:
@@ -141,12 +157,12 @@ def _first(pool: DataFrame, n: int) -> DataFrame:
     return pool.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
 
 
-def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame) -> DataFrame:
-    """Rejection sampling in growing rounds, then a full listing for the few cases left.
+def _unseen(cases: DataFrame, places: Stored, n: int, seed: int, seen: DataFrame) -> DataFrame:
+    """Rejection sampling in growing rounds, then what the few users left have not seen.
 
-    A case still short after about ``n_items`` draws belongs to a user who has seen nearly all
-    items, so listing all items for it costs no more than reading that user's own history.
-    Listed items are taken in the order of a draw of their own.
+    A case still short after about as many draws as there are items belongs to a user who has
+    seen nearly all of them.  Such a user's unseen items are few; they are found once per user
+    and shared by the user's cases, each of which takes them in the order of a draw of its own.
     """
     key = ["user_idx", "true_item"]
     todo = materialize(cases, "cases")
@@ -158,56 +174,93 @@ def _unseen(cases: DataFrame, n_items: int, n: int, seed: int, seen: DataFrame)
     )
     done = None
     n_draws = math.ceil(DRAWS_PER_NEGATIVE * n)
-    while n_draws < n_items:
-        pool = _distinct_draws(todo, n_items, n_draws, seed)
+    while n_draws < places.rows:
+        pool = _named(_distinct_draws(todo, places.rows, n_draws, seed), places)
         got = materialize(_first(_without_seen(pool, seen), n), "unseen")
         full = got.groupBy(*key).count().where(F.col("count") >= n).select(*key)
         short = store(todo.join(full, key, "left_anti"), "cases")
         enough = got.join(short.frame, key, "left_anti") if short.rows else got
         done = enough if done is None else done.unionByName(enough)
         if not short.rows:
-            return done.select("user_idx", "item_idx")
+            return done.select(*key, "item_idx")
         todo, n_draws = short.frame, n_draws * DRAWS_GROWTH
+    if not places.rows:
+        return todo.select(*key, F.col("true_item").cast("int").alias("item_idx")).limit(0)
+    users = todo.select("user_idx").distinct()
+    every = _named(_numbered(spread(users, "user_idx"), places.rows, "place"), places)
+    unseen = materialize(every.join(seen, ["user_idx", "item_idx"], "left_anti"), "unseen-rest")
     order = draw(F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed)
-    every = _numbered(spread(todo, "user_idx"), n_items, "item_idx")
-    listed = _without_seen(every, seen).withColumn("j", order)
-    last = _first(listed, n).select("user_idx", "item_idx")
-    return last if done is None else done.select("user_idx", "item_idx").unionByName(last)
+    listed = todo.join(unseen, "user_idx").where(F.col("item_idx") != F.col("true_item"))
+    last = _first(listed.withColumn("j", order), n).select(*key, "item_idx")
+    return last if done is None else done.select(*key, "item_idx").unionByName(last)
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:
-    """Rank within a user by score; ties go to the lower item, then to the true row.
+    """Rank within a case by score; ties go to the lower item, then to the true row.
 
-    A user's group is the sampled candidate list, whose length is the sample size plus one per
-    test row.
+    The group of a case is its candidate list, whose length is the sample size plus one.
     """
-    order = Window.partitionBy("user_idx").orderBy(
+    order = Window.partitionBy("user_idx", "true_item").orderBy(
         F.desc("score"), F.asc("item_idx"), F.desc("is_true")
     )
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def rank_gains(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """The true rows with ``hit`` and ``ndcg`` at ``k``."""
+def case_ranks(scored: DataFrame) -> DataFrame:
+    """``(user_idx, item_idx, rank, n_candidates)`` per case whose true item has a score.
+
+    The rank of a true row is one more than the number of its case's candidates that come before
+    it in the order of :func:`rank_candidates`: a plain aggregate, without sorting anything.
+    """
+    key = ["user_idx", "true_item"]
+    truth = scored.where(F.col("is_true") == 1).select(*key, F.col("score").alias("_true"))
+    others = scored.where(F.col("is_true") == 0).select(*key, "item_idx", "score")
+    before = (F.col("score") > F.col("_true")) | (
+        (F.col("score") == F.col("_true")) & (F.col("item_idx") < F.col("true_item"))
+    )
+    return (
+        truth.join(others, key, "left")
+        .groupBy(*key)
+        .agg(
+            (F.count_if(before) + 1).alias("rank"),
+            F.count("score").alias("n_candidates"),
+        )
+        .select("user_idx", F.col("true_item").alias("item_idx"), "rank", "n_candidates")
+    )
+
+
+def rank_gains(ranks: DataFrame, k: int = 10) -> DataFrame:
+    """Ranked true rows with ``hit`` and ``ndcg`` at ``k``."""
     inside = F.col("rank") <= k
     gain = F.log(F.lit(2.0)) / F.log(F.col("rank") + F.lit(1.0))
-    return ranked.where(F.col("is_true") == 1).select(
-        "user_idx",
-        "item_idx",
-        "rank",
+    return ranks.select(
+        "*",
         F.when(inside, 1.0).otherwise(0.0).alias("hit"),
         F.when(inside, gain).otherwise(0.0).alias("ndcg"),
     )
 
 
-def ranking_metrics(test: DataFrame, ranked: DataFrame, k: int = 10) -> DataFrame:
-    """One row ``(n_test, n_covered, hit_ratio, ndcg)``; the means are null without coverage."""
-    n_test = test.agg(F.count(F.lit(1))).scalar()
-    return rank_gains(ranked, k).agg(
-        F.count(F.lit(1)).alias("n_covered"),
-        F.avg("hit").alias("hit_ratio"),
-        F.avg("ndcg").alias("ndcg"),
-    ).select(n_test.alias("n_test"), "n_covered", "hit_ratio", "ndcg")
+def ranking_metrics(test: DataFrame, ranks: DataFrame, k: int = 10) -> DataFrame:
+    """One row ``(n_test, n_covered, min_candidates, mean_candidates, hit_ratio, ndcg)``.
+
+    Counts are of test rows, so a case counts as often as ``test`` repeats it.  Candidates are
+    those that were scored against a covered row.  Means are null without coverage.
+    """
+    rows = test.groupBy("user_idx", "item_idx").agg(F.count(F.lit(1)).alias("_rows"))
+    gains = rows.join(rank_gains(ranks, k), ["user_idx", "item_idx"], "left")
+    found = F.when(F.col("rank").isNotNull(), F.col("_rows"))
+
+    def mean(col: str) -> Column:
+        return F.try_divide(F.sum(F.col(col) * found), F.sum(found))
+
+    return gains.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_test"),
+        F.coalesce(F.sum(found), F.lit(0)).alias("n_covered"),
+        F.min("n_candidates").alias("min_candidates"),
+        mean("n_candidates").alias("mean_candidates"),
+        mean("hit").alias("hit_ratio"),
+        mean("ndcg").alias("ndcg"),
+    )
 
 
 def prediction_error(test: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -234,13 +287,18 @@ def evaluate(
     test: DataFrame,
     users: DataFrame,
     items: DataFrame,
-    n_items: int,
     n: int = 99,
     k: int = 10,
     seed: int = 42,
     mode: str = "uniform",
     seen: DataFrame | None = None,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """Sampled ranking evaluation of a factor model; see :func:`ranking_metrics`."""
-    candidates = negative_candidates(test, n_items, n, seed, mode, seen)
-    return ranking_metrics(test, rank_candidates(score_pairs(candidates, users, items)), k)
+    """Sampled ranking evaluation of a factor model; see :func:`ranking_metrics`.
+
+    ``candidates`` may hold what :func:`negative_candidates` gave before, for models over the
+    same items; without it, negatives are drawn from the items that have a vector.
+    """
+    if candidates is None:
+        candidates = negative_candidates(test, items, n, seed, mode, seen)
+    return ranking_metrics(test, case_ranks(score_pairs(candidates, users, items)), k)

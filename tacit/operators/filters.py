@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tacit.scratch import store
+from tacit.scratch import Stored, store
 
 # Ranking cuts up to this many ids are marked for broadcast; above it Catalyst decides by size.
 BROADCAST_IDS = 100_000
-# Dropped ids are applied as anti-joins up to these limits; then the pair table is rewritten.
-PENDING_IDS = 1_000_000
-PENDING_PASSES = 8
+# The pair table is rewritten without its dropped pairs when they make up this share of it.
+STALE_SHARE = 0.25
 
 
 def count_by(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -60,9 +60,9 @@ def peel(df: DataFrame, user_col: str, item_col: str, k: int) -> Peeling:
     """Find the users and items outside the k-core.
 
     The loop runs on distinct pairs with their multiplicity, so copies of a pair cost one row.
-    A pass counts users, drops those below ``k``, counts items on what is left and drops those.
-    Only the ids dropped in a pass are written; after the first pass they are few, and the pairs
-    are filtered by small anti-joins rather than rewritten and reshuffled each time.
+    Degrees of users and items are counted once.  From then on a half-pass fetches only the pairs
+    of the ids just dropped and subtracts them from the degrees of the other side, so it costs
+    the frontier and not the data.  A pass drops light users, then light items.
     """
     pairs = store(
         df.where(F.col(user_col).isNotNull() & F.col(item_col).isNotNull())
@@ -70,34 +70,62 @@ def peel(df: DataFrame, user_col: str, item_col: str, k: int) -> Peeling:
         .agg(F.count(F.lit(1)).alias("n")),
         "core-pairs",
     )
-    alive = pairs.frame
-    spark = df.sparkSession
-    dropped = {
-        col: spark.createDataFrame([], alive.select(col).schema) for col in (user_col, item_col)
+    sides = (user_col, item_col)
+    degrees = {
+        col: store(pairs.frame.groupBy(col).agg(F.sum("n").alias("n")), "core-degrees")
+        for col in sides
     }
-    passes = pending = stacked = 0
+    dropped: dict[str, list[Stored]] = {col: [] for col in sides}
+    passes = stale = 0
     while True:
         passes += 1
         removed = 0
-        for col in (user_col, item_col):
-            light = store(
-                alive.groupBy(col).agg(F.sum("n").alias("n")).where(F.col("n") < k).select(col),
-                "core-dropped",
+        for col, other in (sides, sides[::-1]):
+            light = store(degrees[col].frame.where(F.col("n") < k).select(col), "core-dropped")
+            if not light.rows:
+                light.drop()
+                continue
+            removed += light.rows
+            degrees[col] = _replaced(
+                degrees[col], degrees[col].frame.where(F.col("n") >= k), "core-degrees"
             )
-            if light.rows:
-                dropped[col] = dropped[col].unionByName(light.frame)
-                alive = alive.join(light.frame, col, "left_anti")
-                removed += light.rows
+            # Pairs of the frontier; those of ids that the other side dropped before are gone
+            # from its degrees, and the join leaves them out.
+            gone = pairs.frame.join(_marked(light), col, "left_semi")
+            loss = store(gone.groupBy(other).agg(F.sum("n").alias("_n"), F.count("n").alias("_p")), "core-loss")
+            stale += loss.frame.agg(F.coalesce(F.sum("_p"), F.lit(0))).first()[0]
+            lower = degrees[other].frame.join(_marked(loss), other, "left").select(
+                other, (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")
+            )
+            degrees[other] = _replaced(degrees[other], lower, "core-degrees")
+            loss.drop()
+            dropped[col].append(light)
+            if stale > STALE_SHARE * pairs.rows:
+                kept = pairs.frame
+                for side in sides:
+                    kept = kept.join(degrees[side].frame.select(side), side, "left_semi")
+                pairs, stale = _replaced(pairs, kept, "core-pairs"), 0
         if not removed:
-            pairs.drop()
-            return Peeling(dropped[user_col], dropped[item_col], passes)
-        pending += removed
-        stacked += 1
-        if passes == 1 or pending > PENDING_IDS or stacked > PENDING_PASSES:
-            previous, pairs = pairs, store(alive, "core-pairs")
-            previous.drop()
-            alive = pairs.frame
-            pending = stacked = 0
+            break
+    empty = {col: pairs.frame.select(col).limit(0) for col in sides}
+    lists = {col: [s.frame for s in dropped[col]] or [empty[col]] for col in sides}
+    whole = {
+        col: store(reduce(DataFrame.unionByName, lists[col]), "core-ids").frame for col in sides
+    }
+    for spent in (pairs, *degrees.values(), *(s for col in sides for s in dropped[col])):
+        spent.drop()
+    return Peeling(whole[user_col], whole[item_col], passes)
+
+
+def _replaced(old: Stored, frame: DataFrame, name: str) -> Stored:
+    fresh = store(frame, name)
+    old.drop()
+    return fresh
+
+
+def _marked(table: Stored) -> DataFrame:
+    """For broadcast if short; above, Catalyst decides by size."""
+    return F.broadcast(table.frame) if table.rows <= BROADCAST_IDS else table.frame
 
 
 def kcore(df: DataFrame, user_col: str, item_col: str, k: int = 10) -> DataFrame:

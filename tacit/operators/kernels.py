@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Entities, and padded vector elements, that one batched solve takes.
 SOLVE_BATCH = 256
+SOLVE_CELLS = 1 << 21
 
 
 def check_positive(values: np.ndarray) -> None:
@@ -85,20 +87,30 @@ def sweep_systems(x, a, b):
 
 
 def solve(vectors, at, lengths, coef, wr, scale, cache, lam):
-    """Exact solution per entity, in batches of (batch, K, K) systems."""
+    """Exact solution per entity, by batched products over entities of similar length.
+
+    Entities are taken by falling length and padded with weight zero to the longest of their
+    batch.  A batch holds at most ``SOLVE_CELLS`` padded vector elements.
+    """
     k = len(cache)
     starts = ragged_starts(lengths)
     out = np.empty((len(lengths), k))
     ridge = lam * np.eye(k)
-    for low in range(0, len(lengths), SOLVE_BATCH):
-        high = min(low + SOLVE_BATCH, len(lengths))
-        a = np.empty((high - low, k, k))
-        b = np.empty((high - low, k))
-        for e in range(low, high):
-            seen = slice(starts[e], starts[e] + lengths[e])
-            a[e - low], b[e - low] = normal_equations(vectors, at[seen], coef[seen], wr[seen])
-            a[e - low] += scale[e] * cache + ridge
-        out[low:high] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    order = np.argsort(-lengths, kind="stable")
+    low = 0
+    while low < len(order):
+        longest = max(1, int(lengths[order[low]]))
+        count = max(1, min(SOLVE_BATCH, SOLVE_CELLS // (longest * k)))
+        some = order[low : low + count]
+        low += count
+        steps = np.arange(longest)
+        real = steps < lengths[some][:, None]
+        places = np.where(real, starts[some][:, None] + steps, 0)
+        v = vectors.T[at[places]].astype(np.float64, copy=False)  # entity, observation, factor
+        weighted = v * np.where(real, coef[places], 0.0)[:, :, None]
+        a = weighted.transpose(0, 2, 1) @ v + scale[some][:, None, None] * cache + ridge
+        b = np.einsum("nmk,nm->nk", v, np.where(real, wr[places], 0.0))
+        out[some] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
     check_finite(out)
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tacit.functions import draw, uniform
+from tacit.functions.draws import DRAW_RANGE
 
 
 def random_split(
@@ -25,12 +26,14 @@ def sample_users(interactions: DataFrame, n: int | None, seed: int = 42) -> Data
 
 
 def leave_one_out(
-    interactions: DataFrame, n_users: int | None = 500, seed: int = 42
+    interactions: DataFrame, n_users: int | None = None, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Hide one random row of each sampled user: ``(train, test)``.
+    """Hide one random row of each user, or of ``n_users`` sampled ones: ``(train, test)``.
 
-    The row with the smallest draw is a plain aggregate, combined on the map side, so a user
-    with a huge history is never sorted in one task.  All copies of a hidden pair leave train.
+    Every row of a user is equally likely, so a pair with n copies is n times as likely as one
+    with a single copy: the smallest of n exponential draws is one draw divided by n.  Copies are
+    counted on the map side and the hidden row is a plain minimum, so a user with a huge history
+    is never sorted in one task.  All copies of a hidden pair leave train.
     """
     rest = [c for c in interactions.columns if c not in ("user_idx", "item_idx")]
     candidates = interactions
@@ -38,11 +41,15 @@ def leave_one_out(
         candidates = interactions.join(
             sample_users(interactions, n_users, seed), "user_idx", "left_semi"
         )
-    order = draw(F.col("user_idx"), F.col("item_idx"), seed=seed)
-    hidden = candidates.groupBy("user_idx").agg(
-        F.min(F.struct(order.alias("draw"), "item_idx", *rest)).alias("row")
+    pairs = candidates.groupBy("user_idx", "item_idx").agg(
+        F.count(F.lit(1)).alias("_n"), *([F.min(F.struct(*rest)).alias("_rest")] if rest else [])
     )
-    test = hidden.select("user_idx", "row.item_idx", *[f"row.{c}" for c in rest])
+    drawn = draw(F.col("user_idx"), F.col("item_idx"), seed=seed).cast("double")
+    order = -F.log((drawn + F.lit(1.0)) / F.lit(DRAW_RANGE)) / F.col("_n")
+    hidden = pairs.groupBy("user_idx").agg(
+        F.min(F.struct(order.alias("draw"), "item_idx", *(["_rest"] if rest else []))).alias("row")
+    )
+    test = hidden.select("user_idx", "row.item_idx", *[f"row._rest.{c}" for c in rest])
     test = test.select(*interactions.columns)
     train = interactions.join(
         test.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti"

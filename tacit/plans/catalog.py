@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tacit.operators import (
     apply_index,
+    case_ranks,
     complete_confidence,
     complete_factors,
     dense_index,
@@ -234,6 +235,19 @@ def user_history(spark, sf_dir):
     return _history(spark, sf_dir, "user_idx")
 
 
+@registered
+def user_history_parts(spark, sf_dir):
+    """Histories of more than eight rows, cut into parts."""
+    made = implicit(purchases(spark, sf_dir), "user_id", "item_id").toDF(
+        "user_idx", "item_idx", "rating"
+    )
+    parts = entity_history(made, "user_idx", part_rows=8)
+    items = F.array_sort(F.flatten(F.collect_list(F.transform("events", lambda e: e["other"]))))
+    return parts.groupBy("user_idx").agg(
+        F.sum(F.size("events")).alias("n"), F.array_join(items, ",").alias("items")
+    ).select(big("user_idx"), big("n"), "items")
+
+
 @registered
 def item_history(spark, sf_dir):
     return _history(spark, sf_dir, "item_idx")
@@ -262,12 +276,12 @@ def _pairs_of(df: DataFrame) -> DataFrame:
 
 @registered
 def split_loo_train(spark, sf_dir):
-    return _pairs_of(leave_one_out(interactions(spark, sf_dir), None)[0])
+    return _pairs_of(leave_one_out(interactions(spark, sf_dir))[0])
 
 
 @registered
 def split_loo_test(spark, sf_dir):
-    return _pairs_of(leave_one_out(interactions(spark, sf_dir), None)[1])
+    return _pairs_of(leave_one_out(interactions(spark, sf_dir))[1])
 
 
 @registered
@@ -366,6 +380,22 @@ def sweep_users_split(spark, sf_dir):
     return long_factors(sweep_users(s.data, s.q, s.c, options, s.p), "user_idx")
 
 
+@registered
+def sweep_items_split(spark, sf_dir):
+    """Every item of more than 16 pairs split into chunks."""
+    s = Setup(spark, sf_dir)
+    options = FitOptions(k=2, on_duplicate="distinct", chunk_pairs=16)
+    return long_factors(sweep_items(s.data, s.p, s.c, options, s.q), "item_idx")
+
+
+@registered
+def als_users_split(spark, sf_dir):
+    """Exact solves of users whose pairs are split into chunks of 16."""
+    s = Setup(spark, sf_dir, 2, "normal")
+    options = FitOptions(k=2, on_duplicate="distinct", chunk_pairs=16)
+    return long_factors(als_users(s.data, s.q, options), "user_idx")
+
+
 @registered
 def fit_two_iterations(spark, sf_dir):
     data = interactions(spark, sf_dir)
@@ -373,6 +403,13 @@ def fit_two_iterations(spark, sf_dir):
     return long_model(fit(data, item_popularity(data), options))
 
 
+@registered
+def fit_two_iterations_keep(spark, sf_dir):
+    """Every copy of a pair counts, under a total confidence that keeps c below one."""
+    data = interactions(spark, sf_dir)
+    return long_model(fit(data, item_popularity(data), FitOptions(k=2, iterations=2, c0=64.0)))
+
+
 @registered
 def fit_cold_normal(spark, sf_dir):
     data = interactions(spark, sf_dir)
@@ -398,6 +435,15 @@ def als_fit_two_iterations(spark, sf_dir):
     return long_model(fit_uniform(interactions(spark, sf_dir), options))
 
 
+@registered
+def als_fit_idle_entities(spark, sf_dir):
+    """A thin part of the pairs, fitted for all users and items: the idle ones keep their start."""
+    data = interactions(spark, sf_dir)
+    options = FitOptions(k=2, iterations=2, init="normal", on_duplicate="distinct")
+    thin = materialize(_thin_train(data), "thin")
+    return long_model(fit_uniform(thin, options, users=data, items=data))
+
+
 @registered
 def model_roundtrip(spark, sf_dir):
     data = interactions(spark, sf_dir)
@@ -411,11 +457,10 @@ def model_roundtrip(spark, sf_dir):
 
 
 class Trial:
-    """A leave-one-out split of all users and a small model fitted on its train part."""
+    """A split, by default leave-one-out of all users, and a small model of its train part."""
 
-    def __init__(self, spark, sf_dir, n_users=None):
-        data = interactions(spark, sf_dir)
-        train, test = leave_one_out(data, n_users)
+    def __init__(self, spark, sf_dir, split=leave_one_out):
+        train, test = split(interactions(spark, sf_dir))
         self.test = materialize(test, "test")
         self.train = materialize(train, "train")
         self.options = FitOptions(k=2, iterations=1, on_duplicate="distinct")
@@ -424,15 +469,11 @@ class Trial:
     def model(self) -> FactorModel:
         return fit(self.train, self.popularity, self.options)
 
-    def n_items(self) -> int:
-        return self.train.select("item_idx").distinct().count()
-
-    def ranked(self, mode="uniform") -> DataFrame:
-        candidates = negative_candidates(
-            self.test, self.n_items(), mode=mode, seen=self.train if mode == "unseen" else None
-        )
+    def scored(self, mode="uniform") -> DataFrame:
         model = self.model()
-        return rank_candidates(score_pairs(candidates, model.users, model.items))
+        seen = self.train if mode == "unseen" else None
+        candidates = negative_candidates(self.test, model.items, mode=mode, seen=seen)
+        return score_pairs(candidates, model.users, model.items)
 
 
 @registered
@@ -443,9 +484,17 @@ def scored_pairs(spark, sf_dir):
     return got.select(big("user_idx"), big("item_idx"), rounded("score"))
 
 
+@registered
+def scored_pairs_k32(spark, sf_dir):
+    """Scores of start vectors with 32 elements, which take the batched product."""
+    s = Setup(spark, sf_dir, 32)
+    got = score_pairs(s.data.select("user_idx", "item_idx").distinct(), s.p, s.q)
+    return got.select(big("user_idx"), big("item_idx"), rounded("score"))
+
+
 def _candidates(spark, sf_dir, mode: str) -> DataFrame:
     trial = Trial(spark, sf_dir)
-    got = negative_candidates(trial.test, trial.n_items(), mode=mode, seen=trial.train)
+    got = negative_candidates(trial.test, trial.train, mode=mode, seen=trial.train)
     return got.select(big("user_idx"), big("item_idx"), big("is_true"))
 
 
@@ -461,25 +510,45 @@ def negatives_unseen(spark, sf_dir):
 
 @registered
 def ranked_candidates(spark, sf_dir):
-    got = Trial(spark, sf_dir).ranked()
+    got = rank_candidates(Trial(spark, sf_dir).scored())
     return got.select(big("user_idx"), big("item_idx"), big("is_true"), big("rank"))
 
 
-def _metrics(spark, sf_dir, mode: str) -> DataFrame:
-    trial = Trial(spark, sf_dir)
-    return ranking_metrics(trial.test, trial.ranked(mode)).select(
-        "n_test", "n_covered", rounded("hit_ratio"), rounded("ndcg")
+def _metrics(trial: Trial, mode: str = "uniform") -> DataFrame:
+    return ranking_metrics(trial.test, case_ranks(trial.scored(mode))).select(
+        "n_test",
+        "n_covered",
+        "min_candidates",
+        rounded("mean_candidates"),
+        rounded("hit_ratio"),
+        rounded("ndcg"),
     )
 
 
 @registered
 def hit_ndcg_uniform(spark, sf_dir):
-    return _metrics(spark, sf_dir, "uniform")
+    return _metrics(Trial(spark, sf_dir))
 
 
 @registered
 def hit_ndcg_unseen(spark, sf_dir):
-    return _metrics(spark, sf_dir, "unseen")
+    return _metrics(Trial(spark, sf_dir), "unseen")
+
+
+def _by_pair(fraction: float):
+    return lambda data: random_split(data, ["user_idx", "item_idx"], fraction)
+
+
+@registered
+def hit_ndcg_sparse_train(spark, sf_dir):
+    """A thin train part, whose items leave gaps between their ids: candidates stay complete."""
+    return _metrics(Trial(spark, sf_dir, _by_pair(0.02)))
+
+
+@registered
+def hit_ndcg_many_per_user(spark, sf_dir):
+    """Several test rows per user, each ranked among its own candidates."""
+    return _metrics(Trial(spark, sf_dir, _by_pair(0.8)))
 
 
 def _thin_train(data: DataFrame) -> DataFrame:
@@ -508,7 +577,7 @@ def complete_confidence_table(spark, sf_dir):
 def rmse_coverage(spark, sf_dir):
     """Random split by pair; test pairs of entities without factors lower the coverage."""
     data = interactions(spark, sf_dir)
-    train, test = random_split(data, ["user_idx", "item_idx"], 0.3)
+    train, test = random_split(data, ["user_idx", "item_idx"], 0.8)
     options = FitOptions(k=2, iterations=1, on_duplicate="distinct")
     model = fit(train, item_popularity(train), options)
     return prediction_error(test, model.users, model.items).select(
@@ -532,7 +601,7 @@ def telemetry_ops(spark, sf_dir):
 def telemetry(spark, sf_dir):
     """Preparation, split, fit and evaluation in one run; a row per iteration."""
     prepared = prepare(purchases(spark, sf_dir), "user_id", "item_id", 10)
-    train, test = leave_one_out(prepared.interactions, 500)
+    train, test = leave_one_out(prepared.interactions)
     train, test = materialize(train, "train"), materialize(test, "test")
     options = FitOptions(k=2, iterations=2, on_duplicate="distinct")
     report = fit_with_telemetry(train, test, prepared.popularity, options)[1]
@@ -542,6 +611,7 @@ def telemetry(spark, sf_dir):
         "n_items",
         "n_test",
         "n_covered",
+        rounded("mean_candidates"),
         rounded("hit_ratio"),
         rounded("ndcg"),
         rounded("rmse"),

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tacit.operators.evaluation import evaluate, prediction_error
+from tacit.operators.evaluation import evaluate, negative_candidates, prediction_error
 from tacit.operators.factors import cache_matrix, init_factors, weighted_items
 from tacit.operators.layout import (
     Layout,
@@ -24,7 +24,7 @@ from tacit.operators.layout import (
 )
 from tacit.operators.updates import State, Update, step
 from tacit.operators.weights import item_confidence
-from tacit.scratch import Stored, store
+from tacit.scratch import Stored, materialize, store
 from tacit.sources.models import FactorModel
 
 
@@ -285,6 +285,7 @@ TELEMETRY = T.StructType(
         T.StructField("seconds", T.DoubleType()),
         T.StructField("n_test", T.LongType()),
         T.StructField("n_covered", T.LongType()),
+        T.StructField("mean_candidates", T.DoubleType()),
         T.StructField("hit_ratio", T.DoubleType()),
         T.StructField("ndcg", T.DoubleType()),
         T.StructField("rmse", T.DoubleType()),
@@ -329,22 +330,21 @@ def fit_with_telemetry(
     top: int = 10,
     mode: str = "uniform",
 ) -> tuple[FactorModel, DataFrame]:
-    """:func:`fit`, with ranking quality, error and cost figures for every iteration."""
+    """:func:`fit`, with ranking quality, error and cost figures for every iteration.
+
+    Candidates are drawn once, from the train items, all of which get vectors.
+    """
     spark = train.sparkSession
     cost = operation_counts(train, options.k).first()
+    seen = train if mode == "unseen" else None
+    candidates = materialize(
+        negative_candidates(test, train, n_negatives, options.seed, mode, seen), "candidates"
+    )
     rows = []
 
     def record(iteration: int, seconds: float, model: FactorModel) -> None:
         quality = evaluate(
-            test,
-            model.users,
-            model.items,
-            cost.n_items,
-            n_negatives,
-            top,
-            options.seed,
-            mode,
-            train if mode == "unseen" else None,
+            test, model.users, model.items, k=top, candidates=candidates
         ).first()
         error = prediction_error(test, model.users, model.items).first()
         rows.append(
@@ -355,6 +355,7 @@ def fit_with_telemetry(
                 seconds,
                 quality.n_test,
                 quality.n_covered,
+                quality.mean_candidates,
                 quality.hit_ratio,
                 quality.ndcg,
                 error.rmse,

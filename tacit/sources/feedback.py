@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+# The id columns of the review files and the column of the constant rating.
+USER_COL, ITEM_COL, RATING_COL = "user_id", "business_id", "rating"
+
+
 def read_feedback(
     spark: SparkSession,
     path: str | list[str],
-    user_col: str = "user_id",
-    item_col: str = "business_id",
+    user_col: str = USER_COL,
+    item_col: str = ITEM_COL,
 ) -> DataFrame:
     """Scan JSON lines for the two id columns.
 
@@ -24,9 +28,9 @@ def read_feedback(
 
 def implicit(
     df: DataFrame,
-    user_col: str = "user_id",
-    item_col: str = "business_id",
-    rating_col: str = "rating",
+    user_col: str = USER_COL,
+    item_col: str = ITEM_COL,
+    rating_col: str = RATING_COL,
 ) -> DataFrame:
     """Keep the two id columns and add the constant rating: a row is a signal by existing."""
     return df.select(user_col, item_col, F.lit(1.0).cast("float").alias(rating_col))

@@ -24,28 +24,60 @@ def start(spark, col, n, storage="double"):
 
 GOLDEN = {
     (512.0, "cold"): (
-        [(0.5991611743559018, 1.191649113675222), (0.5991611743559018, 1.191649113675222),
-         (0.26362879919957866, 0.3397596333120458)],
-        [(1.8331943183915638, -0.019863997906883188), (1.8331943183915638, -0.019863997906883188),
-         (0.10564178140447227, 0.0384338389548267)],
+        [
+            (0.5991611743559018, 1.191649113675222),
+            (0.2625703856711886, 0.33444129572909737),
+            (0.49067314271667417, 0.9120037585468891),
+            (0.37319241021664856, 0.579791733150899),
+            (0.2625703856711886, 0.33444129572909737),
+        ],
+        [
+            (0.03459962312647764, -0.002275947879231549),
+            (0.06355559398306783, 0.004069299387914633),
+            (0.06498811603141504, 0.020904868216058338),
+        ],
     ),
     (512.0, "warm"): (
-        [(0.599155582184941, 1.1916491292461038), (0.5991499900139804, 1.1916491448169857),
-         (0.2621739511675618, 0.3400183124153364)],
-        [(1.8293451409440267, -0.017530547027436113), (1.8255366874332033, -0.015582311585789604),
-         (0.09869983511639105, 0.04381129491276087)],
+        [
+            (0.599155582184941, 1.1916491292461038),
+            (0.2615722626224203, 0.3346225247941261),
+            (0.4904492981418743, 0.9120116670439593),
+            (0.3721201066253146, 0.5799114022283601),
+            (0.2600750780492678, 0.33489436839166914),
+        ],
+        [
+            (0.030812308732713182, -0.00022470863998436767),
+            (0.05750826867388141, 0.008039160194066995),
+            (0.05796264531365453, 0.0264976401883266),
+        ],
     ),
     (1.0, "cold"): (
-        [(0.5991611743559018, 1.191649113675222), (0.5991611743559018, 1.191649113675222),
-         (0.2997696319057859, 0.5977019667895627)],
-        [(1.8317440539409617, 0.011569802087383544), (1.8317440539409617, 0.011569802087383544),
-         (1.5876121842981066, 0.010607442719565775)],
+        [
+            (0.5991611743559018, 1.191649113675222),
+            (0.29976694830315426, 0.5976752629579556),
+            (0.4993335961218847, 0.9933642700523894),
+            (0.39954517933772987, 0.7954682860649714),
+            (0.29976694830315426, 0.5976752629579556),
+        ],
+        [
+            (2.0114104303895246, 0.013228158350878042),
+            (1.9900454917775612, 0.01210341919656529),
+            (1.7975755054217517, 0.010862827134367434),
+        ],
     ),
     (1.0, "warm"): (
-        [(0.599155582184941, 1.1916491292461038), (0.5991499900139804, 1.1916491448169857),
-         (0.29976041718201735, 0.5977019809088918)],
-        [(1.8278394241169258, 0.013540911602076272), (1.8239091742065803, 0.015510295704289221),
-         (1.5758593989104859, 0.01650775223116806)],
+        [
+            (0.599155582184941, 1.1916491292461038),
+            (0.2997607335912384, 0.5976752725911662),
+            (0.49931760242880996, 0.9933643125156396),
+            (0.399526986511239, 0.7954683272966906),
+            (0.29975141152336454, 0.5976752870409823),
+        ],
+        [
+            (2.007522941627568, 0.015200455055349445),
+            (1.9822220243026927, 0.01604666686912164),
+            (1.7858211590269295, 0.016774608750780115),
+        ],
     ),
 }
 
@@ -60,14 +92,15 @@ def prepared(mock):
 def test_golden_iteration(spark, prepared, c0, begin, chunk):
     c = item_confidence(prepared.popularity, c0)
     o = FitOptions(k=2, start=begin, storage="double", chunk_pairs=chunk)
-    p0, q0 = start(spark, "user_idx", 3), start(spark, "item_idx", 3)
+    p0, q0 = start(spark, "user_idx", 5), start(spark, "item_idx", 3)
     p = sweep_users(prepared.interactions, q0, c, o, p0)
     q = sweep_items(prepared.interactions, p, c, o, q0)
     users, items = GOLDEN[c0, begin]
     got_p, got_q = vectors(p), vectors(q)
-    for e in range(3):
-        np.testing.assert_allclose(got_p[e], users[e], atol=1e-9)
-        np.testing.assert_allclose(got_q[e], items[e], atol=1e-9)
+    for got, want in ((got_p, users), (got_q, items)):
+        assert len(got) == len(want)
+        for e, row in enumerate(want):
+            np.testing.assert_allclose(got[e], row, atol=1e-9)
 
 
 def make(spark, rows):

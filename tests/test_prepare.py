@@ -15,11 +15,13 @@ def pairs(df):
 
 def test_kcore_golden(mock):
     core = kcore(mock, "user_id", "business_id", 2)
-    assert pairs(core) == sorted(
-        [("user_1", f"item_{i}") for i in "ABE"]
-        + [("user_2", f"item_{i}") for i in "ABE"]
-        + [("user_4", "item_A"), ("user_4", "item_E")]
-    )
+    assert pairs(core) == [
+        ("ann", "kiwi"), ("ann", "lime"), ("ann", "plum"),
+        ("bob", "kiwi"), ("bob", "lime"),
+        ("cy", "lime"), ("cy", "plum"),
+        ("eve", "kiwi"), ("eve", "plum"),
+        ("gus", "kiwi"), ("gus", "lime"),
+    ]
     assert peel(mock, "user_id", "business_id", 2).passes == 2
 
 
@@ -38,7 +40,7 @@ def test_kcore_null_and_copies(spark):
 
 
 def test_kcore_long_chain(spark):
-    # A chain sheds one link per pass, which exercises stacked anti-joins and rewrites.
+    # A chain sheds one link per pass, which exercises small frontiers and rewrites.
     rows = [(f"u{n}", f"i{n}") for n in range(14)] + [(f"u{n}", f"i{n+1}") for n in range(14)]
     rows += [(u, i) for u in ("a", "b") for i in ("p", "q")]
     df = spark.createDataFrame(rows, "u string, i string")
@@ -49,26 +51,27 @@ def test_kcore_long_chain(spark):
 
 def test_threshold_is_simultaneous(mock):
     kept = threshold_filter(mock, "user_id", "business_id", 2)
-    # user_3 has one row; items C, D, F, G have one row each.
-    assert kept.count() == 8
-    assert threshold_filter(mock, "user_id", "business_id", 3).count() == 6
+    # dee has one row; date, fig, pear and quince have one row each.
+    assert kept.count() == 11
+    assert threshold_filter(mock, "user_id", "business_id", 3).count() == 7
 
 
 def test_top_n(mock):
     kept = top_n_filter(mock, "user_id", "business_id", 2, 1)
-    assert pairs(kept) == [("user_1", "item_A"), ("user_2", "item_A")]
-    assert top_n_filter(mock, "user_id", "business_id", None, None).count() == 13
+    # bob and eve tie for the second place, kiwi and lime for the first.
+    assert pairs(kept) == [("ann", "kiwi"), ("bob", "kiwi")]
+    assert top_n_filter(mock, "user_id", "business_id", None, None).count() == 15
 
 
 def test_prepare_golden(mock):
     got = prepare(mock, k=2)
-    assert dict(pairs(got.users)) == {"user_1": 0, "user_2": 1, "user_4": 2}
-    assert dict(pairs(got.items)) == {"item_A": 0, "item_E": 1, "item_B": 2}
-    assert dict(pairs(got.popularity)) == {0: 0.375, 1: 0.375, 2: 0.25}
+    assert dict(pairs(got.users)) == {"ann": 0, "bob": 1, "cy": 2, "eve": 3, "gus": 4}
+    assert dict(pairs(got.items)) == {"kiwi": 0, "lime": 1, "plum": 2}
+    assert dict(pairs(got.popularity)) == {0: 4 / 11, 1: 4 / 11, 2: 3 / 11}
     assert [f.dataType.simpleString() for f in got.interactions.schema] == ["int", "int", "float"]
     c = dict(pairs(item_confidence(got.popularity)))
-    assert c[0] == pytest.approx(179.63128570919415, rel=1e-12)
-    assert c[2] == pytest.approx(152.7374285816118, rel=1e-12)
+    assert c[0] == pytest.approx(177.08289778581565, rel=1e-12)
+    assert c[2] == pytest.approx(157.83420442836874, rel=1e-12)
     assert sum(c.values()) == pytest.approx(512)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tacit.functions import draw, normal
 from tacit.operators import (
-    evaluate, leave_one_out, negative_candidates, prediction_error, random_split,
+    case_ranks, evaluate, leave_one_out, negative_candidates, prediction_error, random_split,
     rank_candidates, rank_gains, ranking_metrics, score_pairs,
 )
 from tacit.operators import evaluation
@@ -63,19 +63,40 @@ def test_hidden_pair_leaves_with_all_copies(spark):
     assert (train.count(), test.count()) == (0, 1)
 
 
+def test_copies_of_a_pair_are_hidden_as_often_as_rows(spark):
+    """Of ten rows, nine are copies of one pair: it is hidden for nine users of ten."""
+    df = spark.range(4000).selectExpr(
+        "cast(id as int) user_idx", "explode(array_append(array_repeat(1, 9), 2)) item_idx")
+    _, test = leave_one_out(df)
+    assert abs(test.where("item_idx = 1").count() / 4000 - 0.9) < 0.02
+
+
+def ids(spark, n, step=1):
+    return spark.range(n).selectExpr(f"cast(id * {step} as int) item_idx")
+
+
 def test_uniform_negatives(spark, seen):
     _, test = leave_one_out(seen, 5)
-    got = negative_candidates(test, 37, 99)
+    got = negative_candidates(test, ids(spark, 37), 99)
     assert got.count() == 500
     assert got.where("is_true = 1").count() == 5
     assert got.agg(F.min("item_idx"), F.max("item_idx")).first()[1] <= 36
 
 
+def test_negatives_come_from_the_given_items(spark, seen):
+    """Gaps between ids: every draw still is an item of the frame, and all of them are drawn."""
+    _, test = leave_one_out(seen)
+    got = negative_candidates(test, ids(spark, 12, 1000), 99).where("is_true = 0")
+    assert got.count() == 99 * test.count()
+    assert {r.item_idx for r in got.select("item_idx").distinct().collect()} == set(
+        range(0, 12000, 1000))
+
+
 @pytest.mark.parametrize("n,n_items", [(5, 37), (5, 400), (30, 37), (8, 23)])
 def test_unseen_negatives(spark, seen, n, n_items):
     train, test = leave_one_out(seen, None)
     train = train.where(f"item_idx < {n_items}")
-    got = negative_candidates(test, n_items, n, mode="unseen", seen=train)
+    got = negative_candidates(test, ids(spark, n_items), n, mode="unseen", seen=train)
     false = got.where("is_true = 0")
     assert false.distinct().count() == false.count()
     assert false.join(train, ["user_idx", "item_idx"]).count() == 0
@@ -89,23 +110,39 @@ def test_unseen_negatives(spark, seen, n, n_items):
         assert per_user.get(user, 0) == min(n, n_items - len(items))
 
 
+def test_unseen_negatives_of_several_cases_per_user(spark):
+    """Users who have seen nearly all items share one list of the rest; cases differ in order."""
+    train = spark.range(3 * 40).selectExpr(
+        "cast(id % 3 as int) user_idx", "cast(id div 3 as int) item_idx").where("item_idx >= 6")
+    test = spark.range(3 * 4).selectExpr(
+        "cast(id % 3 as int) user_idx", "cast(id div 3 as int) item_idx")
+    got = negative_candidates(test, ids(spark, 40), 3, mode="unseen", seen=train)
+    cases = got.where("is_true = 0").groupBy("user_idx", "true_item").agg(
+        F.collect_set("item_idx").alias("s"), F.count("*").alias("n")).collect()
+    assert len(cases) == 12
+    assert all(r.n == 3 == len(r.s) and r.true_item not in r.s and max(r.s) < 6 for r in cases)
+    assert len({(r.user_idx, frozenset(r.s)) for r in cases}) > 3
+
+
 def test_unseen_negatives_follow_the_draws(spark, seen, monkeypatch):
     train, test = leave_one_out(seen, None)
-    one = rows(negative_candidates(test, 400, 5, mode="unseen", seen=train))
+    one = rows(negative_candidates(test, ids(spark, 400), 5, mode="unseen", seen=train))
     monkeypatch.setattr(evaluation, "DRAWS_PER_NEGATIVE", 20)
-    assert rows(negative_candidates(test, 400, 5, mode="unseen", seen=train)) == one
+    assert rows(negative_candidates(test, ids(spark, 400), 5, mode="unseen", seen=train)) == one
 
 
 def test_ties_and_gains(spark):
     scored = spark.createDataFrame(
-        [(0, 5, 1, 0.5), (0, 3, 0, 0.5), (0, 5, 0, 0.5), (0, 9, 0, 0.9)],
-        "user_idx int, item_idx int, is_true bigint, score double")
-    ranked = rank_candidates(scored)
+        [(0, 5, 5, 1, 0.5), (0, 5, 3, 0, 0.5), (0, 5, 5, 0, 0.5), (0, 5, 9, 0, 0.9),
+         (0, 7, 7, 1, 0.1), (1, 2, 2, 1, float("-inf"))],
+        "user_idx int, true_item int, item_idx int, is_true bigint, score double")
+    ranked = rank_candidates(scored).where("user_idx = 0 AND true_item = 5")
     assert rows(ranked.select("rank", "item_idx", "is_true")) == [
         (1, 9, 0), (2, 3, 0), (3, 5, 1), (4, 5, 0)]
+    # Cases of a user do not compete, and counting gives the rank of the window.
+    assert rows(case_ranks(scored)) == [(0, 5, 3, 3), (0, 7, 1, 0), (1, 2, 1, 0)]
     ranks = spark.createDataFrame(
-        [(u, 0, 1, r) for u, r in enumerate([1, 10, 11])],
-        "user_idx int, item_idx int, is_true bigint, rank int")
+        [(u, 0, r) for u, r in enumerate([1, 10, 11])], "user_idx int, item_idx int, rank int")
     got = [r.ndcg for r in rank_gains(ranks).orderBy("rank").collect()]
     assert got == pytest.approx([1.0, math.log(2) / math.log(11), 0.0])
     assert got[1] == pytest.approx(0.2890648, abs=1e-6)
@@ -122,7 +159,7 @@ def test_coverage(spark):
     assert (none.n_covered, none.coverage, none.rmse) == (0, 0.0, None)
     empty = prediction_error(test.limit(0), p, q).first()
     assert (empty.n_test, empty.coverage, empty.rmse) == (0, None, None)
-    metrics = evaluate(test.where("item_idx = 7"), p, q.where("item_idx = 1"), 10, 5).first()
+    metrics = evaluate(test.where("item_idx = 7"), p, q.where("item_idx = 1"), 5).first()
     assert (metrics.n_test, metrics.n_covered, metrics.hit_ratio) == (1, 0, None)
 
 
@@ -135,10 +172,13 @@ def test_nan_is_an_error(spark):
 
 
 def test_perfect_ranking(spark):
-    ranked = spark.createDataFrame([(0, 1, 1, 1)], "user_idx int, item_idx int, is_true bigint, rank int")
-    test = spark.createDataFrame([(0, 1)], "user_idx int, item_idx int")
-    got = ranking_metrics(test, ranked).first()
-    assert (got.n_test, got.n_covered, got.hit_ratio, got.ndcg) == (1, 1, 1.0, 1.0)
+    ranks = spark.createDataFrame(
+        [(0, 1, 1, 4)], "user_idx int, item_idx int, rank int, n_candidates int")
+    # A repeated test row counts twice; a row without a rank lowers the coverage.
+    test = spark.createDataFrame([(0, 1), (0, 1), (0, 2)], "user_idx int, item_idx int")
+    got = ranking_metrics(test, ranks).first()
+    assert (got.n_test, got.n_covered, got.hit_ratio, got.ndcg) == (3, 2, 1.0, 1.0)
+    assert (got.min_candidates, got.mean_candidates) == (4, 4.0)
 
 
 def test_model_roundtrip(spark, tmp_path):
