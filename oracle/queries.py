@@ -253,7 +253,13 @@ def oracle_sql() -> dict[str, str]:
             sql.model_rows("p2", "q2", 2),
         ),
         "model_roundtrip": sql.query(
-            MODEL | sql.fit("inter", 2, 1), sql.model_rows("p1", "q1", 2)
+            MODEL
+            | sql.fit("inter", 2, 1)
+            | {
+                "pr": "SELECT user_id AS user_idx, x0, x1 FROM p1 JOIN user_map USING (user_idx)",
+                "qr": "SELECT item_id AS item_idx, x0, x1 FROM q1 JOIN item_map USING (item_idx)",
+            },
+            sql.model_rows("pr", "qr", 2),
         ),
         "scored_pairs": sql.query(
             trial(),

@@ -9,18 +9,19 @@ from __future__ import annotations
 RANGE = "CAST(4294967296 AS DOUBLE)"
 
 
-def draw(*keys: str, seed: int = 42) -> str:
+def draw(*keys: str, seed: int = 42, at: int = 0) -> str:
+    """Draw number ``at`` of the four in a digest."""
     digest = f"md5(concat_ws('|', {', '.join(keys)}, '{seed}'))"
-    return f"CAST('0x' || substr({digest}, 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr({digest}, {8 * at + 1}, 8) AS BIGINT)"
 
 
-def uniform(*keys: str, seed: int = 42) -> str:
-    return f"(CAST({draw(*keys, seed=seed)} AS DOUBLE) / {RANGE})"
+def uniform(*keys: str, seed: int = 42, at: int = 0) -> str:
+    return f"(CAST({draw(*keys, seed=seed, at=at)} AS DOUBLE) / {RANGE})"
 
 
-def normal(*keys: str, seed: int = 42) -> str:
-    radius = f"(CAST({draw(*keys, chr(39) + 'radius' + chr(39), seed=seed)} AS DOUBLE) + 1.0)"
-    angle = uniform(*keys, "'angle'", seed=seed)
+def normal(*keys: str, seed: int = 42, at: int = 0) -> str:
+    radius = f"(CAST({draw(*keys, seed=seed, at=2 * at)} AS DOUBLE) + 1.0)"
+    angle = uniform(*keys, seed=seed, at=2 * at + 1)
     return f"(sqrt(-2.0 * ln({radius} / {RANGE})) * cos(2.0 * pi() * {angle}))"
 
 
@@ -96,9 +97,9 @@ def pairs(source: str, duplicates: str, weight: str = "1.0") -> str:
 def start(source: str, col: str, k: int, distribution: str = "uniform") -> str:
     def element(f: int) -> str:
         if distribution == "uniform":
-            value = f"{uniform(chr(39) + col + chr(39), col, chr(39) + str(f) + chr(39))} * 0.01"
+            value = f"{uniform(f"'{col}'", col, f"'{f // 4}'", at=f % 4)} * 0.01"
         else:
-            value = f"{normal(chr(39) + col + chr(39), col, chr(39) + str(f) + chr(39))} * 0.1"
+            value = f"{normal(f"'{col}'", col, f"'{f // 2}'", at=f % 2)} * 0.1"
         return f"CAST(CAST(CAST({value} AS DOUBLE) AS FLOAT) AS DOUBLE) AS x{f}"
 
     columns = ", ".join(element(f) for f in range(k))

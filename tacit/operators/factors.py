@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tacit.functions import normal, uniform
+from tacit.functions.draws import DRAWS_PER_DIGEST, digest, normal_from, uniform_from
 from tacit.scratch import spread
 
 # Upper end of the uniform start and deviation of the normal start.
@@ -15,18 +15,24 @@ NORMAL_SCALE = 0.1
 
 
 def start_vector(col: str, k: int, distribution: str, seed: int, storage: str) -> Column:
-    """The start vector of the id in column ``col``: draws on (side, id, position)."""
-
-    def element(f: Column) -> Column:
-        keys = (col, F.col(col), f)
-        if distribution == "uniform":
-            return uniform(*keys, seed=seed) * F.lit(UNIFORM_SCALE)
-        if distribution == "normal":
-            return normal(*keys, seed=seed) * F.lit(NORMAL_SCALE)
+    """The start vector of the id in column ``col``: draws on (side, id, group of positions)."""
+
+    if distribution == "uniform":
+        made, scale, per_digest = uniform_from, UNIFORM_SCALE, DRAWS_PER_DIGEST
+    elif distribution == "normal":
+        made, scale, per_digest = normal_from, NORMAL_SCALE, DRAWS_PER_DIGEST // 2
+    else:
         raise ValueError(f"unknown distribution {distribution!r}")
 
-    positions = F.sequence(F.lit(0), F.lit(k - 1))
-    return F.transform(positions, lambda f: element(f).cast(storage))
+    # One digest gives several elements; the inner transform names it, so it is made once.
+    def run(g: Column) -> Column:
+        one = F.array(digest(col, F.col(col), g, seed=seed))
+        return F.transform(
+            one, lambda d: F.array(*[(made(d, at) * F.lit(scale)).cast(storage) for at in range(per_digest)])
+        )[0]
+
+    groups = F.sequence(F.lit(0), F.lit((k - 1) // per_digest))
+    return F.slice(F.flatten(F.transform(groups, run)), 1, k)
 
 
 def init_factors(
@@ -86,9 +92,18 @@ def matrix_of(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> n
 
 
 def gram(factors: DataFrame, weight_col: str | None = None) -> DataFrame:
-    """``(f, g, value)``: the sum over rows of weight * x_f * x_g.
+    """``(f, g, value)``: the sum over rows of weight * x_f * x_g."""
+    half = _half_gram(factors, weight_col)
+    cell = F.struct("f", "g")
+    mirror = F.struct(F.col("g").alias("f"), F.col("f").alias("g"))
+    cells = F.when(F.col("f") == F.col("g"), F.array(cell)).otherwise(F.array(cell, mirror))
+    return half.select(F.explode(cells).alias("at"), "value").select("at.f", "at.g", "value")
+
+
+def _half_gram(factors: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """The cells of :func:`gram` with f <= g.
 
-    Each task adds up its own K x K matrix, so only one matrix per task is shuffled.
+    Each task adds up its own matrix, so only one triangle per task is shuffled.
     """
 
     def partial(batches):
@@ -103,12 +118,12 @@ def gram(factors: DataFrame, weight_col: str | None = None) -> DataFrame:
             part = left.T @ x
             total = part if total is None else total + part
         if total is not None:
-            f, g = np.indices(total.shape)
+            f, g = np.triu_indices(len(total))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(f.ravel().astype(np.int32)),
-                    pa.array(g.ravel().astype(np.int32)),
-                    pa.array(total.ravel()),
+                    pa.array(f.astype(np.int32)),
+                    pa.array(g.astype(np.int32)),
+                    pa.array(total[f, g]),
                 ],
                 names=["f", "g", "value"],
             )
@@ -126,6 +141,6 @@ def weighted_items(items: DataFrame, confidence: DataFrame) -> DataFrame:
 def cache_matrix(factors: DataFrame, weight_col: str | None, k: int) -> np.ndarray:
     """The Gram matrix as K x K values on the driver, to travel with the update's tasks."""
     out = np.zeros((k, k))
-    for row in gram(factors, weight_col).collect():
-        out[row.f, row.g] = row.value
+    for row in _half_gram(factors, weight_col).collect():
+        out[row.f, row.g] = out[row.g, row.f] = row.value
     return out

@@ -22,6 +22,8 @@ def dense_index(
     ``frequency``: descending row count, ties ascending by the value as a string.
     ``first_seen``: ascending by the smallest ``order_col`` of a value, ties as above.
 
+    Indices are ints: more than 2**31 - 1 distinct values are an error.
+
     One range sort over the distinct values is written with (partition, row) positions; the
     partition sizes, a table of one row per sort partition, then turn positions into ranks.
     """

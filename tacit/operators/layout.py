@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tacit.scratch import store, task_width
+from tacit.scratch import Stored, store, task_width
 
 # Fixed value: bytes of counterpart vectors that a block may pull into one task.
 BLOCK_BYTES = 1 << 26
@@ -81,6 +81,7 @@ class Layout:
     has_split: bool
     histories: DataFrame
     routes: DataFrame
+    large: Stored | None
 
     def home(self, own: Column) -> Column:
         """Block of an entity that is not split."""
@@ -89,10 +90,12 @@ class Layout:
     def release(self) -> None:
         self.histories.unpersist()
         self.routes.unpersist()
+        if self.large is not None:
+            self.large.drop()
 
 
-def default_block_pairs(k: int) -> int:
-    return max(1 << 14, BLOCK_BYTES // (4 * k))
+def default_block_pairs(k: int, storage: str = "float") -> int:
+    return max(1 << 14, BLOCK_BYTES // ({"float": 4, "double": 8}[storage] * k))
 
 
 def build_layout(
@@ -116,7 +119,7 @@ def build_layout(
     chunk_pairs = chunk_pairs or max(1, block_pairs // 4)
 
     chunk = F.lit(None).cast("bigint")
-    placed, n_large = pairs, 0
+    placed, n_large, large = pairs, 0, None
     if n_pairs > chunk_pairs:
         large = store(
             pairs.groupBy(own)
@@ -176,4 +179,5 @@ def build_layout(
         bool(n_large),
         histories.persist(StorageLevel.MEMORY_AND_DISK),
         routes.persist(StorageLevel.MEMORY_AND_DISK),
+        large,
     )

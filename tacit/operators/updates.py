@@ -113,12 +113,19 @@ def factor_batch(
     gram = (exact.T if c is None else exact.T * c) @ exact
     offsets = np.append(np.arange(count + 1, dtype=np.int32) * k, np.int32(count * k))
     columns = {
-        own_col: pa.array([*ids.tolist(), None], pa.int32()),
+        own_col: pa.concat_arrays([pa.array(ids.astype(np.int32)), pa.nulls(1, pa.int32())]),
         "factors": pa.ListArray.from_arrays(pa.array(offsets), pa.array(stored.ravel())),
-        "gram": pa.array([None] * count + [kernels.pack(gram)], pa.list_(pa.float64())),
+        "gram": pa.concat_arrays(
+            [
+                pa.nulls(count, pa.list_(pa.float64())),
+                pa.array([kernels.pack(gram)], pa.list_(pa.float64())),
+            ]
+        ),
     }
     if c is not None:
-        columns["c_i"] = pa.array([*c.tolist(), None], pa.float64())
+        columns["c_i"] = pa.concat_arrays(
+            [pa.array(np.asarray(c, np.float64)), pa.nulls(1, pa.float64())]
+        )
     return columns
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -446,11 +447,29 @@ def als_fit_idle_entities(spark, sf_dir):
 
 @registered
 def model_roundtrip(spark, sf_dir):
-    data = interactions(spark, sf_dir)
+    """A model saved with its id maps and read back, its vectors listed by raw ids."""
+    raw = materialize(purchases(spark, sf_dir).select("user_id", "item_id"), "purchases")
+    users = dense_index(raw, "user_id", idx_col="user_idx")
+    items = dense_index(raw, "item_id", idx_col="item_idx")
+    data = materialize(
+        apply_index(implicit(raw, "user_id", "item_id"), users, items, "user_id", "item_id"),
+        "interactions",
+    )
     options = FitOptions(k=2, iterations=1, on_duplicate="distinct")
     path = scratch_path(spark, "model")
-    save_model(fit(data, item_popularity(data), options), path)
-    return long_model(load_model(spark, path))
+    save_model(
+        replace(fit(data, item_popularity(data), options), user_ids=users, item_ids=items), path
+    )
+    model = load_model(spark, path)
+    sides = [
+        long_factors(model.users.join(model.user_ids, "user_idx"), "user_id").select(
+            F.lit("user").alias("side"), "*"
+        ),
+        long_factors(model.items.join(model.item_ids, "item_idx"), "item_id").select(
+            F.lit("item").alias("side"), "*"
+        ),
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 # --- evaluation --------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from tacit.operators.layout import (
 )
 from tacit.operators.updates import State, Update, step
 from tacit.operators.weights import item_confidence
-from tacit.scratch import Stored, materialize, store
+from tacit.scratch import Stored, materialize, release, scope, store
 from tacit.sources.models import FactorModel
 
 
@@ -73,7 +73,7 @@ class Placement:
                 self.pairs.frame,
                 self.pairs.rows,
                 name,
-                o.block_pairs or default_block_pairs(o.k),
+                o.block_pairs or default_block_pairs(o.k, o.storage),
                 o.chunk_pairs,
             )
         return self.layouts[name]
@@ -201,8 +201,16 @@ def fit(
     """Popularity-weighted factorisation by element-wise alternating least squares.
 
     ``on_iteration`` receives iteration, seconds and model; that model's tables are replaced by
-    the next iteration, so it must use them before it returns.
+    the next iteration, so it must use them before it returns.  Of the tables written on the way
+    only those of the model stay.
     """
+    with scope() as made:
+        model = _fit(interactions, popularity, options, on_iteration)
+    release(made, model.users, model.items)
+    return model
+
+
+def _fit(interactions, popularity, options, on_iteration) -> FactorModel:
     confidence = store(item_confidence(popularity, options.c0, options.alpha), "confidence").frame
     placement = Placement(interactions, confidence, options)
     try:
@@ -244,8 +252,15 @@ def fit_uniform(
     """Factorisation with one weight ``w0`` for all missing feedback and exact solves.
 
     ``users`` and ``items`` may list more ids than the interactions hold; those keep their
-    initial vectors.
+    initial vectors.  Of the tables written on the way only those of the model stay.
     """
+    with scope() as made:
+        model = _fit_uniform(interactions, options, w0, users, items)
+    release(made, model.users, model.items)
+    return model
+
+
+def _fit_uniform(interactions, options, w0, users, items) -> FactorModel:
     placement = Placement(interactions, w0, options)
     try:
         pairs = placement.pairs.frame
@@ -334,6 +349,15 @@ def fit_with_telemetry(
 
     Candidates are drawn once, from the train items, all of which get vectors.
     """
+    with scope() as made:
+        model, report = _fit_with_telemetry(
+            train, test, popularity, options, n_negatives, top, mode
+        )
+    release(made, model.users, model.items)
+    return model, report
+
+
+def _fit_with_telemetry(train, test, popularity, options, n_negatives, top, mode):
     spark = train.sparkSession
     cost = operation_counts(train, options.k).first()
     seen = train if mode == "unseen" else None

@@ -7,8 +7,10 @@ shuffle from real bytes) and lets later reads prune columns.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -26,7 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not context.master.startswith("local"):
+    # Executors of a local-cluster session are processes of their own.
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tacit-"))
     return context.getCheckpointDir().rstrip("/")
@@ -53,6 +56,44 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Tables of the open scopes, innermost last.
+_open: list[list[Stored]] = []
+
+
+@contextmanager
+def scope():
+    """Collect the tables stored inside, for :func:`release`; without it they stay.
+
+    Where the block fails, its tables are dropped.
+    """
+    made: list[Stored] = []
+    _open.append(made)
+    try:
+        yield made
+    except BaseException:
+        for table in made:
+            table.drop()
+        made.clear()
+        raise
+    finally:
+        _open.pop()
+
+
+def release(made: list[Stored], *kept: DataFrame) -> None:
+    """Drop the tables of a scope that no frame of ``kept`` reads.
+
+    The others pass to the enclosing scope, if there is one.
+    """
+    read = {file for frame in kept for file in frame.inputFiles()}
+    folders = {re.sub(r"^file:/+", "/", file.rpartition("/")[0]) for file in read}
+    for table in made:
+        if re.sub(r"^file:/+", "/", table.path) not in folders:
+            table.drop()
+        elif _open:
+            _open[-1].append(table)
+    made.clear()
+
+
 def store(df: DataFrame, name: str) -> Stored:
     """Run ``df`` once into a parquet table of the shared folder, counting rows on the way."""
     spark = df.sparkSession
@@ -60,7 +101,10 @@ def store(df: DataFrame, name: str) -> Stored:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     # A plan that proves empty while it runs may skip the count.
-    return Stored(spark.read.schema(df.schema).parquet(path), path, seen.get.get("rows", 0))
+    made = Stored(spark.read.schema(df.schema).parquet(path), path, seen.get.get("rows", 0))
+    if _open:
+        _open[-1].append(made)
+    return made
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Factor tables on disk."""
+"""Factor tables and id maps on disk."""
 
 from __future__ import annotations
 
@@ -9,20 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class FactorModel:
-    """``users``: user_idx, factors.  ``items``: item_idx, factors."""
+    """``users``: user_idx, factors.  ``items``: item_idx, factors.
+
+    ``user_ids`` and ``item_ids`` map raw ids to these indices, where the caller has added them.
+    """
 
     users: DataFrame
     items: DataFrame
+    user_ids: DataFrame | None = None
+    item_ids: DataFrame | None = None
+
+
+TABLES = ("users", "items", "user_ids", "item_ids")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def save_model(model: FactorModel, path: str) -> None:
-    """Write both tables below ``path``, replacing what is there."""
-    model.users.write.mode("overwrite").parquet(f"{path}/users")
-    model.items.write.mode("overwrite").parquet(f"{path}/items")
+    """Write the tables of the model below ``path``, replacing what is there."""
+    for name in TABLES:
+        table = getattr(model, name)
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_model(spark: SparkSession, path: str) -> FactorModel:
+    """A saved model, with its id maps if it has them."""
     return FactorModel(
-        users=spark.read.parquet(f"{path}/users"),
-        items=spark.read.parquet(f"{path}/items"),
+        *(
+            spark.read.parquet(f"{path}/{name}")
+            if name in TABLES[:2] or _exists(spark, f"{path}/{name}")
+            else None
+            for name in TABLES
+        )
     )

@@ -10,6 +10,8 @@ from tacit.plans import (
     sweep_items, sweep_users,
 )
 
+from tacit.scratch import scratch_root
+
 INTERACTIONS = "user_idx int, item_idx int, rating float"
 
 
@@ -309,3 +311,48 @@ def test_completed_tables(spark):
     weights = spark.createDataFrame([(1, 2.5)], "item_idx int, c_i double")
     assert {r.item_idx: r.c_i for r in complete_confidence(everyone, weights).collect()} == {
         0: 0.0, 1: 2.5, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def stored_tables(spark):
+    """Folders of the shared folder that hold files."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tacit")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(root)} if fs.exists(root) else set()
+
+
+def folders_of(*frames):
+    return {file.split("/")[-2] for frame in frames for file in frame.inputFiles()}
+
+
+@pytest.mark.parametrize("how", ["fit", "uniform", "telemetry"])
+def test_only_the_tables_of_the_model_stay(spark, how):
+    data = spark.createDataFrame(
+        [(u, i, 1.0) for u in range(12) for i in range(9) if (u * i) % 4 != 1],
+        "user_idx int, item_idx int, rating float",
+    )
+    popularity = data.groupBy("item_idx").agg((F.count("*") / 81).alias("f_i"))
+    before = stored_tables(spark)
+    options = FitOptions(k=2, iterations=2, c0=4.0, chunk_pairs=4)
+    if how == "fit":
+        model = fit(data, popularity, options)
+    elif how == "uniform":
+        idle = data.unionByName(make(spark, [(50, 60, 1.0)]))
+        model = fit_uniform(data, options, users=idle, items=idle)
+    else:
+        model, _ = fit_with_telemetry(data, data.where("item_idx = 2"), popularity, options)
+    assert stored_tables(spark) - before == folders_of(model.users, model.items)
+    assert model.users.count() >= 12 and model.items.count() >= 9
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "yarn", "spark://host:7077"])
+def test_a_cluster_needs_a_shared_folder(master):
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {})()
+    session.conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+    session.sparkContext = Context()
+    session.sparkContext.master = master
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch_root(session)
