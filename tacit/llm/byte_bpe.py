@@ -20,6 +20,7 @@ from tacit.llm.tokens import BYTE_PATTERN, rank_bytes, rank_encoder
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.BinaryType())
 
 
 def encode(
@@ -28,35 +29,42 @@ def encode(
     pattern: str = BYTE_PATTERN,
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
+    decoded: bool = False,
 ) -> DataFrame:
     """``(doc_id, ids array<int>)`` of whole texts by a rank file, without special tokens.
 
-    Equal to the rank library on the whole text.  Null and empty texts have no ids; a null doc_id
-    is kept; repeated rows stay repeated; other columns of ``docs`` are ignored.
+    Equal to the rank library on the whole text.  With ``decoded`` the ids are decoded as by
+    :func:`decode`, for texts of one chunk by the task that made them.  Null and empty texts have
+    no ids; a null doc_id is kept; repeated rows stay repeated; other columns are ignored.
     """
     if not 0 < overlap_chars < chunk_chars:
         raise ValueError("the overlap must be shorter than a chunk")
     rows = docs.select("doc_id", "text")
     long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
-    return _encode_pieces(rows.where(~long), ranks, pattern).unionByName(
-        _encode_long(rows.where(long), ranks, pattern, chunk_chars, overlap_chars)
+    whole = _encode_long(rows.where(long), ranks, pattern, chunk_chars, overlap_chars)
+    return _encode_pieces(rows.where(~long), ranks, pattern, decoded).unionByName(
+        decode(whole, ranks) if decoded else whole
     )
 
 
-def _encode_pieces(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Replace the last column, a text, by its ids."""
+def _encode_pieces(
+    rows: DataFrame, ranks: str, pattern: str, decoded: bool = False
+) -> DataFrame:
+    """Replace the column ``text`` by its ids, and the bytes decoded from them if wanted."""
     keys = rows.drop("text")
-    schema = T.StructType([*keys.schema.fields, IDS])
+    schema = T.StructType([*keys.schema.fields, IDS, *([DECODED] if decoded else [])])
     at, names = len(keys.columns), schema.names
 
     def work(batches):
         encoder = rank_encoder(ranks, pattern)
+        known = pa.array(rank_bytes(ranks), pa.large_binary()) if decoded else None
         for batch in slices(batches, at, SLICE_BYTES):
             ids, starts = encoder.encode(batch.column(at))
             lists = pa.ListArray.from_arrays(
                 pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32))
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists], names=names)
+            made = [_joined(known, lists)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists, *made], names=names)
 
     return rows.select(*keys.columns, "text").mapInArrow(work, schema)
 
@@ -164,31 +172,34 @@ def _cuts(texts: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int)
     )
 
 
+def _joined(known: pa.Array, lists: pa.Array) -> pa.Array:
+    """The bytes of each list's tokens in a row."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    made = known.take(lists.flatten())
+    ends = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1)
+    starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    data = made.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(lists), [None, pa.py_buffer(starts.tobytes()), data]
+    ).cast(pa.binary())
+
+
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """Add ``decoded binary``: the bytes of the tokens of ``ids`` in a row (null: empty)."""
     kept = encoded.drop("decoded")
     at = kept.columns.index("ids")
     names = [*kept.columns, "decoded"]
-    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def work(batches):
         known = pa.array(rank_bytes(ranks), pa.large_binary())
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                lists = some.column(at).fill_null([]) if some.column(at).null_count else some.column(at)
-                made = known.take(lists.flatten())
-                ends = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1)
-                starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-                data = made.buffers()[2] or pa.py_buffer(b"")
-                joined = pa.Array.from_buffers(
-                    pa.large_binary(), len(some), [None, pa.py_buffer(starts.tobytes()), data]
-                )
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns, joined.cast(pa.binary())], names=names
+                    [*some.columns, _joined(known, some.column(at))], names=names
                 )
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, DECODED]))
 
 
 def joined_ids(ids: Column) -> Column:

@@ -26,6 +26,8 @@ SLOTS = 126
 MISS = 1e-4
 # Rows of a bucket that one task compares with each other, or with as many others.
 TILE = 512
+# Shingles of a tile, which bounds the memory of a comparison where texts are long.
+TILE_SHINGLES = 2_000_000
 # Standard deviations below the threshold at which an estimate rules a pair out.
 SURE = 5.0
 # Class heads whose texts are fetched by a broadcast of their ids (8 bytes each).
@@ -257,7 +259,7 @@ def link(
 
 
 def _members(classes: DataFrame, bands: int, width: int) -> DataFrame:
-    """``(band, at, head, n, center, cn)``: the classes of every bucket that holds two or more."""
+    """``(band, at, head, n, center, cn, size, weight)``: the classes of every bucket that holds two or more."""
     part = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.struct(
@@ -270,9 +272,13 @@ def _members(classes: DataFrame, bands: int, width: int) -> DataFrame:
     )
     buckets = materialize(
         listed.groupBy("band")
-        .agg(F.min(F.struct("head", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
+        .agg(
+            F.min(F.struct("head", "n")).alias("c"),
+            F.count(F.lit(1)).alias("size"),
+            F.sum("n").alias("weight"),
+        )
         .where("size > 1")
-        .select("band", F.col("c.head").alias("center"), F.col("c.n").alias("cn"), "size"),
+        .select("band", F.col("c.head").alias("center"), F.col("c.n").alias("cn"), "size", "weight"),
         "buckets",
     )
     return materialize(listed.join(buckets, "band"), "members")
@@ -298,13 +304,14 @@ def _rest(
     returns only links that join two components, one per join.
     """
     placed = members.join(roots, members["head"] == roots["node"], "left").select(
-        "band", "at", "head", "center", "size", F.coalesce("root", "head").alias("comp")
+        "band", "at", "head", "center", "size", "weight", F.coalesce("root", "head").alias("comp")
     )
     placed = materialize(placed, "placed")
     others = placed.where("head != center")
     open_ = others.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"))
     open_ = materialize(open_.where("_a != _b").select("band"), "open-buckets")
-    tiles = F.ceil(F.col("size") / tile).cast("int")
+    tiles = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("weight") / TILE_SHINGLES))
+    tiles = tiles.cast("int")
     mine = F.pmod(F.xxhash64("head", F.lit("tile")), tiles).cast("int")
     rows = (
         placed.join(open_, "band")
