@@ -23,7 +23,7 @@ from tacit.scratch import materialize, store
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
 # Partitions whose open windows one task merges.
-FAN_IN = 32
+FAN_IN = 8
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, open boolean, grp long"
@@ -135,7 +135,7 @@ def pack(
         group = TaskContext.get().partitionId()
         packer = Packer(size, windows, 0, group)
         encoder = library_encoder(tokenizer, "word")
-        for batch in slices(batches, 1, ENCODE_BYTES):
+        for batch in slices(batches, 1, ENCODE_BYTES // 2):
             ids, starts = encoder.encode(batch.column(1))
             end = np.array([end_id], np.uint32)
             for at, doc_id in enumerate(batch.column(0).to_pylist()):

@@ -14,7 +14,7 @@ import pyarrow.compute
 # Bytes of text that a Python task handles at a time; the batches it receives hold rows, not bytes.
 SLICE_BYTES = 4 << 20
 # Entries after which a word cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def once(key: tuple, make: Callable):

@@ -161,8 +161,8 @@ def library_encoder(path: str, kind: str) -> Encoder:
 
     def make():
         whole = _library(path, word)
-        if word:
-            return Encoder(cut, None, Ids(whole, PIECES))
+        if word:  # case and line ends apart, these pieces are fewer
+            return Encoder(cut, None, Ids(whole, PIECES // 2))
         return Encoder(cut, Ids(whole, PIECES // 10), Ids(lambda piece: whole(" " + piece), PIECES))
 
     return once(("library", path, kind), make)
