@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tacit.llm.text import mix, slices, window_hashes, word_hashes
-from tacit.scratch import materialize, store
+from tacit.scratch import materialize, release, scope, store
 
 SLOTS = 126
 # Chance of missing a pair at the threshold in all bands, from which the band width follows.
@@ -210,7 +210,15 @@ def link(
     is named by its smallest doc_id, whose rows are kept.  Texts without words (null, empty, white
     space) are linked with nothing and kept.  Rows that share a doc_id count as one document; a
     null doc_id takes no part: its component is null and it is kept.  Other columns are ignored.
+    Of the tables written on the way only those that the result reads stay.
     """
+    with scope() as made:
+        linked = _link(docs, words, percent, tile, slots)
+    release(made, linked)
+    return linked
+
+
+def _link(docs: DataFrame, words: int, percent: int, tile: int, slots: int) -> DataFrame:
     width = band_width(percent, slots)
     bands = slots // width
     sketch = materialize(_sketch(docs, words), "sketch")
@@ -390,6 +398,13 @@ def _compare(table: pa.Table, percent: int, least: float, width: int, bands: int
 
 def keep(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns; of repeated rows of it only one."""
+    with scope() as made:
+        kept = _keep(docs, words, percent)
+    release(made, kept)
+    return kept
+
+
+def _keep(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = materialize(link(docs, words, percent), "linked")
     dropped = materialize(found.where("not kept").select("doc_id").distinct(), "dropped")
     again = store(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tacit.llm.text import slices
 from tacit.llm.tokens import ENCODE_BYTES, library_encoder
-from tacit.scratch import materialize, store
+from tacit.scratch import materialize, release, scope, store
 
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
@@ -129,6 +129,15 @@ def pack(
     """
     if windows < 1 or fan_in < 2:
         raise ValueError("at least one open window and a fan-in of two")
+    with scope() as made:
+        packed = _pack(docs, tokenizer, end_id, size, windows, fan_in)
+    release(made, packed)
+    return packed
+
+
+def _pack(
+    docs: DataFrame, tokenizer: str, end_id: int, size: int, windows: int, fan_in: int
+) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def work(batches):

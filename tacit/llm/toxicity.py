@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tacit.llm.langid import held_out
 from tacit.llm.text import Cache, slices
-from tacit.scratch import materialize
+from tacit.scratch import materialize, release, scope
 
 # Bounds of what is learned from: rows per class; entries of the lexicon.
 ROWS_PER_CLASS = 6_000
@@ -207,6 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     document with several labels counts as toxic if one says so.  Without labels of both classes
     the lexicon is empty and the weights are the prior.
     """
+    with scope() as made:
+        model = _fit(docs, labels, rows_per_class)
+    release(made)
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
     known = known.agg((F.max("toxic") > 0).alias("toxic"))
     counts = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tacit.scratch import materialize, scratch_path
+from tacit.scratch import materialize, release, scope, scratch_path
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -51,6 +51,13 @@ def write(
     looked up while writing, so payloads are not shuffled unless there are very many of them.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
+    with scope() as made:
+        _write(pages, path, least, date)
+    release(made)
+    return path
+
+
+def _write(pages: DataFrame, path: str, least: int, date: str) -> None:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -82,7 +89,6 @@ def write(
     )
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha"))
     _records(sized.join(revisits, same, "left"), date).write.option("lineSep", GAP).text(path)
-    return path
 
 
 def _records(rows: DataFrame, date: str) -> DataFrame:
@@ -243,6 +249,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     behind such a break is not returned, nor is a last record cut short.  Empty files have no
     records.
     """
+    with scope() as made:
+        found = _records_of(spark, path)
+    release(made, found)
+    return found
+
+
+def _records_of(spark: SparkSession, path: str) -> DataFrame:
     found = materialize(_chunks(spark, path).mapInArrow(_candidates, CANDIDATE), "warc-candidates")
     bases = materialize(_bases(found), "warc-blocks")
     placed = (
