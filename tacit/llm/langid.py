@@ -28,7 +28,7 @@ EPOCHS = 6
 BATCH = 64
 UNKNOWN = "und"
 # Windows that are looked up together.
-STEP = 512
+STEP = 128
 
 
 @dataclass
