@@ -115,7 +115,7 @@ def _cuts(texts: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int)
     schema = schema.replace("doc_id long", f"doc_id {texts.schema['doc_id'].dataType.simpleString()}")
 
     def work(batches):
-        find = once(("pattern", pattern), lambda: regex.compile(pattern)).finditer
+        find = once(("tokens", "pattern", pattern), lambda: regex.compile(pattern)).finditer
         for batch in batches:
             rows = {name: [] for name in ("at", "tail", "row", "j")}
             for row, (i, text) in enumerate(

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tacit.llm.text import slices
+from tacit.llm.text import once, slices
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -216,6 +216,7 @@ def fit(
 
 def _rows(model: Model | None):
     """Batches of texts -> (language, probability) lists."""
+    once(("network",), lambda: True)  # a worker keeps no caches of other work meanwhile
     predictor = Predictor(model) if model else None
 
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:

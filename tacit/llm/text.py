@@ -20,10 +20,14 @@ CACHE_ENTRIES = 150_000
 def once(key: tuple, make: Callable):
     """``make()``, called once per worker process and key; tasks of a reused worker share it.
 
-    Functions travel to tasks by value, so their own globals do not outlive a task.
+    Functions travel to tasks by value, so their own globals do not outlive a task.  The first
+    part of a key names a kind of work: another kind than the last clears what that one held.
     """
     store = sys.modules.setdefault("tacit_worker_store", types.ModuleType("tacit_worker_store"))
     held = store.__dict__.setdefault("held", {})
+    if store.__dict__.get("kind") != key[0]:
+        held.clear()
+        store.kind = key[0]
     if key not in held:
         held[key] = make()
     return held[key]
@@ -55,7 +59,7 @@ def hash64(data: bytes) -> int:
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
     """A 64-bit hash per word; frequent words are hashed once per worker."""
-    known = once(("word hashes",), lambda: Cache(hash64))
+    known = once(("words",), lambda: Cache(hash64))
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 

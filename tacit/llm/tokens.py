@@ -165,7 +165,7 @@ def library_encoder(path: str, kind: str) -> Encoder:
             return Encoder(cut, None, Ids(whole, PIECES // 2))
         return Encoder(cut, Ids(whole, PIECES // 10), Ids(lambda piece: whole(" " + piece), PIECES))
 
-    return once(("library", path, kind), make)
+    return once(("tokens", "library", path, kind), make)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,7 +205,7 @@ def rank_encoder(path: str, pattern: str = BYTE_PATTERN) -> Encoder:
         rest = Ids(lambda piece: whole(" " + piece), PIECES // 4)
         return Encoder(byte_pieces, Ids(whole, PIECES // 40), rest, learn)
 
-    return once(("ranks", path, pattern), make)
+    return once(("tokens", "ranks", path, pattern), make)
 
 
 def rank_bytes(path: str) -> list[bytes]:
@@ -218,4 +218,4 @@ def rank_bytes(path: str) -> list[bytes]:
             made[rank] = token
         return made
 
-    return once(("rank bytes", path), make)
+    return once(("tokens", "rank bytes", path), make)
