@@ -266,7 +266,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def keep(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
     """The rows whose language is known with a probability of ``least``, with all columns."""
     at = docs.columns.index("text")
 
