@@ -144,7 +144,7 @@ def _pack(
         group = TaskContext.get().partitionId()
         packer = Packer(size, windows, 0, group)
         encoder = library_encoder(tokenizer, "word")
-        for batch in slices(batches, 1, ENCODE_BYTES // 2):
+        for batch in slices(batches, 1, ENCODE_BYTES // 4):
             ids, starts = encoder.encode(batch.column(1))
             end = np.array([end_id], np.uint32)
             for at, doc_id in enumerate(batch.column(0).to_pylist()):

@@ -141,7 +141,7 @@ def _library(path: str, word: bool):
         shown = token.encode().decode("latin-1").translate(letters)
         return _packed([made.id for made in model.tokenize(shown)])
 
-    known = Ids(one, 150_000)
+    known = Ids(one, PIECES // 8 if word else 3 * PIECES // 8)
 
     def whole(piece: str) -> bytes:
         if not piece:
@@ -162,7 +162,7 @@ def library_encoder(path: str, kind: str) -> Encoder:
     def make():
         whole = _library(path, word)
         if word:  # case and line ends apart, these pieces are fewer
-            return Encoder(cut, None, Ids(whole, PIECES // 2))
+            return Encoder(cut, None, Ids(whole, PIECES // 4))
         return Encoder(cut, Ids(whole, PIECES // 10), Ids(lambda piece: whole(" " + piece), PIECES))
 
     return once(("tokens", "library", path, kind), make)
