@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
-    return warc.records(spark, path).select(
+    return warc.records(spark, path, whole=True).select(
         "page_id",
         "payload_bytes",
         "payload_digest",

@@ -10,6 +10,7 @@ number of rounds grows with the logarithm of the blocks of a file, not of its re
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ DATE = "2000-01-01T00:00:00Z"
 # Bytes of file per join bucket when payloads are gathered.
 BUCKET = 1 << 20
 ID = "urn:page:"
+_END = re.compile(rb"\r\n\r\n")
 
 CANDIDATE = (
     "file string, block long, rel long, size long, valid boolean, complete boolean, "
@@ -96,6 +98,8 @@ def _records(rows: DataFrame, date: str) -> DataFrame:
     revisit = F.col("_sha").isNotNull()
     page = F.concat(F.lit(f"<{ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    # With its line end such a url would be the magic; readers strip the space.
+    uri = F.when(uri.endswith(MAGIC.strip()), F.concat(uri, F.lit(" "))).otherwise(uri)
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("bytes").cast("string"),
@@ -155,20 +159,23 @@ def _walk(batches):
             at += len(chunk) + len(MAGIC)
 
 
-def parse_head(chunk: bytes) -> tuple[dict[str, str], int] | None:
-    """Header fields of a record that begins behind its magic, and their length with the gap."""
-    end = chunk.find(b"\r\n\r\n")
-    if end < 0:
+def parse_head(chunk: bytes | memoryview) -> tuple[dict[str, str], int] | None:
+    """Header fields of a record that begins behind its magic, and their length with the gap.
+
+    The whole chunk is searched for the end of the header, as fields have no greatest length.
+    """
+    end = _END.search(chunk)
+    if end is None:
         return None
     fields = {}
-    for line in chunk[:end].split(b"\r\n"):
+    for line in bytes(chunk[: end.start()]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdecimal():
         return None
-    return fields, end + 4
+    return fields, end.end()
 
 
 def _page(text: str | None) -> int | None:
@@ -178,13 +185,13 @@ def _page(text: str | None) -> int | None:
 
 def _payload(block: memoryview) -> tuple[dict[str, str], memoryview]:
     """HTTP fields and payload of a record block."""
-    head = bytes(block[:65536])
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
+    end = _END.search(block)
+    if end is None:
         return {}, block[len(block) :]
-    lines = (line.partition(b":") for line in head[:end].split(b"\r\n")[1:])
+    head = bytes(block[: end.start()])
+    lines = (line.partition(b":") for line in head.split(b"\r\n")[1:])
     fields = {a.strip().lower().decode("latin-1"): b.strip().decode("latin-1") for a, _, b in lines}
-    return fields, block[end + 4 :]
+    return fields, block[end.end() :]
 
 
 def _content(fields: dict[str, str], block: memoryview) -> tuple[int | None, str | None]:
@@ -201,7 +208,7 @@ def _candidates(batches):
     rows: list[tuple] = []
     held = 0
     for file, block, at, chunk, outside in _walk(batches):
-        parsed = None if outside else parse_head(bytes(chunk[:65536]))
+        parsed = None if outside else parse_head(chunk)
         row = [file, block, at - len(MAGIC), len(chunk) + len(MAGIC)]
         if parsed is None:
             row += [False, False, *[None] * 7]
@@ -234,28 +241,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _bases(candidates: DataFrame) -> DataFrame:
-    """Where the first chunk of each block begins in its file: chunks follow without holes."""
+    """Where the chunks of each block begin and end in their file: they follow without holes."""
     sums = candidates.groupBy("file", "block").agg(F.sum("size").alias("_sum"))
     over = Window.partitionBy("file").orderBy("block")
-    return sums.select("file", "block", (F.sum("_sum").over(over) - F.col("_sum")).alias("_base"))
+    sums = sums.withColumn("_past", F.sum("_sum").over(over))
+    return sums.select("file", "block", (F.col("_past") - F.col("_sum")).alias("_base"), "_past")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """The verified records of all archives in a folder.
 
     ``(file, start, length, type, page_id, refers_to, uri, payload_bytes, payload_digest)``: type
     is response or revisit; bytes and digest (bare lower-case hex) are of the full payload.  The
     chain begins at offset 0 of a file and ends at its end or where no record follows; what lies
     behind such a break is not returned, nor is a last record cut short.  Empty files have no
-    records.
+    records.  With ``whole``, as for archives that ``write`` made, a chain that ends elsewhere
+    than its file raises an error.
     """
     with scope() as made:
-        found = _records_of(spark, path)
+        found = _records_of(spark, path, whole)
     release(made, found)
     return found
 
 
-def _records_of(spark: SparkSession, path: str) -> DataFrame:
+def _check_ends(real: DataFrame, bases: DataFrame) -> None:
+    """Raise an error unless the last record of each file ends where the file does."""
+    # Places count from the first magic, which ends the first, empty chunk.
+    ends = bases.groupBy("file").agg((F.max("_past") - len(MAGIC)).alias("_end"))
+    last = real.groupBy("file").agg(F.max(F.col("start") + F.col("length")).alias("_last"))
+    broken = ends.join(last, "file", "left").where(~F.col("_end").eqNullSafe(F.col("_last"))).first()
+    if broken is not None:
+        raise ValueError(
+            f"records of {broken['file']} end at byte {broken['_last'] or 0} of {broken['_end']}"
+        )
+
+
+def _records_of(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     found = materialize(_chunks(spark, path).mapInArrow(_candidates, CANDIDATE), "warc-candidates")
     bases = materialize(_bases(found), "warc-blocks")
     placed = (
@@ -263,7 +284,7 @@ def _records_of(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("start", F.col("_base") + F.col("rel"))
         .where("valid")
         .withColumn("next", F.col("start") + F.col("length"))
-        .drop("_base", "rel", "valid")
+        .drop("_base", "_past", "rel", "valid")
     )
     links = placed.select("file", "block", "start", "next")
     entries = materialize(_reached(links, bases), "warc-entries")
@@ -274,11 +295,13 @@ def _records_of(spark: SparkSession, path: str) -> DataFrame:
     columns = ["file", "start", "length", "type", "page_id", "refers_to", "uri"]
     columns += ["payload_bytes", "payload_digest"]
     real = materialize(real.select(*columns, "complete"), "warc-records")
-    whole = real.where("complete").select(*columns)
+    if whole:
+        _check_ends(real, bases)
+    complete = real.where("complete").select(*columns)
     split = real.where("not complete")
     if split.isEmpty():
-        return whole
-    return whole.unionByName(_rejoined(spark, path, split, bases).select(*columns))
+        return complete
+    return complete.unionByName(_rejoined(spark, path, split, bases).select(*columns))
 
 
 def _exits(table):
@@ -381,7 +404,7 @@ def _rejoined(spark: SparkSession, path: str, split: DataFrame, bases: DataFrame
         table = table.sort_by("_at")
         chunk = MAGIC.encode().join(bytes(c.as_buffer()) for c in table.column("chunk"))
         length = table.column("length")[0].as_py()
-        parsed = parse_head(chunk[:65536])
+        parsed = parse_head(chunk)
         if len(MAGIC) + len(chunk) < length - len(GAP) or parsed is None:
             size, digest = None, None
         else:

@@ -91,6 +91,46 @@ def test_warc_chain_ends_at_a_break(spark):
     assert [r.page_id for r in warc.records(spark, path).collect()] == [1]
 
 
+LONG_URL = "http://a/" + "u" * 100_000
+
+
+@pytest.mark.parametrize("block", [None, "64k"])
+def test_warc_keeps_pages_with_odd_urls(spark, block):
+    rows = [(1, "http://a/1", "one"), (2, LONG_URL, "two"), (3, "http://a/3", LONG)]
+    rows += [(4, LONG_URL, "x" + INNER + "y"), (5, "http://a/WARC/1.1", "five"), (6, "http://a/6", LONG)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = warc.records(spark, path, whole=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to) for r in found]
+    assert sorted(got, key=repr) == expected(rows)
+    assert {r.page_id: r.uri for r in found} == {i: url for i, url, _ in rows}
+
+
+def test_warc_reads_long_http_headers(spark):
+    path = scratch_path(spark, "long-http")
+    body = f"HTTP/1.1 200 OK\r\nX-Long: {'h' * 100_000}\r\n\r\nabc"
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n"
+    rows = [(f"{head}Content-Length: {len(body)}\r\n\r\n{body}",)]
+    spark.createDataFrame(rows, "v string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    assert [r.payload_bytes for r in warc.records(spark, path, whole=True).collect()] == [3]
+
+
+@pytest.mark.parametrize("tail", ["noise", "WARC/1.1\r\nnoise", "WARC/1.1\r\nContent-Length: 9\r\n\r\ncut"])
+def test_warc_raises_where_a_whole_archive_breaks(spark, tail):
+    path = scratch_path(spark, "not-whole")
+    good = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    spark.createDataFrame([(good + tail,)], "v string").coalesce(1).write.option("lineSep", "\n").text(path)
+    assert warc.records(spark, path).count() == 1
+    with pytest.raises(ValueError, match="end at byte"):
+        warc.records(spark, path, whole=True)
+
+
 def brute_top(rows, k):
     def code(v):
         if v is None or not v or any(x is None or not math.isfinite(x) for x in v):
