@@ -30,7 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, tokenizer, end_id=1, added=True)
 
 
 STAGES = [

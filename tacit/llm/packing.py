@@ -118,6 +118,7 @@ def pack(
     size: int = SEQUENCE,
     windows: int = OPEN_WINDOWS,
     fan_in: int = FAN_IN,
+    added: bool = False,
 ) -> DataFrame:
     """``(doc_id, start, length, ids binary, doc_tokens, sequence_id, offset)``, a row per piece.
 
@@ -125,25 +126,32 @@ def pack(
     ``tokenizers`` file and ``end_id`` follows each; null and empty texts give the end id alone;
     repeated rows and null ids stay.  Every id lies in one piece, the pieces of a sequence are
     gapless from 0, and all sequences are full but the last few of the whole table, whose lengths
-    are powers of two: nothing is padded.  Other columns are ignored.
+    are powers of two: nothing is padded.  Other columns are ignored.  With ``added``, strings in
+    a text that are added tokens of the file get their ids, else they are ordinary text.
     """
     if windows < 1 or fan_in < 2:
         raise ValueError("at least one open window and a fan-in of two")
     with scope() as made:
-        packed = _pack(docs, tokenizer, end_id, size, windows, fan_in)
+        packed = _pack(docs, tokenizer, end_id, size, windows, fan_in, added)
     release(made, packed)
     return packed
 
 
 def _pack(
-    docs: DataFrame, tokenizer: str, end_id: int, size: int, windows: int, fan_in: int
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    size: int,
+    windows: int,
+    fan_in: int,
+    added: bool,
 ) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def work(batches):
         group = TaskContext.get().partitionId()
         packer = Packer(size, windows, 0, group)
-        encoder = library_encoder(tokenizer, "word")
+        encoder = library_encoder(tokenizer, "word", added)
         for batch in slices(batches, 1, ENCODE_BYTES // 4):
             ids, starts = encoder.encode(batch.column(1))
             end = np.array([end_id], np.uint32)

@@ -74,9 +74,9 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.write(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
-    )
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    path = token_files.write(docs, tokenizer, end_id=2, added=True)
     return token_files.digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -128,9 +128,9 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1
-    )
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(docs, tokenizer, end_id=1, added=True)
     return pieces.select(
         "doc_id",
         "start",

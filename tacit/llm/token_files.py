@@ -137,13 +137,15 @@ def write(
     path: str | None = None,
     end_id: int = 2,
     file_tokens: int = FILE_TOKENS,
+    added: bool = False,
 ) -> str:
     """Encode whole texts by a byte-level ``tokenizers`` file and write token files; the folder.
 
     Documents lie in ascending doc_id order (nulls first, then by text) over the files of the
     sorted partitions; ``end_id`` follows each.  Null and empty texts give the end id alone;
     repeated rows stay repeated.  A file ends with the document that brings it to
-    ``file_tokens``.  Spark's committer writes the files, so a lost task leaves none behind.
+    ``file_tokens``.  With ``added``, strings in a text that are added tokens of the file (such as
+    <|endoftext|>) get their ids, else they are ordinary text.  Spark's committer writes the files, so a lost task leaves none behind.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
@@ -153,7 +155,7 @@ def write(
 
     def work(batches):
         partition, number = TaskContext.get().partitionId(), 0
-        encoder = library_encoder(tokenizer, "byte")
+        encoder = library_encoder(tokenizer, "byte", added)
         ids, doc_ids, lengths, held = [], [], [], 0
 
         def packed():

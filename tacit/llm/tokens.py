@@ -8,6 +8,7 @@ call on the whole text, at a fraction of its cost, because pieces repeat.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from array import array
 
@@ -81,14 +82,52 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Ids of texts; ``cut`` makes pieces and ``learn`` fills a cache with what it lacks."""
+    """Ids of texts; ``cut`` makes pieces and ``learn`` fills a cache with what it lacks.
 
-    def __init__(self, cut, first: Ids | None, rest: Ids, learn=None):
+    ``added`` maps strings that stand for one id each, wherever they occur, to their ids.
+    """
+
+    def __init__(self, cut, first: Ids | None, rest: Ids, learn=None, added=None):
         self.cut, self.first, self.rest, self.learn = cut, first, rest, learn
+        self.added = added or {}
+        # Of strings that begin at the same place the longest counts.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.find = regex.compile("|".join(map(regex.escape, longest))) if longest else None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32), and where each text's begin; null and empty have none."""
-        lists = self.cut(texts.fill_null(""))
+        texts = texts.fill_null("")
+        odd = np.zeros(len(texts), bool)
+        for string in self.added:
+            odd |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._ordinary(texts)
+        # What lies between added strings is encoded alone; the id of each goes behind its part.
+        parts, after, counts = [], [], np.ones(len(texts), np.int64)
+        for at in np.flatnonzero(odd).tolist():
+            text, low = texts[at].as_py(), 0
+            for hit in self.find.finditer(text):
+                parts.append(text[low : hit.start()])
+                after.append(self.added[hit.group()])
+                low = hit.end()
+                counts[at] += 1
+            parts.append(text[low:])
+            after.append(-1)
+        split = np.repeat(odd, counts)
+        order, ids_after = np.empty(len(split), np.int64), np.full(len(split), -1, np.int64)
+        order[~split] = np.flatnonzero(~odd)
+        order[split] = len(texts) + np.arange(len(parts))
+        ids_after[split] = after
+        rows = pa.concat_arrays([texts, pa.array(parts, texts.type)]).take(pa.array(order))
+        ids, starts = self._ordinary(rows)
+        marked = ids_after >= 0
+        ids = np.insert(ids, starts[1:][marked], ids_after[marked].astype(np.uint32))
+        starts = starts + np.concatenate([[0], np.cumsum(marked)])
+        return ids, starts[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added strings; none is null."""
+        lists = self.cut(texts)
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
@@ -123,7 +162,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _library(path: str, word: bool):
-    """``whole`` for a file of the tokenizers library; special tokens count as ordinary text.
+    """``whole`` for a file of the tokenizers library; added tokens count as ordinary text here.
 
     The library's own model encodes the pre-tokens; pieces with letters beyond ``PLAIN`` or
     control characters go through all steps of the library.
@@ -154,18 +193,34 @@ def _library(path: str, word: bool):
     return whole
 
 
-def library_encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder for a tokenizers file; ``kind`` is "byte" or "word"."""
+def read_added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file with their ids."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if any(token[name] for name in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} does not stand for itself alone")
+    return {token["content"]: token["id"] for token in added}
+
+
+def library_encoder(path: str, kind: str, added: bool = False) -> Encoder:
+    """The worker's encoder for a tokenizers file; ``kind`` is "byte" or "word".
+
+    With ``added``, strings in a text that are added tokens of the file get their ids, as in the
+    library's own call; without, they are ordinary text (its ``encode_special_tokens``).
+    """
     word = kind == "word"
     cut = word_pieces if word else byte_pieces
 
     def make():
         whole = _library(path, word)
+        strings = read_added(path) if added else None
         if word:  # case and line ends apart, these pieces are fewer
-            return Encoder(cut, None, Ids(whole, PIECES // 4))
-        return Encoder(cut, Ids(whole, PIECES // 10), Ids(lambda piece: whole(" " + piece), PIECES))
+            return Encoder(cut, None, Ids(whole, PIECES // 4), added=strings)
+        rest = Ids(lambda piece: whole(" " + piece), PIECES)
+        return Encoder(cut, Ids(whole, PIECES // 10), rest, added=strings)
 
-    return once(("tokens", "library", path, kind), make)
+    return once(("tokens", "library", path, kind, added), make)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -1,5 +1,6 @@
 """Byte-level BPE, token files and packing against the tokenizer libraries."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -7,10 +8,12 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tacit.llm import byte_bpe, packing, token_files
+from tacit.llm.queries import QUERIES
 from tacit.llm.tokens import library_encoder, rank_encoder, read_ranks
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -135,3 +138,52 @@ def test_packing_keeps_every_id(documents, size, windows, fan_in):
         # Nothing is padded: full, or a power of two.
         assert at == size or (at < size and at & (at - 1) == 0)
     assert sum(sum(n for _, n in p) < size for p in sequences.values()) <= size.bit_length()
+
+
+MARKS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", "|>", " ", "\n", "a", " 's", "é", "Σİ", "　"]
+MARKED = st.lists(st.sampled_from(MARKS), max_size=12).map("".join)
+
+
+as_it_comes = functools.cache(Tokenizer.from_file)
+
+
+def library_call(path, texts):
+    """The library with its flag at the default."""
+    found = as_it_comes(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [made.ids for made in found]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | MARKED, min_size=1, max_size=6))
+@example(["a <|endoftext|> b", None, "", "plain", "<|endoftext|>" * 3])
+def test_added_tokens_get_their_ids(texts):
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        ids, starts = library_encoder(path, kind, added=True).encode(pa.array(texts, pa.string()))
+        assert ids.dtype == np.uint32
+        got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert got == library_call(path, texts)
+
+
+MARKED_ROWS = [(i, t, "en") for i, t in enumerate(["a <|endoftext|> b", None, "c", "x<|startoftext|>y<|endoftext|>"])]
+
+
+@pytest.mark.parametrize("name", ["op6_token_files", "op9_packing"])
+def test_queries_equal_the_library_call(spark, documents, tmp_path, name):
+    documents(MARKED_ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    path, end = (BYTE, 2) if name == "op6_token_files" else (WORD, 1)
+    at = 0
+    for (i, _, _), ids in zip(MARKED_ROWS, library_call(path, [t for _, t, _ in MARKED_ROWS])):
+        ids = [*ids, end]
+        if name == "op6_token_files":
+            assert (rows[i].start, rows[i].n_tokens) == (at, len(ids))
+            assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            at += len(ids)
+        else:
+            assert rows[i].doc_tokens == len(ids)
+
+
+def test_pipeline_packs_added_tokens(spark, documents):
+    pieces = corpus_pipeline.pack_sequences(spark, documents(MARKED_ROWS), "").collect()
+    want = library_call(WORD, [t for _, t, _ in MARKED_ROWS])
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids) + 1 for i, ids in enumerate(want)}
