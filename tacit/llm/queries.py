@@ -12,6 +12,7 @@ from tacit.llm import (
     near_dup,
     packing,
     quality,
+    simhash,
     sql,
     token_files,
     topk,
@@ -149,6 +150,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_near_dup": op2_near_dup,
@@ -160,6 +165,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_simhash": op11_simhash,
 }
 SQL: dict[str, str] = {
     "op1_warc": sql.WARC,
