@@ -13,6 +13,7 @@ from tacit.llm import (
     packing,
     quality,
     simhash,
+    spelling,
     sql,
     token_files,
     topk,
@@ -154,6 +155,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_near_dup": op2_near_dup,
@@ -166,6 +171,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_simhash": op11_simhash,
+    "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {
     "op1_warc": sql.WARC,
@@ -173,4 +179,5 @@ SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY_RESULT,
     "op5_top_k": sql.TOP_K,
     "op8_chat_windows": sql.CHAT,
+    "op13_spelling": sql.SPELLING,
 }

