@@ -11,6 +11,7 @@ from tacit.llm import (
     langid,
     near_dup,
     packing,
+    prefix_trie,
     quality,
     simhash,
     spelling,
@@ -155,6 +156,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
@@ -171,6 +176,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_simhash": op11_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {
@@ -179,5 +185,6 @@ SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY_RESULT,
     "op5_top_k": sql.TOP_K,
     "op8_chat_windows": sql.CHAT,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
     "op13_spelling": sql.SPELLING,
 }

@@ -191,3 +191,45 @@ WITH RECURSIVE r AS (
 )
 SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
 """
+
+_ID_BYTES = "list_transform(string_split(c::VARCHAR, ''), lambda z: ord(z)::BIGINT)"
+
+PREFIX_TRIE = rf"""
+WITH k AS (
+  SELECT c, key, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS i FROM (
+    SELECT conv_id AS c, turn,
+      md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL)
+), v AS (
+  SELECT c, c - c % 20 AS lead, {crc32(_ID_BYTES)} % 4 AS h FROM (SELECT DISTINCT c FROM k)
+), b AS (
+  SELECT v.c, k.i AS d, key, words FROM v JOIN k ON k.c = lead AND k.i <= h
+  UNION ALL
+  SELECT v.c, least(h, coalesce(n, 0)) + k.i - h, key, words FROM v JOIN k ON k.c = v.c AND k.i > h
+  LEFT JOIN (SELECT c, count(*) AS n FROM k GROUP BY c) s ON s.c = v.lead
+), s AS (
+  SELECT c, list(key ORDER BY d) AS keys, list(words ORDER BY d) AS words FROM b GROUP BY c
+), m AS (
+  SELECT c, d, coalesce(len(keys), 0) AS total,
+    CASE WHEN d = 0 THEN [] ELSE keys[1:d] END AS node, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words
+  FROM (SELECT v.c, keys, words, unnest(range(0, coalesce(len(keys), 0) + 1)) AS d FROM v LEFT JOIN s USING (c))
+), n AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = d), '')) AS ends_sha256
+  FROM m GROUP BY node, d
+), up AS (
+  SELECT *, CASE WHEN d < 2 THEN [] ELSE node[1:d - 1] END AS parent FROM n
+), ch AS (
+  SELECT parent, count(*) AS n_children FROM up WHERE d > 0 GROUP BY parent
+), full_ AS (
+  SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN ch ON ch.parent = up.node
+), sub AS (
+  SELECT CASE WHEN a = 0 THEN [] ELSE node[1:a] END AS node, a,
+    count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY 1, 2
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+  saved_tokens, f.ends_sha256
+FROM full_ f JOIN sub ON sub.node = f.node LEFT JOIN full_ p ON f.d > 0 AND p.node = f.parent
+"""
