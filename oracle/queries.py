@@ -296,6 +296,19 @@ def oracle_sql() -> dict[str, str]:
             " FROM (SELECT DISTINCT user_idx, item_idx FROM inter)"
             " JOIN p0 p USING (user_idx) JOIN q0 q USING (item_idx)",
         ),
+        "scored_pairs_cells": sql.query(
+            INDEXED | starts(32),
+            f"SELECT {BIG_PAIR}, round({sql.dot(32)}, 9) + 0.0 AS score"
+            " FROM (SELECT DISTINCT user_idx, item_idx FROM inter)"
+            " JOIN p0 p USING (user_idx) JOIN q0 q USING (item_idx)",
+        ),
+        **dict.fromkeys(
+            ("hit_ndcg_scored", "hit_ndcg_cells"),
+            sql.query(
+                trial() | sql.negatives() | sql.ranking("p1", "q1", 2),
+                f"SELECT {sql.metrics()} FROM {sql.true_rows()}",
+            ),
+        ),
         "sweep_items_split": one_step("item"),
         "als_users_split": one_step(
             "user", own=False, base=UNIFORM, method="solve", distribution="normal"

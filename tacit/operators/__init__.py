@@ -2,9 +2,11 @@ from tacit.operators.evaluation import (
     case_ranks,
     evaluate,
     negative_candidates,
+    negative_lists,
     prediction_error,
     rank_candidates,
     rank_gains,
+    rank_lists,
     ranking_metrics,
     score_pairs,
 )
@@ -36,11 +38,13 @@ __all__ = [
     "kcore",
     "leave_one_out",
     "negative_candidates",
+    "negative_lists",
     "peel",
     "prediction_error",
     "random_split",
     "rank_candidates",
     "rank_gains",
+    "rank_lists",
     "ranking_metrics",
     "sample_users",
     "score_pairs",

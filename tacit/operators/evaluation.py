@@ -6,66 +6,50 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tacit.functions import dot, draw, draw_below
+from tacit.functions import draw, draw_below
 from tacit.operators.indexing import dense_index
-from tacit.scratch import Stored, materialize, spread, store, task_width
+from tacit.operators.scoring import BROADCAST_BYTES, rank_lists, score_pairs
+from tacit.scratch import materialize, spread, store
 
 # First round of unseen-item draws per wanted negative, and growth of later rounds.
 DRAWS_PER_NEGATIVE = 1.25
 DRAWS_GROWTH = 4
-# Largest factor table, at eight bytes an element, that scoring broadcasts.
-BROADCAST_BYTES = 64 << 20
-# Numbers that one row is expanded to at a time.
-NUMBER_SPAN = 10_000
+# Numbers that one row is expanded to at a time, and the most that a row may draw in vain.
+NUMBER_SPAN = 100_000
+# Negatives in one row of a list.
+LIST_SPAN = 10_000
+# Seen items in one packed row of a user.
+SEEN_SPAN = 100_000
 
 
-def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Add ``score`` = inner product; pairs without both vectors drop out.
+def negative_candidates(
+    test: DataFrame,
+    items: DataFrame,
+    n: int = 99,
+    seed: int = 42,
+    mode: str = "uniform",
+    seen: DataFrame | None = None,
+) -> DataFrame:
+    """``(user_idx, true_item, item_idx, is_true)``: each test pair plus ``n`` items of ``items``.
 
-    A NaN score is an error: it would sort before every number and look like a perfect rank.
+    The rows of :func:`negative_lists`, one by one, and those of the test pairs.
     """
-    tables = [
-        items.select("item_idx", F.col("factors").alias("q_factors")),
-        # Users last: the scores are then already placed for a ranking within users.
-        users.select("user_idx", F.col("factors").alias("p_factors")),
-    ]
-    joined, width = _attach(pairs, tables)
-    scored = joined.select(
-        *pairs.columns, dot(F.col("p_factors"), F.col("q_factors"), width).alias("score")
-    )
-    checked = F.when(F.isnan("score"), F.raise_error(F.lit("score is NaN"))).otherwise(
-        F.col("score")
+    truth = _cases(test).select(
+        "user_idx",
+        "true_item",
+        F.col("true_item").cast("int").alias("item_idx"),
+        F.lit(1).cast("bigint").alias("is_true"),
     )
-    return scored.select(*pairs.columns, checked.cast("double").alias("score"))
-
+    lists = negative_lists(test, items, n, seed, mode, seen)
+    false = lists.select("user_idx", "true_item", F.explode("negatives").alias("item_idx"))
+    return truth.unionByName(false.withColumn("is_true", F.lit(0).cast("bigint")))
 
-def _attach(pairs: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, int]:
-    """Join each (id, vector) table to the pairs; also returns the vector length.
 
-    Generated pairs look small to the planner, which counts the rows before they are multiplied.
-    So the choice is made here: a table of checked size is broadcast, a larger one is merged,
-    where adaptive execution splits skewed keys.
-    """
-    sizes = None
-    for at, table in enumerate(tables):
-        vector = table.columns[1]
-        size = table.agg(
-            F.lit(at).alias("at"),
-            F.count(F.lit(1)).alias("rows"),
-            F.max(F.size(vector)).alias("width"),
-        )
-        sizes = size if sizes is None else sizes.unionByName(size)
-    width = 0
-    for size in sorted(sizes.collect(), key=lambda row: row.at):
-        width = max(width, size.width or 0)
-        table = tables[size.at]
-        small = size.rows * (size.width or 0) * 8 <= BROADCAST_BYTES
-        hinted = F.broadcast(table) if small else table.hint("merge")
-        pairs = pairs.join(hinted, table.columns[0])
-    return pairs, width
+def _cases(test: DataFrame) -> DataFrame:
+    return test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
 
 
-def negative_candidates(
+def negative_lists(
     test: DataFrame,
     items: DataFrame,
     n: int = 99,
@@ -73,57 +57,63 @@ def negative_candidates(
     mode: str = "uniform",
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """``(user_idx, true_item, item_idx, is_true)``: each test pair plus ``n`` items of ``items``.
+    """``(user_idx, true_item, negatives)``: ``n`` items of ``items`` for each test pair.
 
     A case is a distinct (user, item) pair of ``test``.  Items are drawn by their position among
     the ids of ``items``, usually the items that have a vector, so gaps between ids cost nothing.
     ``uniform``: draws with replacement; they may repeat or hit the true or a seen item.
     ``unseen``: distinct items outside ``seen`` (user_idx, item_idx) and other than the true
-    one, in draw order; a user with fewer than ``n`` unseen items gets all of them.
+    one, in draw order; a user with fewer than ``n`` unseen items gets all of them.  Every case
+    has a row, or several where ``n`` is large; a list may be empty.
     """
-    cases = test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
-    truth = cases.select(
-        "user_idx",
-        "true_item",
-        F.col("true_item").cast("int").alias("item_idx"),
-        F.lit(1).cast("bigint").alias("is_true"),
-    )
-    places = _places(items)
+    places = Places(items)
     if mode == "uniform":
-        stored = materialize(cases, "cases")
-        numbered = _numbered(stored.repartition(task_width(stored.sparkSession), "user_idx"), n)
-        drawn = numbered.withColumn("place", _draw_place(places.rows, F.col("j"), seed))
-        false = _named(drawn, places).select("user_idx", "true_item", "item_idx")
-    elif mode == "unseen":
+        cases = spread(materialize(_cases(test), "cases"), "user_idx", "true_item")
+        low = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1), F.lit(LIST_SPAN)))
+        high = F.least(F.col("_low") + LIST_SPAN, F.lit(n)) - 1
+        numbers = F.sequence(F.col("_low"), high) if n and places.rows else F.array().cast("array<int>")
+        drawn = F.transform(numbers, lambda j: _draw_place(places.rows, j, seed))
+        lists = cases.select("*", low.alias("_low")).withColumn("places", drawn)
+        return places.named(lists, "_low").select("user_idx", "true_item", "negatives")
+    if mode == "unseen":
         if seen is None:
             raise ValueError("unseen negatives need the seen pairs")
-        false = _unseen(cases, places, n, seed, seen)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return truth.unionByName(false.withColumn("is_true", F.lit(0).cast("bigint")))
-
-
-def _places(items: DataFrame) -> Stored:
-    """``(place, item_idx)``: the ids of ``items`` numbered from 0 in ascending order."""
-    ids = items.select("item_idx").distinct()
-    return store(dense_index(ids, "item_idx", "first_seen", "item_idx", "place"), "places")
-
-
-def _named(drawn: DataFrame, places: Stored) -> DataFrame:
-    """Put items in the place of their positions."""
-    table = places.frame.select("place", F.col("item_idx").cast("int").alias("item_idx"))
-    small = places.rows * 16 <= BROADCAST_BYTES
-    return drawn.join(F.broadcast(table) if small else table.hint("merge"), "place").drop("place")
-
-
-def _numbered(cases: DataFrame, count: int, name: str = "j") -> DataFrame:
-    """Each case with the numbers 0..count-1, at most ``NUMBER_SPAN`` of them from one row."""
-    if count <= NUMBER_SPAN:
-        return cases.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name))
-    low = F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(NUMBER_SPAN))).alias("_low")
-    high = F.least(F.col("_low") + NUMBER_SPAN, F.lit(count)) - 1
-    spans = spread(cases.select("*", low), *cases.columns, "_low")
-    return spans.select(*cases.columns, F.explode(F.sequence(F.col("_low"), high)).alias(name))
+        return _unseen(_cases(test), places, n, seed, seen)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+class Places:
+    """The ids of a frame's items, numbered from 0 in ascending order."""
+
+    def __init__(self, items: DataFrame):
+        ids = items.select("item_idx").distinct()
+        made = store(dense_index(ids, "item_idx", "first_seen", "item_idx", "place"), "places")
+        self.rows = made.rows
+        self.frame = made.frame.select("place", F.col("item_idx").cast("int").alias("item_idx"))
+        least, most = made.frame.agg(F.min("item_idx"), F.max("item_idx")).first()
+        # Ids without gaps are their own places.
+        self.same = least == 0 and most == made.rows - 1
+        self.table = F.broadcast(self.frame) if made.rows * 16 <= BROADCAST_BYTES else self.frame.hint("merge")
+
+    def of_items(self, df: DataFrame, col: str) -> DataFrame:
+        """Add ``place`` to rows with an item id; rows of other items get null."""
+        if self.same:
+            inside = (F.col(col) >= 0) & (F.col(col) < self.rows)
+            return df.withColumn("place", F.when(inside, F.col(col).cast("int")))
+        table = self.table.withColumnRenamed("item_idx", col)
+        return df.join(table, col, "left")
+
+    def named(self, lists: DataFrame, *key: str) -> DataFrame:
+        """``negatives`` in the place of ``places``, per case (and further key columns)."""
+        if self.same:
+            return lists.withColumnRenamed("places", "negatives")
+        columns = ["user_idx", "true_item", *key]
+        one = lists.select(*columns, F.posexplode_outer("places").alias("_at", "place"))
+        item = F.when(F.col("item_idx").isNotNull(), F.struct("_at", "item_idx"))
+        found = one.join(self.table, "place", "left").groupBy(*columns)
+        return found.agg(F.sort_array(F.collect_list(item)).alias("_l")).select(
+            *columns, F.transform("_l", lambda x: x["item_idx"]).alias("negatives")
+        )
 
 
 def _draw_place(count: int, j: Column, seed: int) -> Column:
@@ -131,68 +121,83 @@ def _draw_place(count: int, j: Column, seed: int) -> Column:
     return place.cast("int")
 
 
-def _distinct_draws(cases: DataFrame, count: int, draws: int, seed: int) -> DataFrame:
-    """The different places among ``draws`` draws, with ``j`` in the order of first draws.
-
-    Usual rounds settle repeats inside the row of a case; only a round too long for one row
-    shuffles its draws to find them.
-    """
-    if draws <= NUMBER_SPAN:
-        numbers = F.sequence(F.lit(0), F.lit(draws - 1))
-        drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_place(count, j, seed)))
-        return spread(cases, "user_idx").select("*", F.posexplode(drawn).alias("j", "place"))
-    drawn = _numbered(cases, draws).withColumn("place", _draw_place(count, F.col("j"), seed))
-    return drawn.groupBy("user_idx", "true_item", "place").agg(F.min("j").alias("j"))
-
-
-def _without_seen(pool: DataFrame, seen: DataFrame) -> DataFrame:
-    return pool.where(F.col("item_idx") != F.col("true_item")).join(
-        seen, ["user_idx", "item_idx"], "left_anti"
-    )
-
-
-def _first(pool: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows per case by ``j``; a case holds at most the draws of its round."""
-    order = Window.partitionBy("user_idx", "true_item").orderBy("j", "item_idx")
-    return pool.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
-
-
-def _unseen(cases: DataFrame, places: Stored, n: int, seed: int, seen: DataFrame) -> DataFrame:
-    """Rejection sampling in growing rounds, then what the few users left have not seen.
-
-    A case still short after about as many draws as there are items belongs to a user who has
-    seen nearly all of them.  Such a user's unseen items are few; they are found once per user
-    and shared by the user's cases, each of which takes them in the order of a draw of its own.
+def _packed(seen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(user_idx, seen)``: sorted arrays of places; users with long ones apart, in several rows."""
+    counts = store(seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SEEN_SPAN), "long")
+    short = seen
+    if counts.rows:
+        short = seen.join(F.broadcast(counts.frame), "user_idx", "left_anti")
+    packed = short.groupBy("user_idx").agg(F.sort_array(F.collect_list("place")).alias("seen"))
+    packed = materialize(packed, "seen-packed")
+    if not counts.rows:
+        return packed, None
+    part = F.pmod(F.xxhash64("place"), F.ceil(F.col("_n") / SEEN_SPAN))
+    long = seen.join(F.broadcast(counts.frame), "user_idx").groupBy("user_idx", part.alias("_part"))
+    long = long.agg(F.sort_array(F.collect_list("place")).alias("seen")).drop("_part")
+    return packed, materialize(long, "seen-packed")
+
+
+def _unseen(cases: DataFrame, places: Places, n: int, seed: int, seen: DataFrame) -> DataFrame:
+    """Rejection sampling inside the row in growing rounds, then what the few users left have not seen.
+
+    The seen items of a user travel once, packed; draws are made, and dropped, in the row of
+    their case.  A case still short after about as many draws as there are items, or as a row
+    may hold, belongs to a user who has seen nearly all of them.  Such a user's unseen items are
+    few; they are found once per user and shared by the user's cases, each of which takes them in
+    the order of a draw of its own.
     """
     key = ["user_idx", "true_item"]
-    todo = materialize(cases, "cases")
-    seen = materialize(
-        seen.join(todo.select("user_idx").distinct(), "user_idx", "left_semi")
-        .select("user_idx", F.col("item_idx").cast("int").alias("item_idx"))
-        .distinct(),
-        "seen",
-    )
+    todo = places.of_items(cases, "true_item").select(*key, F.col("place").alias("_true"))
+    todo = materialize(todo, "cases")
+    rows = seen.join(todo.select("user_idx").distinct(), "user_idx", "left_semi")
+    rows = places.of_items(rows.select("user_idx", F.col("item_idx").cast("int").alias("item_idx")), "item_idx")
+    rows = materialize(rows.where(F.col("place").isNotNull()).select("user_idx", "place").distinct(), "seen")
+    packed, long = _packed(rows)
     done = None
     n_draws = math.ceil(DRAWS_PER_NEGATIVE * n)
-    while n_draws < places.rows:
-        pool = _named(_distinct_draws(todo, places.rows, n_draws, seed), places)
-        got = materialize(_first(_without_seen(pool, seen), n), "unseen")
-        full = got.groupBy(*key).count().where(F.col("count") >= n).select(*key)
-        short = store(todo.join(full, key, "left_anti"), "cases")
-        enough = got.join(short.frame, key, "left_anti") if short.rows else got
+    most = max(NUMBER_SPAN, n_draws)
+    while n_draws < places.rows and n_draws <= most:
+        numbers = F.sequence(F.lit(0), F.lit(n_draws - 1)) if n_draws else F.array().cast("array<int>")
+        drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_place(places.rows, j, seed)))
+        fresh = F.array_except(drawn, F.array("_true"))
+        none = F.array().cast("array<int>")
+        posed = todo.join(packed, "user_idx", "left")
+        got = posed.select(*key, "_true", F.array_except(fresh, F.coalesce("seen", none)).alias("places"))
+        if long is not None:
+            hits = todo.join(long, "user_idx").select(*key, F.array_intersect(fresh, F.col("seen")).alias("hit"))
+            hits = hits.groupBy(*key).agg(F.flatten(F.collect_list("hit")).alias("hit"))
+            rest = F.array_except("places", F.coalesce("hit", none))
+            got = got.join(hits, key, "left").select(*key, "_true", rest.alias("places"))
+        got = store(got.withColumn("places", F.slice("places", 1, n) if n else none), "unseen").frame
+        full = F.size("places") >= n
+        enough = got.where(full).select(*key, "places")
         done = enough if done is None else done.unionByName(enough)
+        short = store(got.where(~full).select(*key, "_true"), "cases")
         if not short.rows:
-            return done.select(*key, "item_idx")
+            return places.named(done).select(*key, "negatives")
         todo, n_draws = short.frame, n_draws * DRAWS_GROWTH
-    if not places.rows:
-        return todo.select(*key, F.col("true_item").cast("int").alias("item_idx")).limit(0)
-    users = todo.select("user_idx").distinct()
-    every = _named(_numbered(spread(users, "user_idx"), places.rows, "place"), places)
-    unseen = materialize(every.join(seen, ["user_idx", "item_idx"], "left_anti"), "unseen-rest")
+    every = todo.select("user_idx").distinct()
+    low = F.explode(F.sequence(F.lit(0), F.lit(max(places.rows, 1) - 1), F.lit(NUMBER_SPAN)))
+    spans = spread(every.select("user_idx", low.alias("_low")), "user_idx", "_low")
+    high = F.least(F.col("_low") + NUMBER_SPAN, F.lit(places.rows)) - 1
+    numbers = F.sequence(F.col("_low"), high) if places.rows else F.array().cast("array<int>")
+    left = spans.select("user_idx", F.explode(numbers).alias("place")).join(rows, ["user_idx", "place"], "left_anti")
+    unseen = materialize(left.join(places.table, "place").select("user_idx", "item_idx"), "unseen-rest")
     order = draw(F.col("user_idx"), F.col("true_item"), F.col("item_idx"), "rest", seed=seed)
-    listed = todo.join(unseen, "user_idx").where(F.col("item_idx") != F.col("true_item"))
-    last = _first(listed.withColumn("j", order), n).select(*key, "item_idx")
-    return last if done is None else done.select(*key, "item_idx").unionByName(last)
+    listed = todo.select(*key).join(unseen, "user_idx").where(F.col("item_idx") != F.col("true_item"))
+    last = _first(listed.withColumn("j", order), n).groupBy(*key)
+    last = last.agg(F.sort_array(F.collect_list(F.struct("j", "item_idx"))).alias("_l"))
+    last = todo.select(*key).join(last, key, "left").select(
+        *key,
+        F.coalesce(F.transform("_l", lambda x: x["item_idx"]), F.array().cast("array<int>")).alias("negatives"),
+    )
+    return last if done is None else places.named(done).select(*key, "negatives").unionByName(last)
+
+
+def _first(pool: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows per case by ``j``; a case holds what its user has not seen."""
+    order = Window.partitionBy("user_idx", "true_item").orderBy("j", "item_idx")
+    return pool.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:
@@ -210,22 +215,24 @@ def case_ranks(scored: DataFrame) -> DataFrame:
     """``(user_idx, item_idx, rank, n_candidates)`` per case whose true item has a score.
 
     The rank of a true row is one more than the number of its case's candidates that come before
-    it in the order of :func:`rank_candidates`: a plain aggregate, without sorting anything.
+    it in the order of :func:`rank_candidates`.  For candidates already scored one by one; the
+    group of a case is its candidate list.  :func:`evaluate` ranks while it scores.
     """
-    key = ["user_idx", "true_item"]
-    truth = scored.where(F.col("is_true") == 1).select(*key, F.col("score").alias("_true"))
-    others = scored.where(F.col("is_true") == 0).select(*key, "item_idx", "score")
-    before = (F.col("score") > F.col("_true")) | (
-        (F.col("score") == F.col("_true")) & (F.col("item_idx") < F.col("true_item"))
+    false = F.col("is_true") == 0
+    listed = scored.groupBy("user_idx", "true_item").agg(
+        F.max(F.when(~false, F.col("score"))).alias("_true"),
+        F.collect_list(F.when(false, F.struct("score", "item_idx"))).alias("_others"),
     )
-    return (
-        truth.join(others, key, "left")
-        .groupBy(*key)
-        .agg(
-            (F.count_if(before) + 1).alias("rank"),
-            F.count("score").alias("n_candidates"),
-        )
-        .select("user_idx", F.col("true_item").alias("item_idx"), "rank", "n_candidates")
+
+    def before(other: Column) -> Column:
+        tie = (other["score"] == F.col("_true")) & (other["item_idx"] < F.col("true_item"))
+        return (other["score"] > F.col("_true")) | tie
+
+    return listed.where(F.col("_true").isNotNull()).select(
+        "user_idx",
+        F.col("true_item").alias("item_idx"),
+        (F.size(F.filter("_others", before)) + 1).cast("bigint").alias("rank"),
+        F.size("_others").cast("bigint").alias("n_candidates"),
     )
 
 
@@ -296,9 +303,9 @@ def evaluate(
 ) -> DataFrame:
     """Sampled ranking evaluation of a factor model; see :func:`ranking_metrics`.
 
-    ``candidates`` may hold what :func:`negative_candidates` gave before, for models over the
-    same items; without it, negatives are drawn from the items that have a vector.
+    ``candidates`` may hold what :func:`negative_lists` gave before, for models over the same
+    items; without it, negatives are drawn from the items that have a vector.
     """
     if candidates is None:
-        candidates = negative_candidates(test, items, n, seed, mode, seen)
-    return ranking_metrics(test, case_ranks(score_pairs(candidates, users, items)), k)
+        candidates = negative_lists(test, items, n, seed, mode, seen)
+    return ranking_metrics(test, rank_lists(_cases(test), candidates, users, items), k)

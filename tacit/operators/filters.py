@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tacit.operators.selection import first_rows
 from tacit.scratch import Stored, store
 
 # Ranking cuts up to this many ids are marked for broadcast; above it Catalyst decides by size.
@@ -33,7 +34,7 @@ def top_ids(df: DataFrame, col: str, n: int | None) -> DataFrame:
     counts = count_by(df, col)
     if n is None:
         return counts.select(col)
-    top = counts.orderBy(F.desc("n"), F.asc(col)).limit(n).select(col)
+    top = first_rows(counts, -F.col("n"), [col], n).select(col)
     return F.broadcast(top) if n <= BROADCAST_IDS else top
 
 

@@ -38,12 +38,17 @@ def dense_index(
         first = F.asc("_key")
     else:
         raise ValueError(f"unknown order {order!r}")
-    placed = materialize(
-        keys.orderBy(first, F.col(col).cast("string").asc(), F.asc(col)).select(
-            col, F.monotonically_increasing_id().alias("_at")
-        ),
-        "index",
-    )
+    ordered = keys.orderBy(first, F.col(col).cast("string").asc(), F.asc(col)).select(col)
+    return numbered(ordered).select(col, F.col("_place").cast("int").alias(idx_col))
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Add ``_place``, the place of a row in a frame that ends with a global sort, from 0.
+
+    The sorted rows are written with (partition, row) positions; partition sizes turn them into
+    places.
+    """
+    placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "index")
     part = F.shiftright("_at", ROW_BITS).alias("_part")
     row = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
@@ -51,9 +56,9 @@ def dense_index(
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     # One row per sort partition: bounded by the shuffle width, whatever the data size.
     return (
-        placed.select(col, part, row.alias("_row"))
+        placed.select(*ordered.columns, part, row.alias("_row"))
         .join(F.broadcast(starts), "_part")
-        .select(col, (F.col("_start") + F.col("_row")).cast("int").alias(idx_col))
+        .select(*ordered.columns, (F.col("_start") + F.col("_row")).alias("_place"))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tacit.functions import draw, uniform
 from tacit.functions.draws import DRAW_RANGE
+from tacit.operators.selection import first_rows
 
 
 def random_split(
@@ -21,8 +22,7 @@ def sample_users(interactions: DataFrame, n: int | None, seed: int = 42) -> Data
     users = interactions.select("user_idx").distinct()
     if n is None:
         return users
-    ordered = users.orderBy(draw(F.col("user_idx"), "sample", seed=seed), "user_idx")
-    return ordered.limit(n)
+    return first_rows(users, draw(F.col("user_idx"), "sample", seed=seed), ["user_idx"], n)
 
 
 def leave_one_out(

@@ -21,9 +21,11 @@ from tacit.operators import (
     kcore,
     leave_one_out,
     negative_candidates,
+    negative_lists,
     prediction_error,
     random_split,
     rank_candidates,
+    rank_lists,
     ranking_metrics,
     score_pairs,
     threshold_filter,
@@ -533,8 +535,25 @@ def ranked_candidates(spark, sf_dir):
     return got.select(big("user_idx"), big("item_idx"), big("is_true"), big("rank"))
 
 
-def _metrics(trial: Trial, mode: str = "uniform") -> DataFrame:
-    return ranking_metrics(trial.test, case_ranks(trial.scored(mode))).select(
+@registered
+def scored_pairs_cells(spark, sf_dir):
+    """The path of tables that are too large for a broadcast, with several blocks and chunks."""
+    s = Setup(spark, sf_dir, 32)
+    pairs = s.data.select("user_idx", "item_idx").distinct()
+    got = score_pairs(pairs, s.p, s.q, broadcast_bytes=0, block_bytes=100_000)
+    return got.select(big("user_idx"), big("item_idx"), rounded("score"))
+
+
+def _metrics(trial: Trial, mode: str = "uniform", **sizes) -> DataFrame:
+    model = trial.model()
+    seen = trial.train if mode == "unseen" else None
+    lists = negative_lists(trial.test, model.items, mode=mode, seen=seen)
+    cases = trial.test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
+    return _figures(trial, rank_lists(cases, lists, model.users, model.items, **sizes))
+
+
+def _figures(trial: Trial, ranks: DataFrame) -> DataFrame:
+    return ranking_metrics(trial.test, ranks).select(
         "n_test",
         "n_covered",
         "min_candidates",
@@ -549,6 +568,19 @@ def hit_ndcg_uniform(spark, sf_dir):
     return _metrics(Trial(spark, sf_dir))
 
 
+@registered
+def hit_ndcg_scored(spark, sf_dir):
+    """Ranks counted on candidates that were scored one by one."""
+    trial = Trial(spark, sf_dir)
+    return _figures(trial, case_ranks(trial.scored()))
+
+
+@registered
+def hit_ndcg_cells(spark, sf_dir):
+    """Ranks of factor tables that are too large for a broadcast or a single block."""
+    return _metrics(Trial(spark, sf_dir), broadcast_bytes=0, block_bytes=8_000)
+
+
 @registered
 def hit_ndcg_unseen(spark, sf_dir):
     return _metrics(Trial(spark, sf_dir), "unseen")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tacit.operators.evaluation import evaluate, negative_candidates, prediction_error
+from tacit.operators.evaluation import evaluate, negative_lists, prediction_error
 from tacit.operators.factors import cache_matrix, init_factors, weighted_items
 from tacit.operators.layout import (
     Layout,
@@ -362,7 +362,7 @@ def _fit_with_telemetry(train, test, popularity, options, n_negatives, top, mode
     cost = operation_counts(train, options.k).first()
     seen = train if mode == "unseen" else None
     candidates = materialize(
-        negative_candidates(test, train, n_negatives, options.seed, mode, seen), "candidates"
+        negative_lists(test, train, n_negatives, options.seed, mode, seen), "candidates"
     )
     rows = []
 

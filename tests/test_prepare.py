@@ -6,7 +6,7 @@ from tacit.operators import (
     threshold_filter, top_n_filter,
 )
 from tacit.plans import prepare
-from tacit.sources import implicit, read_feedback
+from tacit.sources import implicit, read_feedback, scan_feedback
 
 
 def pairs(df):
@@ -123,3 +123,17 @@ def test_popularity_sums_to_one(spark):
     df = spark.createDataFrame([(0, i % 7) for i in range(50)], "user_idx int, item_idx int")
     total = item_popularity(df).agg(F.sum("f_i")).first()[0]
     assert total == pytest.approx(1.0)
+
+
+def test_broken_lines_are_counted_and_set_aside(spark, tmp_path):
+    good = ['{"user_id": "a", "business_id": "x", "text": "}{"}', ' {"business_id": "y"}', '{"user_id": 5, "business_id": null}']
+    broken = ['{"user_id": "b", "business_id": "z"', "not json", "[1, 2]", "17", '{"user_id": "c" "business_id": "d"}']
+    (tmp_path / "a.json").write_text("\n".join([*good, "", *broken[:2], "  "]))
+    (tmp_path / "b.json").write_text("\n".join(broken[2:]))
+    scan = scan_feedback(spark, str(tmp_path))
+    assert sorted(map(tuple, scan.rows.collect()), key=repr) == [("5", None), ("a", "x"), (None, "y")]
+    assert scan.seen.get == {"lines": 8, "rejected": 5, "incomplete": 2}
+    aside = scan.rejected.collect()
+    assert sorted(r.line for r in aside) == sorted(broken)
+    assert {r.file.rpartition("/")[2] for r in aside} == {"a.json", "b.json"}
+    assert implicit(read_feedback(spark, str(tmp_path))).count() == 3

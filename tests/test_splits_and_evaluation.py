@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from tacit.functions import draw, normal
 from tacit.operators import (
     case_ranks, evaluate, leave_one_out, negative_candidates, prediction_error, random_split,
-    rank_candidates, rank_gains, ranking_metrics, score_pairs,
+    negative_lists, rank_candidates, rank_gains, rank_lists, ranking_metrics, score_pairs,
 )
-from tacit.operators import evaluation
+from tacit.operators import evaluation, scoring, selection
+from tacit.operators.selection import first_rows
 from tacit.sources import FactorModel, load_model, save_model
 
 
@@ -189,3 +190,123 @@ def test_model_roundtrip(spark, tmp_path):
     save_model(model, str(tmp_path / "m"))
     back = load_model(spark, str(tmp_path / "m"))
     assert rows(back.users) == rows(model.users) and rows(back.items) == rows(model.items)
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """Vectors with many ties, users and items without any, and pairs with repeats and a hot user."""
+    p = spark.range(40).selectExpr(
+        "cast(id as int) user_idx", "array(cast(id % 5 as float), cast(id % 3 as float), 0.5f) factors")
+    q = spark.range(60).selectExpr(
+        "cast(id * 2 as int) item_idx", "array(cast(id % 4 as float), 1.0f, cast(id % 2 as float)) factors")
+    pairs = spark.range(3000).selectExpr(
+        "cast(if(id % 3 = 0, 7, id % 45) as int) user_idx", "cast((id * id) % 130 as int) item_idx",
+        "id % 2 AS _id", "concat('x', id) note")
+    return p, q, pairs
+
+
+@pytest.mark.parametrize("cell,block", [(1 << 20, 1 << 20), (100, 24 * 9), (7, 24)])
+def test_cells_score_like_broadcasts(spark, tables, monkeypatch, cell, block):
+    p, q, pairs = tables
+    want = rows(score_pairs(pairs, p, q))
+    monkeypatch.setattr(scoring, "CELL_PAIRS", cell)
+    got = score_pairs(pairs, p, q, broadcast_bytes=0, block_bytes=block)
+    assert rows(got) == want and len(want) > 1000
+    # No vector travels by pair: it leaves its table by user or item only.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "factors" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    assert rows(score_pairs(pairs.limit(0), p, q, 0)) == []
+
+
+@pytest.mark.parametrize("cell,block", [(1 << 20, 1 << 20), (50, 24 * 9), (7, 24)])
+@pytest.mark.parametrize("mode", ["uniform", "unseen"])
+def test_ranks_in_cells_equal_ranks_of_scores(spark, tables, monkeypatch, cell, block, mode):
+    p, q, pairs = tables
+    monkeypatch.setattr(scoring, "CELL_PAIRS", cell)
+    monkeypatch.setattr(evaluation, "LIST_SPAN", 4)
+    test = pairs.where("item_idx % 13 = 0").select("user_idx", "item_idx")
+    known = q.where("item_idx < 60").unionByName(q.where("item_idx = 90"))
+    seen = pairs.select("user_idx", "item_idx")
+    lists = negative_lists(test, q, 11, mode=mode, seen=seen)
+    one_by_one = negative_candidates(test, q, 11, mode=mode, seen=seen)
+    cases = test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
+    want = rows(case_ranks(score_pairs(one_by_one, p, known)))
+    got = rank_lists(cases, lists, p, known, broadcast_bytes=0, block_bytes=block)
+    assert rows(got) == want and len(want) > 12
+
+
+def test_nan_in_a_cell_is_an_error(spark):
+    p = spark.createDataFrame([(0, [float("nan")])], "user_idx int, factors array<float>")
+    q = spark.createDataFrame([(0, [0.5])], "item_idx int, factors array<float>")
+    pairs = spark.createDataFrame([(0, 0)], "user_idx int, item_idx int")
+    with pytest.raises(Exception, match="NaN"):
+        score_pairs(pairs, p, q, broadcast_bytes=0).collect()
+
+
+@pytest.mark.parametrize("span", [3, 100_000])
+@pytest.mark.parametrize("step", [1, 3])
+def test_packed_seen_sets(spark, seen, monkeypatch, span, step):
+    """Users with long histories, and ids with gaps, get what one anti-join per draw would give."""
+    monkeypatch.setattr(evaluation, "SEEN_SPAN", span)
+    train, test = leave_one_out(seen, None)
+    train, test = (df.withColumn("item_idx", (F.col("item_idx") * step).cast("int")) for df in (train, test))
+    got = negative_candidates(test, ids(spark, 300, step), 20, mode="unseen", seen=train).where("is_true = 0")
+    drawn = test.select("user_idx", F.col("item_idx").alias("true_item")).crossJoin(spark.range(400).toDF("j"))
+    place = evaluation._draw_place(300, F.col("j"), 42)
+    pool = drawn.select("*", (place * step).alias("item_idx")).groupBy("user_idx", "true_item", "item_idx").agg(F.min("j").alias("j"))
+    pool = pool.where("item_idx != true_item").join(train, ["user_idx", "item_idx"], "left_anti")
+    want = evaluation._first(pool, 20).select("user_idx", "true_item", "item_idx")
+    assert rows(got.select("user_idx", "true_item", "item_idx")) == rows(want)
+
+
+def test_a_model_without_maps_hides_older_maps(spark, tmp_path):
+    def table(col, n):
+        return spark.createDataFrame([(i, [float(n)]) for i in range(n)], f"{col} int, factors array<float>")
+
+    path = str(tmp_path / "m")
+    ids_of = spark.createDataFrame([("a", 0)], "user_id string, user_idx int")
+    save_model(FactorModel(table("user_idx", 2), table("item_idx", 3), ids_of, None), path)
+    first = load_model(spark, path)
+    assert rows(first.user_ids) == [("a", 0)] and first.item_ids is None
+    save_model(FactorModel(table("user_idx", 4), table("item_idx", 5)), path)
+    second = load_model(spark, path)
+    assert (second.user_ids, second.item_ids, second.users.count()) == (None, None, 4)
+    assert first.users.count() == 2  # the version before stays for its readers
+
+    # A save that breaks in its second table leaves the current model whole.
+    broken = second.items.withColumn("factors", F.array(F.raise_error(F.lit("lost")).cast("float")))
+    with pytest.raises(Exception, match="lost"):
+        save_model(FactorModel(table("user_idx", 9), broken), path)
+    again = load_model(spark, path)
+    assert (again.users.count(), again.items.count()) == (4, 5)
+
+    # A model may be saved over the one it was read from; old versions go.
+    for _ in range(3):
+        save_model(load_model(spark, path), path)
+    assert load_model(spark, path).users.count() == 4
+    assert len(list((tmp_path / "m" / "manifests").glob("*.json"))) == 2
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("buckets,cut", [(4096, 100_000), (3, 5), (16, 1)])
+@pytest.mark.parametrize("n", [0, 1, 57, 500, 1999, 2000, 9999])
+def test_first_rows(spark, monkeypatch, buckets, cut, n):
+    """Also with ties over the cut: a key has 100 rows."""
+    monkeypatch.setattr(selection, "BUCKETS", buckets)
+    monkeypatch.setattr(selection, "CUT_ROWS", cut)
+    df = spark.range(2000).selectExpr("id", "(id * 7919) % 20 * 1000 - 5000 AS n")
+    got = first_rows(df, F.col("n"), ["id"], n)
+    want = sorted(((r.id, r.n) for r in df.collect()), key=lambda r: (r[1], r[0]))[:n]
+    assert rows(got) == sorted(want)
+
+
+def test_first_rows_of_hundreds_of_thousands(spark):
+    """Most rows tie; the taken ones stay spread over partitions and no plan limits or collects them."""
+    df = spark.range(400_000).selectExpr("id AS user_idx", "if(id % 10 = 0, 2, 1) AS n")
+    got = first_rows(df, -F.col("n"), ["user_idx"], 300_000)
+    assert got.count() == 300_000
+    assert got.where("n = 2").count() == 40_000
+    assert got.where("n = 1").agg(F.max("user_idx")).first()[0] == 288_888
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "SinglePartition" not in plan
