@@ -29,6 +29,7 @@ HEAD = "<8sqqqqB7x"  # magic, partition, number in it, documents, tokens, levels
 LEVEL = "<q"
 BLOCK = 512  # marks per directory entry
 FILE_TOKENS = 4 << 20
+PARTITION_BYTES = 128 << 20  # text of a sorted partition
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -151,7 +152,9 @@ def write(
     path = path or scratch_path(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]
-    placed = rows.repartitionByRange(task_width(spark), *order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(task_width(spark), -(-size // PARTITION_BYTES))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def work(batches):
         partition, number = TaskContext.get().partitionId(), 0

@@ -24,11 +24,8 @@ from tacit.llm.text import once
 _BYTE_CUT = regex.compile(r" (?=\S)")
 # Spaces that may not be such cuts, by the widest notion of white space.
 _ODD_SPACE = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
-# The pre-token patterns of the two tokenizer files, as the files state them.
+# Fixed value: the pre-token pattern of byte-level files, as they state it.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-# Below this, letters, digits, white space and lower case mean the same to all libraries here.
-PLAIN = "ɐ"
 # Pieces that a worker remembers, twice over.
 PIECES = 400_000
 # Bytes of text encoded at a time: the longer, the fewer pieces are looked up.
@@ -50,9 +47,91 @@ def byte_pieces(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays([lists, slow.cast(lists.type)]).take(pa.array(order))
 
 
-def word_pieces(texts: pa.Array) -> pa.Array:
-    """Lists cut at spaces and line ends, which tokenizers that drop white space never join over."""
-    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+# Kinds of bytes: what no cut may touch, letters, digits, white space, other printable ASCII, and
+# first bytes of Latin letters, until the next byte tells.
+ODD, LETTER, DIGIT, WHITE, MARK, LEAD = range(6)
+
+
+def _kinds() -> np.ndarray:
+    table = np.full(256, ODD, np.uint8)
+    for code in range(0x21, 0x7F):
+        one = chr(code)
+        table[code] = LETTER if one.isalpha() else DIGIT if one.isdigit() else MARK
+    table[[ord(one) for one in " \n\t\r"]] = WHITE
+    table[0xC3:0xCA] = LEAD
+    return table
+
+
+_KINDS = _kinds()
+_LOWER = np.array([code + 32 if 65 <= code <= 90 else code for code in range(256)], np.uint8)
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8; Latin letters up to U+024F have two bytes of their kind."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(kinds == LEAD)
+    if len(lead):
+        code = ((data[lead].astype(np.int32) & 0x1F) << 6) | (data[lead + 1] & 0x3F)
+        # Two signs, and a letter whose lower case is a letter and a mark.
+        letter = (code != 0xD7) & (code != 0xF7) & (code != 0x130)
+        kinds[lead] = kinds[lead + 1] = np.where(letter, LETTER, ODD)
+    return kinds
+
+
+def _meetings(also) -> np.ndarray:
+    """Per two kinds in a row, whether a cut lies between them; ``also`` adds some."""
+    cuts = np.zeros((5, 5), bool)
+    for left in (LETTER, DIGIT, MARK):
+        for right in (LETTER, DIGIT, MARK):
+            cuts[left, right] = left != right
+    for pair in also:
+        cuts[pair] = True
+    return cuts.ravel()
+
+
+_WORD_CUTS = _meetings([(DIGIT, DIGIT)] + [p for k in range(5) for p in ((k, WHITE), (WHITE, k))])
+_BYTE_CUTS = _meetings([(LETTER, WHITE), (DIGIT, WHITE), (MARK, WHITE)])
+
+
+def _cuts(data: np.ndarray, kinds: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    cut = np.empty(len(data), bool)
+    cut[1:] = table[kinds[:-1] * np.uint8(5) + kinds[1:]]
+    # An apostrophe may take letters with it.
+    after = np.flatnonzero(data[:-1] == ord("'")) + 1
+    cut[after] &= kinds[after] != LETTER
+    cut[starts] = True
+    return cut
+
+
+def word_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin and where white space lies, for tokenizers that drop it.
+
+    Those also take digits one by one.  ``starts`` are the texts' first bytes, of which none is 0.
+    """
+    kinds = byte_kinds(data)
+    cut = _cuts(data, kinds, starts, _WORD_CUTS)
+    white = kinds == WHITE
+    return np.flatnonzero(cut & ~white), np.flatnonzero(white)
+
+
+def byte_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, None]:
+    """Where pieces begin, for the byte-level pattern: a space goes with what follows it."""
+    kinds = byte_kinds(data)
+    cut = _cuts(data, kinds, starts, _BYTE_CUTS)
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = first[-1] = True
+    white = np.flatnonzero(kinds == WHITE)
+    # A last byte has no next one in its text.
+    white = white[~first[white + 1]]
+    follows = kinds[white + 1]
+    white = white[(follows != ODD) & (follows != WHITE)]
+    space = data[white] == ord(" ")
+    cut[white[space]] = True
+    # One sign of white space, not a space, stands alone: what follows begins anew.
+    alone = white[~space]
+    before = kinds[np.maximum(alone, 1) - 1]
+    cut[alone[first[alone] | ((before != ODD) & (before != WHITE))] + 1] = True
+    return np.flatnonzero(cut), None
 
 
 class Ids(dict):
@@ -149,48 +228,115 @@ class Encoder:
         return self.encode(pa.array([text], pa.string()))[0].tolist()
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-ins that byte-level vocabularies use for bytes.
+class RunEncoder(Encoder):
+    """Pieces are runs of bytes that ``runs`` finds; what the cache lacks is learnt at once."""
+
+    def __init__(self, runs, known: Ids, learn, added=None):
+        super().__init__(None, None, known, learn, added)
+        self.runs = runs
+
+    def _ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.string())
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        starts = (ends - ends[0]).astype(np.int64)
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
+        at, white = self.runs(data, starts[:-1][np.diff(starts) > 0])
+        counts = np.searchsorted(at, starts)  # pieces before each text
+        if white is not None:
+            at = at - np.searchsorted(white, at)
+            data = _LOWER[np.delete(data, white)]
+        bounds = np.append(at, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        made = pa.array(self._looked_up(coded.dictionary), pa.large_binary())
+        taken = made.take(coded.indices)
+        sizes = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", sizes[-1] // 4)
+        return ids, sizes[counts] // 4
+
+    def _looked_up(self, pieces: pa.Array) -> list[bytes]:
+        known = self.rest
+        found = pieces.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(known.get, found))
+        lacking = [at for at, value in enumerate(made) if value is None]
+        old = known.old
+        if old:
+            for at in lacking:
+                value = old.get(found[at])
+                if value is not None:
+                    made[at] = value
+                    known.put(found[at], value)
+            lacking = [at for at in lacking if made[at] is None]
+        if lacking:
+            for at, value in zip(lacking, self.learn(pieces.take(pa.array(lacking)))):
+                made[at] = value
+                known.put(found[at], value)
+        return made
 
-    Printable bytes stand for themselves; the others take the letters from U+0100 on, in order.
-    """
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table = {byte: chr(byte) for byte in kept}
-    for byte in range(256):
-        table.setdefault(byte, chr(0x100 + len(table) - len(kept)))
-    return table
+
+# Longest piece that is learnt with others, and how many are in one library call.
+LEARN_BYTES, LEARN_PIECES = 64, 50_000
+_LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 def _library(path: str, word: bool):
-    """``whole`` for a file of the tokenizers library; added tokens count as ordinary text here.
+    """``learn`` for a file of the tokenizers library: the packed ids of each of an array of pieces.
 
-    The library's own model encodes the pre-tokens; pieces with letters beyond ``PLAIN`` or
-    control characters go through all steps of the library.
+    Pieces that are one pre-token of letters go through the library together: with ends of words
+    their ids part behind each end, else where their bytes do.  Others go one by one.  Added
+    tokens are ordinary text here.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    model = tokenizer.model
-    letters = _byte_letters()
-    find = regex.compile(WORD_PATTERN if word else BYTE_PATTERN).findall
-
-    def one(token: str) -> bytes:
-        shown = token.encode().decode("latin-1").translate(letters)
-        return _packed([made.id for made in model.tokenize(shown)])
-
-    known = Ids(one, PIECES // 8 if word else 3 * PIECES // 8)
-
-    def whole(piece: str) -> bytes:
-        if not piece:
-            return b""
-        if max(piece) >= PLAIN or "İ" in piece or (word and not piece.isprintable()):
-            made = tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0]
-            return _packed(made.ids)
-        return b"".join([known[token] for token in find(piece.lower() if word else piece)])
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    # What an id adds: an end of a word, or bytes.
+    adds = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    suffix = tokenizer.model.end_of_word_suffix
+    for token, code in vocabulary.items():
+        adds[code] = token.endswith(suffix) if word else len(token)
+
+    def call(text: str) -> np.ndarray:
+        made = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(made.ids, np.uint32)
+
+    def together(pieces: pa.Array) -> list[bytes]:
+        texts = pieces.to_numpy(zero_copy_only=False).tolist()
+        if word:
+            ids, ends = call(" ".join(texts)), np.arange(1, len(texts) + 1)
+            skip = np.zeros(len(texts), np.int64)
+        else:
+            # A piece without a space of its own follows a line end, which is one id.
+            skip = (~pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)).astype(np.int64)
+            ids = call("".join([piece if piece[0] == " " else "\n" + piece for piece in texts]))
+            ends = np.cumsum(pc.binary_length(pieces).to_numpy() + skip)
+        done = np.cumsum(adds[ids])
+        if not len(ids) or done[-1] != ends[-1]:
+            return [call(text).tobytes() for text in texts]
+        high = np.searchsorted(done, ends) + 1
+        low = np.append(0, high[:-1]) + skip
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip((4 * low).tolist(), (4 * high).tolist())]
+
+    def learn(pieces: pa.Array) -> list[bytes]:
+        letters = pc.and_(
+            pc.match_substring_regex(pieces, _LETTERS), pc.less_equal(pc.binary_length(pieces), LEARN_BYTES)
+        ).to_numpy(zero_copy_only=False)
+        made: list = [None] * len(pieces)
+        for at in np.flatnonzero(~letters).tolist():
+            made[at] = call(pieces[at].as_py()).tobytes()
+        every = np.flatnonzero(letters)
+        for low in range(0, len(every), LEARN_PIECES):
+            some = every[low : low + LEARN_PIECES]
+            for at, value in zip(some.tolist(), together(pieces.take(pa.array(some)))):
+                made[at] = value
+        return made
 
-    return whole
+    return learn
 
 
 def read_added(path: str) -> dict[str, int]:
@@ -210,15 +356,11 @@ def library_encoder(path: str, kind: str, added: bool = False) -> Encoder:
     library's own call; without, they are ordinary text (its ``encode_special_tokens``).
     """
     word = kind == "word"
-    cut = word_pieces if word else byte_pieces
 
     def make():
-        whole = _library(path, word)
         strings = read_added(path) if added else None
-        if word:  # case and line ends apart, these pieces are fewer
-            return Encoder(cut, None, Ids(whole, PIECES // 4), added=strings)
-        rest = Ids(lambda piece: whole(" " + piece), PIECES)
-        return Encoder(cut, Ids(whole, PIECES // 10), rest, added=strings)
+        known = Ids(None, PIECES // 2)
+        return RunEncoder(word_runs if word else byte_runs, known, _library(path, word), strings)
 
     return once(("tokens", "library", path, kind, added), make)
 
