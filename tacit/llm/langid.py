@@ -142,27 +142,34 @@ class Predictor:
         self.model = model
         self.pair, self.third, self.last = model.tables()
 
-    def predict(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities of the windows of each text (an empty text is one empty window)."""
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean probabilities of the windows of each text (an empty text is one empty window).
+
+        Also the mean of each window's highest one: how sure the windows are, alike or not.
+        """
         counts = np.array([max(1, -(-len(t) // WINDOW)) for t in texts], np.int64)
         # A window reads on into the next one of its text; zeros follow each text.
-        padded = [t + bytes(c * WINDOW - len(t)) for t, c in zip(texts, counts.tolist())]
-        data = np.frombuffer(b"".join(padded) + bytes(max(WIDTHS)), np.uint8)
-        total = np.zeros((len(texts), len(self.model.languages)))
+        more = max(WIDTHS) - 1
+        padded = [t + bytes(c * WINDOW + more - len(t)) for t, c in zip(texts, counts.tolist())]
+        data = np.frombuffer(b"".join(padded), np.uint8)
+        places = np.arange(WINDOW + more)
+        total, sure = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts))
         owner = np.repeat(np.arange(len(texts)), counts)
         for low in range(0, len(owner), STEP):
             some = owner[low : low + STEP]
-            part = data[low * WINDOW : (low + len(some)) * WINDOW + max(WIDTHS) - 1]
-            np.add.at(total, some, self._windows(part, len(some)))
-        return total / counts[:, None]
-
-    def _windows(self, data: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities of ``n`` adjacent windows."""
-        size = n * WINDOW
-        pairs = (data[:-1].astype(np.int32) << 8) | data[1:]
-        out = self.pair.take(pairs[:size], axis=0)
-        out[:, FILTERS : 2 * FILTERS] += self.third.take(data[2 : size + 2], axis=0)
-        out[:, 2 * FILTERS :] += self.last.take(pairs[2 : size + 2], axis=0)
+            starts = np.arange(low, low + len(some)) * WINDOW + more * some
+            odds = self._windows(data[starts[:, None] + places])
+            np.add.at(total, some, odds)
+            np.add.at(sure, some, odds.max(axis=1))
+        return total / counts[:, None], sure / counts
+
+    def _windows(self, rows: np.ndarray) -> np.ndarray:
+        """Probabilities of windows, a row of bytes each with those that follow it."""
+        n = len(rows)
+        pairs = (rows[:, :-1].astype(np.int32) << 8) | rows[:, 1:]
+        out = self.pair.take(pairs[:, :WINDOW].ravel(), axis=0)
+        out[:, FILTERS : 2 * FILTERS] += self.third.take(rows[:, 2 : WINDOW + 2].ravel(), axis=0)
+        out[:, 2 * FILTERS :] += self.last.take(pairs[:, 2 : WINDOW + 2].ravel(), axis=0)
         hidden = np.maximum(out.reshape(n, WINDOW, -1).max(axis=1) + self.model.bias, 0)
         scores = hidden @ self.model.dense + self.model.offset
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -215,21 +222,21 @@ def fit(
 
 
 def _rows(model: Model | None):
-    """Batches of texts -> (language, probability) lists."""
+    """Batches of texts -> lists of languages, their probabilities, and how sure windows are."""
     once(("network",), lambda: True)  # a worker keeps no caches of other work meanwhile
     predictor = Predictor(model) if model else None
 
-    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [(UNKNOWN, 0.0)] * len(texts)
-        if predictor is None:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        found = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        if predictor is None or not texts:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         read = [k for k, text in enumerate(texts) if text and _has_letter(text)]
         if read:
-            odds = predictor.predict([texts[k].encode() for k in read])
+            odds, sure = predictor.predict([texts[k].encode() for k in read])
             best = odds.argmax(axis=1)
-            for k, at, row in zip(read, best.tolist(), odds):
-                found[k] = (model.languages[at], min(1.0, float(row[at])))
-        return [name for name, _ in found], [score for _, score in found]
+            for k, at, row, part in zip(read, best.tolist(), odds, sure.tolist()):
+                found[k] = (model.languages[at], min(1.0, float(row[at])), min(1.0, part))
+        return tuple(map(list, zip(*found)))
 
     return predict
 
@@ -257,7 +264,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def work(batches):
         apply = _rows(model)
         for batch in slices(batches, 1):
-            languages, scores = apply(batch.column(1).to_pylist())
+            languages, scores, _ = apply(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
                 names=names,
@@ -266,15 +273,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def keep(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows whose language is known with a probability of ``least``, with all columns."""
+def keep(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows whose windows are recognised with a mean probability of ``least``, with all columns.
+
+    Each window counts for the language that it is likeliest in, so a text in several known
+    languages stays.  Null texts, texts without a letter and, without a model, all rows go.
+    """
     at = docs.columns.index("text")
 
     def work(batches):
         apply = _rows(model)
         for batch in slices(batches, at):
-            languages, scores = apply(batch.column(at).to_pylist())
-            kept = [name != UNKNOWN and s >= least for name, s in zip(languages, scores)]
+            languages, _, sure = apply(batch.column(at).to_pylist())
+            kept = [name != UNKNOWN and s >= least for name, s in zip(languages, sure)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

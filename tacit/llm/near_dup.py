@@ -16,10 +16,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from tacit.llm.graph import components
 from tacit.llm.text import mix, slices, window_hashes, word_hashes
-from tacit.scratch import materialize, release, scope, store
+from tacit.scratch import Stored, materialize, release, scope, store
 
 SLOTS = 126
 # Chance of missing a pair at the threshold in all bands, from which the band width follows.
@@ -160,47 +161,6 @@ def _sets(docs: DataFrame, heads: DataFrame, count: int, words: int) -> DataFram
     return rows.mapInArrow(work, "head long, set array<long>, sig binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node of each component, for all other nodes of the edges.
-
-    Large and small stars in turn: every node hands its larger neighbours to its smallest one,
-    then all its smaller neighbours.  Nodes are never gathered; a node of very many edges is
-    split by the joins.
-    """
-    both = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
-            F.struct(F.col("b").alias("u"), F.col("a").alias("v")),
-        )
-    )
-    edges = edges.where("a != b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
-    edges = materialize(edges.distinct(), "edges")
-    seen = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == seen or not state[0]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = state
-        sides = edges.select(both.alias("e")).select("e.u", "e.v")
-        least = materialize(
-            sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-min"
-        )
-        large = sides.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = materialize(large.distinct(), "edges-large")
-        small = materialize(
-            large.groupBy("b").agg(F.min("a").alias("m")).select("b", "m"), "edges-min"
-        )
-        joined = large.join(small, "b")
-        edges = materialize(
-            joined.select(F.col("m").alias("a"), F.col("b"))
-            .unionByName(joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .distinct(),
-            "edges",
-        )
-
-
 def link(
     docs: DataFrame, words: int = 5, percent: int = 80, tile: int = TILE, slots: int = SLOTS
 ) -> DataFrame:
@@ -208,17 +168,19 @@ def link(
 
     Linked are documents with ``100 * common >= percent * united`` distinct shingles; a component
     is named by its smallest doc_id, whose rows are kept.  Texts without words (null, empty, white
-    space) are linked with nothing and kept.  Rows that share a doc_id count as one document; a
-    null doc_id takes no part: its component is null and it is kept.  Other columns are ignored.
-    Of the tables written on the way only those that the result reads stay.
+    space) are linked with nothing and kept.  Rows that share a doc_id are one document, whose
+    texts an edge joins; a null doc_id takes no part: its component is null and it is kept.
+    Other columns are ignored.  Of the tables written on the way only those that the result
+    reads stay.
     """
     with scope() as made:
-        linked = _link(docs, words, percent, tile, slots)
+        linked = _link(docs, words, percent, tile, slots, True).drop("key")
     release(made, linked)
     return linked
 
 
-def _link(docs: DataFrame, words: int, percent: int, tile: int, slots: int) -> DataFrame:
+def _link(docs: DataFrame, words: int, percent: int, tile: int, slots: int, by_id: bool) -> DataFrame:
+    """:func:`link` with the ``key`` of a row's text; without ``by_id`` rows of an id stay apart."""
     width = band_width(percent, slots)
     bands = slots // width
     sketch = materialize(_sketch(docs, words), "sketch")
@@ -246,6 +208,16 @@ def _link(docs: DataFrame, words: int, percent: int, tile: int, slots: int) -> D
     if not rest.isEmpty():
         edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = components(edges.unionByName(rest))
+    if by_id:
+        several = _several(sketch)
+        if several.rows:
+            # An edge from each class of a repeated id to the id.
+            ids = sketch.join(several.frame, "doc_id", "left_semi").select("doc_id", "key").distinct()
+            more = ids.join(classes.select("key", "head"), "key")
+            edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = components(
+                edges.unionByName(more.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+            )
     named = (
         classes.join(roots, classes["head"] == roots["node"], "left")
         .select("key", F.coalesce("root", "head").alias("component_id"), "head", "_last")
@@ -262,10 +234,19 @@ def _link(docs: DataFrame, words: int, percent: int, tile: int, slots: int) -> D
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), made).alias("component_id"),
             (F.col("doc_id").isNull() | (made == F.col("doc_id"))).alias("kept"),
+            "key",
         )
     )
 
 
+def _several(sketch: DataFrame) -> Stored:
+    """The ids that have texts with different shingle sets, one of which may be empty."""
+    none = F.coalesce("key", F.lit(b""))
+    ids = sketch.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    ids = ids.agg(F.min(none).alias("x"), F.max(none).alias("y")).where("x != y").select("doc_id")
+    return store(ids, "several")
+
+
 def _members(classes: DataFrame, bands: int, width: int) -> DataFrame:
     """``(band, at, head, n, center, cn, size, weight)``: the classes of every bucket that holds two or more."""
     part = F.transform(
@@ -397,7 +378,12 @@ def _compare(table: pa.Table, percent: int, least: float, width: int, bands: int
 
 
 def keep(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all columns; of repeated rows of it only one."""
+    """One document of each group of near duplicates, with all columns.
+
+    Of repeated rows of a document one stays.  An id with several texts counts as that many
+    documents: a row goes only if its own text has a near duplicate that stays, or occurs again
+    under its id.
+    """
     with scope() as made:
         kept = _keep(docs, words, percent)
     release(made, kept)
@@ -405,7 +391,11 @@ def keep(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _keep(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    found = materialize(link(docs, words, percent), "linked")
+    found = materialize(_link(docs, words, percent, TILE, SLOTS, False), "linked")
+    several = _several(found)
+    single = docs
+    if several.rows:
+        single = docs.join(several.frame, "doc_id", "left_anti").select(*docs.columns)
     dropped = materialize(found.where("not kept").select("doc_id").distinct(), "dropped")
     again = store(
         found.where(F.col("kept") & F.col("doc_id").isNotNull())
@@ -415,9 +405,29 @@ def _keep(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .select("doc_id"),
         "repeated",
     )
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = single.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     if not again.rows:
         return kept
     once = kept.join(again.frame, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.join(again.frame, "doc_id", "left_semi").select(*docs.columns)
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    kept = once.unionByName(twice.dropDuplicates(["doc_id"]))
+    if not several.rows:
+        return kept
+    # Rows of the few ids with several texts are told apart by these.
+    rows = _with_key(docs.join(several.frame, "doc_id", "left_semi").select(*docs.columns), words)
+    gone = found.where("not kept").join(several.frame, "doc_id", "left_semi")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).distinct()
+    rest = rows.join(gone, (F.col("doc_id") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return kept.unionByName(rest.dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+
+
+def _with_key(docs: DataFrame, words: int) -> DataFrame:
+    """Add ``_key``, the key of the text's shingle set."""
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for batch in slices(batches, at):
+            keys = [set_key(shingles(text, words)) for text in batch.column(at).to_pylist()]
+            yield batch.append_column("_key", pa.array(keys, pa.binary()))
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))

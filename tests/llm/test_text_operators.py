@@ -140,6 +140,23 @@ def test_near_duplicates_of_odd_rows(documents):
     assert near_dup.link(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(documents):
+    """An id joins its texts where documents are linked, and loses none that has no copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(2, a, "en"), (5, a, "en"), (5, b, "en"), (9, b, "en"), (7, c, "en"), (7, c, "en"), (7, None, "en")]
+    rows += [(7, "", "en"), (8, c + " more", "en"), (None, a, "en")]
+    docs = documents(rows)
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dup.link(docs).collect()}
+    assert found == {
+        (2, 2, True), (5, 2, False), (9, 2, False), (7, 7, True), (8, 7, False), (None, None, True),
+    }
+    kept = near_dup.keep(docs)
+    # Of id 7 one of the texts without words stays.
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == [(0, a), (2, a), (5, b), (7, ""), (7, c)]
+    assert kept.columns == docs.columns
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 700), (700, 600)]
     found = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -177,6 +194,21 @@ def speech(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+def plain_window(model, text, at):
+    """Softmax over max-pooled filters, each slid over the window's bytes one by one."""
+    read = text[at:] + bytes(langid.WINDOW + 8)
+    pooled = []
+    for w, f in zip(langid.WIDTHS, model.filters):
+        values = [
+            sum(model.embedding[read[i + j]] @ f[j * langid.EMBEDDING : (j + 1) * langid.EMBEDDING] for j in range(w))
+            for i in range(langid.WINDOW)
+        ]
+        pooled.append(np.max(values, axis=0))
+    hidden = np.maximum(np.concatenate(pooled) + model.bias, 0)
+    scores = np.exp(hidden @ model.dense + model.offset)
+    return scores / scores.sum()
+
+
 def test_language_id_on_held_out_rows(documents):
     rng = random.Random(2)
     kinds = {"aa": "abcdé", "bb": "bcdef", "cc": "стуфх"}
@@ -196,6 +228,16 @@ def test_language_id_on_held_out_rows(documents):
     assert len(held) > 40 and right / len(held) > 0.95
     kept = langid.keep(docs, model)
     assert kept.columns == docs.columns and kept.where("text IS NULL").count() == 0
+    # A clean text in all known languages stays.
+    mixed = " ".join(speech(rng, kinds[k], 150) for k in ("aa", "cc", "bb") * 3)
+    assert langid.keep(documents([(1, mixed, None), (2, mixed[:700], "aa")]), model).count() == 2
+    # Table lookups give what a plain convolution over each window gives.
+    texts = [mixed.encode(), b"", "стуф".encode(), rng.randbytes(700)]
+    odds, sure = langid.Predictor(model).predict(texts)
+    for text, row, part in zip(texts, odds, sure):
+        windows = [plain_window(model, text, at) for at in range(0, max(1, len(text)), langid.WINDOW)]
+        assert np.allclose(row, np.mean(windows, axis=0), atol=1e-5)
+        assert abs(part - np.mean([w.max() for w in windows])) < 1e-5
     assert langid.fit(docs.where("false")) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
