@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tacit.llm.text import SLICE_BYTES, once, slices
 from tacit.llm.tokens import BYTE_PATTERN, rank_bytes, rank_encoder
+from tacit.scratch import spread
 
 # Characters of a chunk, and how far it reaches into the next one.
 CHUNK_CHARS = 32_768
@@ -85,7 +86,8 @@ def _encode_long(
     pieces = spans.select(
         "doc_id", "_h", "_n", "_k", F.col("text").substr(F.col("_from") + 1, end - F.col("_from")).alias("text")
     )
-    encoded = _encode_pieces(pieces, ranks, pattern)
+    # Pieces are placed by their own hash, so that those of one long text go to all tasks.
+    encoded = _encode_pieces(spread(pieces, "doc_id", "_h", "_k"), ranks, pattern)
     whole = encoded.groupBy("doc_id", "_h", "_n").agg(
         F.flatten(
             F.transform(F.sort_array(F.collect_list(F.struct("_k", "ids"))), lambda p: p["ids"])
@@ -145,8 +147,8 @@ def _cuts(texts: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int)
             )
 
     # The work of a chunk is placed by its own hash, so that one long text does not stay in a task.
-    spread = chunks.repartition(F.xxhash64("doc_id", "_h", "_i"))
-    edges = spread.mapInArrow(work, schema).where((F.col("_j") > 0))
+    dealt = chunks.repartition(F.xxhash64("doc_id", "_h", "_i"))
+    edges = dealt.mapInArrow(work, schema).where((F.col("_j") > 0))
     met = (
         edges.groupBy("doc_id", "_h", "_n", "_j")
         .agg(
