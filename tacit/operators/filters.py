@@ -5,15 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tacit.operators.selection import first_rows
-from tacit.scratch import Stored, store
+from tacit.scratch import Stored, scratch_path, store
 
 # Ranking cuts up to this many ids are marked for broadcast; above it Catalyst decides by size.
 BROADCAST_IDS = 100_000
-# The pair table is rewritten without its dropped pairs when they make up this share of it.
-STALE_SHARE = 0.25
+# Passes of a k-core that scan all pairs, before these are written in folders by id.
+SCANS = 3
+# Pairs of a folder in the mean, the most folders, and files of one.
+BUCKET_PAIRS, MOST_BUCKETS, BUCKET_FILES = 1 << 20, 2048, 8
 
 
 def count_by(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -57,55 +59,100 @@ class Peeling:
     passes: int
 
 
-def peel(df: DataFrame, user_col: str, item_col: str, k: int) -> Peeling:
+class Adjacency:
+    """Distinct pairs with their multiplicity, found by user or by item.
+
+    The first passes drop many ids and read all pairs.  Once the loop has proven long, pairs are
+    written once more per side, in folders by a hash of that side's id; from then on a half-pass
+    reads the folders of the ids just dropped.
+    """
+
+    def __init__(self, pairs: Stored, sides: tuple[str, str]):
+        self.pairs, self.sides = pairs, sides
+        self.folders: dict[str, Stored] = {}
+        self.buckets = int(min(MOST_BUCKETS, max(2, pairs.rows // BUCKET_PAIRS)))
+        self.read: list[int] = []  # pairs read by each half-pass that uses folders
+
+    def _bucket(self, col: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(self.buckets)).cast("int")
+
+    def place(self) -> None:
+        """Write the pairs by either side."""
+        spark = self.pairs.frame.sparkSession
+        for col in self.sides:
+            path = scratch_path(spark, f"core-by-{col}")
+            frame = self.pairs.frame.withColumn("_bucket", self._bucket(col))
+            # A pair's other id salts the buckets, so a very active id is not one task.
+            other = self.sides[1 - self.sides.index(col)]
+            salt = F.pmod(F.xxhash64(other), F.lit(BUCKET_FILES))
+            frame.repartition("_bucket", salt).write.partitionBy("_bucket").parquet(path)
+            table = spark.read.parquet(path).withColumn("_bucket", F.col("_bucket").cast("int"))
+            self.folders[col] = Stored(table, path, self.pairs.rows)
+
+    def of(self, col: str, ids: Stored) -> DataFrame:
+        """The pairs of ``ids``."""
+        if col not in self.folders:
+            return self.pairs.frame.join(_marked(ids), col, "left_semi")
+        # At most one row a bucket.
+        wanted = [row[0] for row in ids.frame.select(self._bucket(col)).distinct().collect()]
+        part = self.folders[col].frame.where(F.col("_bucket").isin(wanted))
+        self.read.append(part.count())
+        return part.drop("_bucket").join(_marked(ids), col, "left_semi")
+
+    def drop(self) -> None:
+        for table in (self.pairs, *self.folders.values()):
+            table.drop()
+
+
+def peel(df: DataFrame, user_col: str, item_col: str, k: int, scans: int = SCANS) -> Peeling:
     """Find the users and items outside the k-core.
 
     The loop runs on distinct pairs with their multiplicity, so copies of a pair cost one row.
-    Degrees of users and items are counted once.  From then on a half-pass fetches only the pairs
-    of the ids just dropped and subtracts them from the degrees of the other side, so it costs
-    the frontier and not the data.  A pass drops light users, then light items.
+    Degrees of users and items are counted once.  From then on a half-pass fetches the pairs of
+    the ids just dropped and subtracts them from the degrees of the other side.  The first
+    ``scans`` passes scan all pairs for them, later ones read by bucket (:class:`Adjacency`).  A
+    pass drops light users, then light items.
     """
+    return _peel(df, user_col, item_col, k, scans)[0]
+
+
+def _peel(df: DataFrame, user_col: str, item_col: str, k: int, scans: int) -> tuple[Peeling, list[int]]:
+    """:func:`peel`, and how many pairs the half-passes read that went by bucket."""
+    sides = (user_col, item_col)
     pairs = store(
         df.where(F.col(user_col).isNotNull() & F.col(item_col).isNotNull())
         .groupBy(user_col, item_col)
         .agg(F.count(F.lit(1)).alias("n")),
         "core-pairs",
     )
-    sides = (user_col, item_col)
+    adjacency = Adjacency(pairs, sides)
+    # A dropped id leaves its table, so pairs with it count no second time.
     degrees = {
         col: store(pairs.frame.groupBy(col).agg(F.sum("n").alias("n")), "core-degrees")
         for col in sides
     }
     dropped: dict[str, list[Stored]] = {col: [] for col in sides}
-    passes = stale = 0
+    passes = 0
     while True:
         passes += 1
         removed = 0
+        if passes == scans + 1:
+            adjacency.place()
         for col, other in (sides, sides[::-1]):
             light = store(degrees[col].frame.where(F.col("n") < k).select(col), "core-dropped")
             if not light.rows:
                 light.drop()
                 continue
             removed += light.rows
+            dropped[col].append(light)
+            loss = adjacency.of(col, light).groupBy(other).agg(F.sum("n").alias("_loss"))
+            lower = degrees[other].frame.join(loss, other, "left").select(
+                other, (F.col("n") - F.coalesce("_loss", F.lit(0))).alias("n")
+            )
+            degrees[other] = _replaced(degrees[other], lower, "core-degrees")
             degrees[col] = _replaced(
                 degrees[col], degrees[col].frame.where(F.col("n") >= k), "core-degrees"
             )
-            # Pairs of the frontier; those of ids that the other side dropped before are gone
-            # from its degrees, and the join leaves them out.
-            gone = pairs.frame.join(_marked(light), col, "left_semi")
-            loss = store(gone.groupBy(other).agg(F.sum("n").alias("_n"), F.count("n").alias("_p")), "core-loss")
-            stale += loss.frame.agg(F.coalesce(F.sum("_p"), F.lit(0))).first()[0]
-            lower = degrees[other].frame.join(_marked(loss), other, "left").select(
-                other, (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")
-            )
-            degrees[other] = _replaced(degrees[other], lower, "core-degrees")
-            loss.drop()
-            dropped[col].append(light)
-            if stale > STALE_SHARE * pairs.rows:
-                kept = pairs.frame
-                for side in sides:
-                    kept = kept.join(degrees[side].frame.select(side), side, "left_semi")
-                pairs, stale = _replaced(pairs, kept, "core-pairs"), 0
         if not removed:
             break
     empty = {col: pairs.frame.select(col).limit(0) for col in sides}
@@ -113,9 +160,10 @@ def peel(df: DataFrame, user_col: str, item_col: str, k: int) -> Peeling:
     whole = {
         col: store(reduce(DataFrame.unionByName, lists[col]), "core-ids").frame for col in sides
     }
-    for spent in (pairs, *degrees.values(), *(s for col in sides for s in dropped[col])):
+    adjacency.drop()
+    for spent in (*degrees.values(), *(s for col in sides for s in dropped[col])):
         spent.drop()
-    return Peeling(whole[user_col], whole[item_col], passes)
+    return Peeling(whole[user_col], whole[item_col], passes), adjacency.read
 
 
 def _replaced(old: Stored, frame: DataFrame, name: str) -> Stored:

@@ -8,10 +8,11 @@ lineage, and drops the table it replaces.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tacit.operators.evaluation import evaluate, negative_lists, prediction_error
 from tacit.operators.factors import cache_matrix, init_factors, weighted_items
@@ -26,6 +27,7 @@ from tacit.operators.updates import State, Update, step
 from tacit.operators.weights import item_confidence
 from tacit.scratch import Stored, materialize, release, scope, store
 from tacit.sources.models import FactorModel
+from tacit.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,43 @@ class FitOptions:
         return Update(self.k, self.lam, method, self.start, self.storage)
 
 
+class FitLog:
+    """Finished half-steps of a fit, in a folder that all executors share.
+
+    A half-step's table is written there and then named by a manifest, so a fit that was stopped
+    goes on behind the last one named.  Tables that no later half-step needs are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: dict):
+        self.spark, self.settings = spark, settings
+        self.folder = Versions(spark, path)
+        self.state = self.folder.newest() or {"settings": settings, "done": 0, "tables": {}}
+        if self.state["settings"] != settings:
+            raise ValueError(f"{path} holds the log of another fit")
+
+    @property
+    def done(self) -> int:
+        """Half-steps that need not run again."""
+        return self.state["done"]
+
+    def table(self, side: str) -> DataFrame | None:
+        part = self.state["tables"].get(side)
+        return self.spark.read.parquet(f"{self.folder.path}/{part}") if part else None
+
+    def record(self, side: str, table: DataFrame) -> None:
+        part = f"{side}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.folder.path}/{part}")
+        tables = self.state["tables"] | {side: part}
+        self.state = {
+            "settings": self.settings,
+            "done": self.done + 1,
+            "tables": tables,
+            "parts": sorted(tables.values()),
+        }
+        self.folder.commit(self.state)
+        self.folder.tidy()
+
+
 class Placement:
     """Stored pairs and the layouts derived from them."""
 
@@ -162,6 +201,7 @@ def _alternate(
     method: str,
     keep: tuple[DataFrame, DataFrame] | None = None,
     on_iteration: Callable[[int, float, DataFrame, DataFrame], None] | None = None,
+    log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run the iterations.  ``keep`` holds fixed vectors of entities without any pair."""
     options = placement.options
@@ -179,13 +219,30 @@ def _alternate(
         if side in parts:
             parts[side].drop()
         parts[side] = fresh
-        if keep is None:
-            return fresh.frame
-        return fresh.frame.unionByName(keep[0] if side == "user" else keep[1])
+        if book is not None:
+            book.record(side, fresh.frame)
+        return whole(side, fresh.frame)
 
-    for iteration in range(1, options.iterations + 1):
+    def whole(side: str, table: DataFrame) -> DataFrame:
+        if keep is None:
+            return table
+        return table.unionByName(keep[0] if side == "user" else keep[1])
+
+    book = None
+    if log is not None:
+        settings = {"method": method, "pairs": placement.pairs.rows, **asdict(options)}
+        del settings["iterations"]  # a fit may be prolonged
+        book = FitLog(placement.pairs.frame.sparkSession, log, settings)
+        known = {side: book.table(side) for side in ("user", "item")}
+        users = users if known["user"] is None else whole("user", known["user"])
+        items = items if known["item"] is None else whole("item", known["item"])
+    done = book.done if book else 0
+    if done > 2 * options.iterations:
+        raise ValueError("the log holds more iterations than were asked for")
+    for iteration in range(done // 2 + 1, options.iterations + 1):
         started = time.monotonic()
-        users = advance("user", items, users)
+        if done < 2 * iteration - 1:
+            users = advance("user", items, users)
         items = advance("item", users, items)
         if on_iteration is not None:
             on_iteration(iteration, time.monotonic() - started, users, items)
@@ -197,20 +254,25 @@ def fit(
     popularity: DataFrame,
     options: FitOptions = FitOptions(),
     on_iteration: Callable[[int, float, FactorModel], None] | None = None,
+    log: str | None = None,
 ) -> FactorModel:
     """Popularity-weighted factorisation by element-wise alternating least squares.
 
     ``on_iteration`` receives iteration, seconds and model; that model's tables are replaced by
     the next iteration, so it must use them before it returns.  Of the tables written on the way
     only those of the model stay.
+
+    With ``log``, a folder of the shared file system, finished half-steps are kept there: called
+    again with the same data and options, a fit that was stopped goes on where it was.  A log of
+    other options or data is an error; more iterations prolong the fit.
     """
     with scope() as made:
-        model = _fit(interactions, popularity, options, on_iteration)
+        model = _fit(interactions, popularity, options, on_iteration, log)
     release(made, model.users, model.items)
     return model
 
 
-def _fit(interactions, popularity, options, on_iteration) -> FactorModel:
+def _fit(interactions, popularity, options, on_iteration, log) -> FactorModel:
     confidence = store(item_confidence(popularity, options.c0, options.alpha), "confidence").frame
     placement = Placement(interactions, confidence, options)
     try:
@@ -232,6 +294,7 @@ def _fit(interactions, popularity, options, on_iteration) -> FactorModel:
             weighted_items(start["item_idx"].frame, confidence),
             "sweep",
             on_iteration=report,
+            log=log,
         )
         return _model(users, items)
     finally:
@@ -248,19 +311,21 @@ def fit_uniform(
     w0: float = 0.01,
     users: DataFrame | None = None,
     items: DataFrame | None = None,
+    log: str | None = None,
 ) -> FactorModel:
     """Factorisation with one weight ``w0`` for all missing feedback and exact solves.
 
     ``users`` and ``items`` may list more ids than the interactions hold; those keep their
-    initial vectors.  Of the tables written on the way only those of the model stay.
+    initial vectors.  Of the tables written on the way only those of the model stay.  ``log``
+    makes the fit resumable, as in :func:`fit`.
     """
     with scope() as made:
-        model = _fit_uniform(interactions, options, w0, users, items)
+        model = _fit_uniform(interactions, options, w0, users, items, log)
     release(made, model.users, model.items)
     return model
 
 
-def _fit_uniform(interactions, options, w0, users, items) -> FactorModel:
+def _fit_uniform(interactions, options, w0, users, items, log) -> FactorModel:
     placement = Placement(interactions, w0, options)
     try:
         pairs = placement.pairs.frame
@@ -286,7 +351,7 @@ def _fit_uniform(interactions, options, w0, users, items) -> FactorModel:
                 store(idle_users, "idle-users").frame,
                 store(idle_items, "idle-items").frame.select("item_idx", "c_i", "factors"),
             )
-        p, q = _alternate(placement, p, q, "solve", keep)
+        p, q = _alternate(placement, p, q, "solve", keep, log=log)
         return _model(p, q)
     finally:
         placement.release()

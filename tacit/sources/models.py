@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tacit.versions import Versions
+
 
 @dataclass(frozen=True)
 class FactorModel:
@@ -23,62 +24,6 @@ class FactorModel:
 
 
 TABLES = ("users", "items", "user_ids", "item_ids")
-# Saved versions that stay besides the newest, for readers of a model loaded before.
-KEPT = 1
-
-
-class _Folder:
-    """A model's folder: a sub-folder per version, and numbered manifests that name them."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = path.rstrip("/")
-        self.jvm = spark._jvm
-        root = self.place("")
-        self.files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def place(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def names(self, below: str) -> list[str]:
-        place = self.place(below)
-        if not self.files.exists(place):
-            return []
-        return sorted(found.getPath().getName() for found in self.files.listStatus(place))
-
-    def manifests(self) -> list[str]:
-        return [name for name in self.names("manifests") if name.endswith(".json")]
-
-    def read(self, name: str) -> dict:
-        stream = self.files.open(self.place(f"manifests/{name}"))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def commit(self, manifest: dict) -> None:
-        """Give the manifest the next number.  It counts once its final name exists, whole."""
-        known = self.manifests()
-        name = f"{int(known[-1].removesuffix('.json')) + 1 if known else 1:012}.json"
-        draft = self.place(f"manifests/.{uuid.uuid4().hex}")
-        stream = self.files.create(draft)
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
-        final = self.place(f"manifests/{name}")
-        if self.files.exists(final) or not self.files.rename(draft, final):
-            raise RuntimeError(f"another save into {self.path} was faster")
-
-    def tidy(self) -> None:
-        """Drop manifests and versions but those of the newest saves."""
-        known = self.manifests()
-        kept = known[-1 - KEPT :]
-        versions = {self.read(name)["version"] for name in kept}
-        for name in known[: -1 - KEPT]:
-            old = self.read(name)["version"]
-            self.files.delete(self.place(f"manifests/{name}"), False)
-            if old not in versions:
-                self.files.delete(self.place(old), True)
 
 
 def save_model(model: FactorModel, path: str) -> None:
@@ -90,22 +35,22 @@ def save_model(model: FactorModel, path: str) -> None:
     The version before stays for its readers; older ones are deleted.
     """
     spark = model.users.sparkSession
-    folder = _Folder(spark, path)
+    folder = Versions(spark, path)
     version = f"version-{uuid.uuid4().hex}"
     tables = [name for name in TABLES if getattr(model, name) is not None]
     for name in tables:
         getattr(model, name).write.parquet(f"{folder.path}/{version}/{name}")
-    folder.commit({"version": version, "tables": tables})
+    folder.commit({"parts": [version], "tables": tables})
     folder.tidy()
 
 
 def load_model(spark: SparkSession, path: str) -> FactorModel:
     """The model saved last, with its id maps if it has them."""
-    folder = _Folder(spark, path)
-    known = folder.manifests()
-    if not known:
+    folder = Versions(spark, path)
+    manifest = folder.newest()
+    if manifest is None:
         raise FileNotFoundError(f"no saved model in {path}")
-    manifest = folder.read(known[-1])
+    (version,) = manifest["parts"]
     return FactorModel(
-        **{name: spark.read.parquet(f"{folder.path}/{manifest['version']}/{name}") for name in manifest["tables"]}
+        **{name: spark.read.parquet(f"{folder.path}/{version}/{name}") for name in manifest["tables"]}
     )

@@ -1,9 +1,12 @@
+import importlib
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tacit.operators import (
-    complete_confidence, complete_factors, gram, init_factors, item_confidence,
+    complete_confidence, complete_factors, gram, init_factors, item_confidence, item_popularity,
 )
 from tacit.plans import (
     FitOptions, als_items, als_users, fit, fit_uniform, fit_with_telemetry, prepare,
@@ -356,3 +359,55 @@ def test_a_cluster_needs_a_shared_folder(master):
     session.sparkContext.master = master
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch_root(session)
+
+
+# The package exports the function under the module's name.
+fit_module = importlib.import_module("tacit.plans.fit")
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop", [1, 2, 3])
+def test_a_stopped_fit_goes_on(spark, tmp_path, monkeypatch, stop):
+    """Stopped behind any half-step, a fit resumes there and gives the model of an unbroken one."""
+    data = spark.range(400).selectExpr(
+        "cast(id % 23 as int) user_idx", "cast((id * id) % 31 as int) item_idx").distinct()
+    popularity = item_popularity(data)
+    options = FitOptions(k=3, iterations=2, on_duplicate="distinct", storage="double")
+    want = fit(data, popularity, options)
+    log, steps = str(tmp_path / "log"), []
+    real = fit_module.step
+
+    def counted(layout, *rest):
+        if len(steps) == stop:
+            raise Stopped
+        steps.append(1)
+        return real(layout, *rest)
+
+    monkeypatch.setattr(fit_module, "step", counted)
+    with pytest.raises(Stopped):
+        fit(data, popularity, options, log=log)
+    assert len(steps) == stop
+    more = []
+    monkeypatch.setattr(fit_module, "step", lambda *all_: more.append(1) or real(*all_))
+    got = fit(data, popularity, options, log=log)
+    assert len(more) == 4 - stop
+
+    def close(a, b, col):
+        a, b = ({r[col]: r.factors for r in t.collect()} for t in (a, b))
+        assert a.keys() == b.keys()
+        assert all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12) for k in a)
+
+    close(got.users, want.users, "user_idx")
+    close(got.items, want.items, "item_idx")
+    # A finished fit runs nothing again, a longer one goes on, another one is an error.
+    close(fit(data, popularity, options, log=log).items, want.items, "item_idx")
+    assert len(more) == 4 - stop
+    fit(data, popularity, replace(options, iterations=3), log=log)
+    assert len(more) == 6 - stop
+    with pytest.raises(ValueError, match="another fit"):
+        fit(data, popularity, replace(options, k=4), log=log)
+    parts = [p.name for p in (tmp_path / "log").iterdir() if p.name != "manifests"]
+    assert len(parts) <= 3
