@@ -29,6 +29,7 @@ HEAD = "<8sqqqqB7x"  # magic, partition, number in it, documents, tokens, levels
 LEVEL = "<q"
 BLOCK = 512  # marks per directory entry
 FILE_TOKENS = 4 << 20
+SPAN_TOKENS = 1 << 20  # ids that a reader decodes at a time
 PARTITION_BYTES = 128 << 20  # text of a sorted partition
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -223,9 +224,15 @@ def _documents(spark, path: str, keep_ids: bool) -> DataFrame:
                 file = TokenFile(data)
                 ends = np.cumsum(file.lengths)
                 starts = ends - file.lengths
-                for low in range(0, len(ends), 4096):
-                    some = slice(low, min(low + 4096, len(ends)))
-                    spans = [file.span(a, b) for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                low = 0
+                while low < len(ends):
+                    # A run of documents of a bounded number of tokens is one span.
+                    high = int(np.searchsorted(ends, starts[low] + SPAN_TOKENS, "right"))
+                    some = slice(low, min(max(high, low + 1), low + 4096))
+                    base = int(starts[low])
+                    run = file.span(base, int(ends[some][-1]))
+                    spans = [run[a:b] for a, b in zip((starts[some] - base).tolist(), (ends[some] - base).tolist())]
+                    low = some.stop
                     if keep_ids:
                         made = pa.array([s.astype(np.int32) for s in spans], pa.list_(pa.int32()))
                     else:
