@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 import types
@@ -28,11 +30,21 @@ def once(key: tuple, make: Callable):
     if store.__dict__.get("kind") != key[0]:
         held.clear()
         store.kind = key[0]
+        _give_back()
     if key not in held:
         held[key] = make()
     return held[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the allocators offer it; workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Cache(dict):
     """A bounded dict that computes what it lacks."""
 

@@ -277,7 +277,7 @@ class RunEncoder(Encoder):
 
 
 # Longest piece that is learnt with others, and how many are in one library call.
-LEARN_BYTES, LEARN_PIECES = 64, 50_000
+LEARN_BYTES, LEARN_PIECES = 64, 10_000
 _LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
@@ -359,7 +359,7 @@ def library_encoder(path: str, kind: str, added: bool = False) -> Encoder:
 
     def make():
         strings = read_added(path) if added else None
-        known = Ids(None, PIECES // 2)
+        known = Ids(None, PIECES // 8 if word else PIECES // 2)
         return RunEncoder(word_runs if word else byte_runs, known, _library(path, word), strings)
 
     return once(("tokens", "library", path, kind, added), make)
