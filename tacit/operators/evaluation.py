@@ -161,7 +161,8 @@ def _unseen(cases: DataFrame, places: Places, n: int, seed: int, seen: DataFrame
         drawn = F.array_distinct(F.transform(numbers, lambda j: _draw_place(places.rows, j, seed)))
         fresh = F.array_except(drawn, F.array("_true"))
         none = F.array().cast("array<int>")
-        posed = todo.join(packed, "user_idx", "left")
+        # Cases are few bytes and much work: all tasks take part.
+        posed = spread(todo, *key).join(packed, "user_idx", "left")
         got = posed.select(*key, "_true", F.array_except(fresh, F.coalesce("seen", none)).alias("places"))
         if long is not None:
             hits = todo.join(long, "user_idx").select(*key, F.array_intersect(fresh, F.col("seen")).alias("hit"))
