@@ -140,15 +140,16 @@ def brute_top(rows, k):
     coded = [(i, code(v)) for i, v in rows]
     coded = [(i, c) for i, c in coded if i is not None and c is not None]
     found = {}
+    asked = []
     for i, c in coded:
-        if i % 50 == 0 and i not in found:
-            scores = [
+        if i % 50 == 0 and (i, c) not in asked:
+            asked.append((i, c))
+            found.setdefault(i, []).extend(
                 (-sum(a * b for a, b in zip(c, d)), j)
                 for j, d in coded
                 if j != i and len(d) == len(c)
-            ]
-            found[i] = [(j, -s) for s, j in sorted(scores)[:k]]
-    return found
+            )
+    return {i: [(j, -s) for s, j in sorted(scores)[:k]] for i, scores in found.items()}
 
 
 @pytest.mark.parametrize("query_rows, shard_rows, fan_in", [(2048, 16_384, 16), (2, 30, 2)])
@@ -158,6 +159,11 @@ def test_top_k_equals_brute_force(spark, query_rows, shard_rows, fan_in):
     rows += [(i, rows[7][1]) for i in (300, 301, 302)]
     rows += [(350, None), (400, [1.0, None]), (450, [float("nan")] * 6), (500, [float("inf")] * 6)]
     rows += [(None, [1.0] * 6), (550, []), (600, [1.0, 2.0]), (601, [3.0, 1.0])]
+    # A query id with several vectors, one of them twice, and a vector with many copies.
+    rows += [(100, [0.5] * 6), (100, [-2.0] * 6), (100, [-2.0] * 6)] + [(9, [2e3] * 6)] * 40
+    # Products beyond what doubles hold, up to the last long.
+    rows += [(700, [3e5 + 1 / 256] * 4), (701, [3e5, 3e5, 3e5, -3e5 - 1 / 256]), (702, [3e5] * 4)]
+    rows += [(750, [2.0**22, 2.0**22, 2.0**-8]), (751, [2.0**22, 2.0**22, -(2.0**-8)])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     table = table.withColumn("score", F.lit("x")).withColumn("shard", F.lit(0))
     coded = table.select("*", topk.codes(F.col("embedding")).alias("code"))
@@ -173,11 +179,21 @@ def test_top_k_equals_brute_force(spark, query_rows, shard_rows, fan_in):
     assert topk.top_k(none, none).count() == 0
 
 
-def test_top_k_refuses_inexact_products(spark):
-    rows = [(0, [1e9, 1e9]), (1, [1e9, 1e9])]
-    coded = spark.createDataFrame(rows, "vec_id long, code array<double>")
-    with pytest.raises(Exception, match="exact"):
-        topk.top_k(coded, coded).count()
+def test_top_k_at_the_ends_of_a_long(spark):
+    high = 2**31
+    # 2**62 + (2**31 - 1) * 2**31 + 2**31 - 1 is the last long.
+    rows = [(0, [high, high, 1]), (1, [high, high - 1, high - 1]), (2, [-high, -high, 1])]
+    coded = spark.createDataFrame(rows, "vec_id long, code array<long>")
+    near = coded.where("vec_id < 2")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(near, near).collect()}
+    assert got == {(0, 1): 2**63 - 1, (1, 0): 2**63 - 1}
+    # A row's product with itself is no score; 0 and 2 pass the range by two.
+    with pytest.raises(Exception, match="fit a long"):
+        over = spark.createDataFrame([(0, [high, high, 1]), (1, [high, high, 0])], coded.schema)
+        topk.top_k(over, over).count()
+    lowest = spark.createDataFrame([(0, [-(2**63)]), (1, [0]), (2, [-1])], coded.schema)
+    best = topk.top_k(lowest, lowest.where("vec_id = 1"), 5).collect()
+    assert [(r.vec_id, r.score) for r in best] == [(0, 0), (2, 0)]
 
 
 SIGNS = ["<|im_end|>\n", "<|im_start|>assistant\n", "<\\|", "<|", "|>", "<\\\\|x", "%0A", "%", "\n", ""]
