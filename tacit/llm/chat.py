@@ -1,7 +1,11 @@
 """Chat formatting in budgeted windows, by DataFrame functions alone.
 
-Prefix sums of turn tokens place every turn in one window: the window of the budget that its last
-token falls in.  A window opens with the system turn and the last turns of the window before it,
+Prefix sums of turn tokens choose the windows.  A conversation has a room per window: the budget
+less its system turn and less what is kept for history.  Cells of that many tokens lie over the
+prefix sums, and a turn belongs to the cell it starts in.  Turns that end in their cell fit the
+room together; the turn that runs over the end joins them if all still fit, else it is a window
+of its own.  So every window is found from its own cell, and none passes the budget unless one
+turn alone does.  A window opens with the system turn and the last turns of the window before it,
 as history; both are masked.  The loss mask covers the assistant turns that are new in a window,
 so every assistant text is learned once.
 
@@ -14,7 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Tokens of new turns and of repeated history in a window, and characters that count as a token.
+from tacit.scratch import materialize
+
+# Tokens of a window and of repeated history in it, and characters that count as a token.
 BUDGET = 1024
 HISTORY = 256
 CHARS_PER_TOKEN = 4
@@ -44,174 +50,220 @@ def unescape_role(role: Column) -> Column:
     )
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """Turns with their rendered form and the tokens up to their end.
+def _rows(conversations: DataFrame) -> DataFrame:
+    """Turns with their rendered form, under a key that is never null."""
+    rendered = F.concat(
+        F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END)
+    )
+    return (
+        conversations.select(
+            "conv_id",
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        )
+        .select(
+            "conv_id",
+            F.when(F.col("conv_id").isNull(), "none")
+            .otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+            .alias("key"),
+            "turn",
+            "role",
+            rendered.alias("shown"),
+            F.xxhash64("role", "text").alias("hash"),
+            F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).alias("stretch"),
+        )
+        .withColumn("size", F.ceil(F.length("shown") / CHARS_PER_TOKEN).cast("long"))
+    )
+
+
+def _placed(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """Turns with their place, the tokens up to their end, and the room of their conversation.
 
     Equal rows are numbered apart.  Sums run over stretches of a conversation and then over the
-    sums of its stretches.
+    sums of its stretches, so texts move once, with their stretch.
     """
-    rendered = F.concat(
-        F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END)
+    system = F.struct("turn", "role", "hash", "size")
+    sums = rows.groupBy("key", "stretch").agg(
+        F.sum("size").alias("tokens"),
+        F.count(F.lit(1)).alias("turns"),
+        F.min(F.when(F.lower("role") == "system", system)).alias("system"),
     )
-    rows = conversations.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).select(
-        "conv_id",
-        "turn",
-        "role",
-        rendered.alias("shown"),
-        F.octet_length("text").alias("_octets"),
-        F.xxhash64("role", "text").alias("_hash"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).alias("_stretch"),
+    over = Window.partitionBy("key").orderBy("stretch")
+    whole = Window.partitionBy("key")
+    left = F.greatest(F.lit(0), budget - F.coalesce("head", F.lit(0)))
+    kept = F.least(F.lit(history), F.floor(left / 2))
+    sums = sums.select(
+        "key",
+        "stretch",
+        (F.sum("tokens").over(over) - F.col("tokens")).alias("base"),
+        (F.sum("turns").over(over) - F.col("turns")).alias("first"),
+        F.min("system").over(whole)["size"].alias("head"),
+    ).select("*", F.greatest(F.lit(1), left - kept).cast("long").alias("room"))
+    inside = Window.partitionBy("key", "stretch").orderBy(
+        F.asc_nulls_first("turn"), "role", "hash", "shown"
     )
-    rows = rows.withColumn(
-        "_size", F.ceil(F.length("shown") / CHARS_PER_TOKEN).cast("long")
+    return (
+        rows.select(
+            "*",
+            F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("to"),
+            F.row_number().over(inside).alias("row"),
+        )
+        .join(sums, ["key", "stretch"])
+        .select(
+            "conv_id",
+            "key",
+            "room",
+            (F.col("first") + F.col("row") - 1).alias("place"),
+            (F.col("base") + F.col("to")).alias("end"),
+            "size",
+            "role",
+            "shown",
+        )
     )
-    sums = rows.groupBy("conv_id", "_stretch").agg(
-        F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_count")
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    """A row per cell that turns start in: its turns in order, as one or two windows.
+
+    ``next`` is the cell of the turn that follows, if there is one.
+    """
+    turn = F.struct("place", "end", "size", "role", "shown")
+    cells = placed.groupBy(
+        "key", F.floor((F.col("end") - F.col("size")) / F.col("room")).alias("cell")
+    ).agg(
+        F.first("conv_id").alias("conv_id"),
+        F.first("room").alias("room"),
+        F.sort_array(F.collect_list(turn)).alias("turns"),
     )
-    over = Window.partitionBy("conv_id").orderBy("_stretch")
-    sums = sums.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("_stretch").alias("_part"),
-        (F.sum("_sum").over(over) - F.col("_sum")).alias("_base"),
-        (F.sum("_count").over(over) - F.col("_count")).alias("_first"),
-    )
-    inside = Window.partitionBy("conv_id", "_stretch").orderBy(
-        F.asc_nulls_first("turn"), "role", "_hash", "shown"
-    )
-    placed = rows.select(
-        "*",
-        F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"),
-        F.row_number().over(inside).alias("_row"),
-    ).join(
-        sums,
-        F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_stretch") == F.col("_part")),
-    )
-    return placed.select(
+    first, last = F.element_at("turns", 1), F.element_at("turns", -1)
+    n = F.size("turns")
+    runs_over = last["end"] > (F.col("cell") + 1) * F.col("room")
+    total = last["end"] - first["end"] + first["size"]
+    apart = runs_over & (n > 1) & (total > F.col("room"))
+    return cells.select(
+        "key",
+        "cell",
         "conv_id",
-        "role",
-        "shown",
-        (F.col("_first") + F.col("_row") - 1).alias("place"),
-        (F.col("_base") + F.col("_to")).alias("end"),
-        F.col("_size").alias("size"),
+        F.floor(last["end"] / F.col("room")).alias("next"),
+        F.when(apart, F.array(F.slice("turns", F.lit(1), n - 1), F.array(last)))
+        .otherwise(F.array("turns"))
+        .alias("windows"),
     )
 
 
+def _tail(turns: Column, most: int) -> Column:
+    """The last turns of a window that hold ``most`` tokens at most."""
+    end = F.element_at(turns, -1)["end"]
+    return F.filter(turns, lambda t: end - t["end"] + t["size"] <= most)
+
+
 def format_windows(
     conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY
 ) -> DataFrame:
     """``(conv_id, window, text, loss, repeated, over)``: a row per window.
 
+    System turn, history and new turns of a window hold ``budget`` tokens at most; only where one
+    new turn with the system turn is more they pass it, with no other turn, and ``over`` says so.
+    History is what still fits of the last ``history`` tokens of the window before.  The room
+    kept for it is at most half of what the system turn leaves.  ``window`` numbers ascend with gaps.
     ``loss`` lists ``(start, length)`` character spans of ``text``, from 0; ``repeated`` counts the
-    masked turns at its head; ``over`` says that the new turns exceed ``budget``, which only a
-    turn that straddles the end of the budget before can cause.  Turns stay whole.  Null roles
-    and texts count as empty; equal rows are turns of their own; a null conv_id is a conversation
-    like any other; other columns are ignored.
+    masked turns at its head.  The system turn is the first whose role is ``system`` in any case;
+    windows before it go without.  Turns stay whole.  Null roles and texts count as empty; equal
+    rows are turns of their own; a null conv_id is a conversation like any other; other columns
+    are ignored.
     """
     if budget < 1 or not 0 <= history <= budget:
         raise ValueError("the history must fit the budget")
-    turns = _turns(conversations).withColumn(
-        "window", F.floor((F.col("end") - 1) / budget).cast("long")
-    )
-    # Windows that hold turns, each with the one before, where its history ends.
-    spans = turns.groupBy("conv_id", "window").agg(F.max("end").alias("last"))
-    order = Window.partitionBy("conv_id").orderBy("window")
-    spans = spans.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("window").alias("_window"),
-        F.lead("window").over(order).alias("next"),
-        F.col("last"),
-    )
-    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
-    placed = turns.join(spans, same & (F.col("window") == F.col("_window")))
-    system = F.lower("role") == "system"
-    recent = F.col("next").isNotNull() & (F.col("last") - F.col("end") + F.col("size") <= history)
-    targets = F.concat(
-        F.array(F.struct(F.col("window").alias("window"), F.lit(2).alias("kind"))),
-        F.when(
-            recent, F.array(F.struct(F.col("next").alias("window"), F.lit(1).alias("kind")))
-        ).otherwise(F.array().cast("array<struct<window:bigint,kind:int>>")),
-    )
-    shown = placed.select(
-        "conv_id", "place", "role", "shown", F.explode(targets).alias("to")
-    ).select("conv_id", "to.window", "to.kind", "place", "role", "shown")
-    # The first system turn of a conversation opens all its windows but the one that holds it.
-    first = (
-        turns.where(system)
-        .groupBy("conv_id")
-        .agg(F.min(F.struct("place", "window", "role", "shown")).alias("s"))
-    )
-    heads = spans.select("_conv", F.col("_window").alias("to_window")).join(
-        first, F.col("_conv").eqNullSafe(F.col("conv_id"))
-    ).where(F.col("to_window") > F.col("s.window")).select(
+    placed = _placed(_rows(conversations), budget, history)
+    # Read three times below; a cell holds at most a room and one turn.
+    cells = materialize(_cells(placed), "chat-cells")
+    # The first system turn of a conversation opens its later windows.
+    systems = F.filter(F.flatten("windows"), lambda t: F.lower(t["role"]) == "system")
+    first = cells.select("key", F.get(systems, F.lit(0)).alias("turn")).where("turn IS NOT NULL")
+    first = first.groupBy("key").agg(F.min("turn").alias("system"))
+    heads = cells.select("key", "cell").join(first, "key")
+    # A conversation that ends within a cell has no next one.
+    before = cells.where(F.col("next") > F.col("cell")).select(
+        "key",
+        F.col("next").alias("cell"),
+        _tail(F.element_at("windows", -1), history).alias("before"),
+    )
+    parts = (
+        cells.join(heads, ["key", "cell"], "left")
+        .join(before, ["key", "cell"], "left")
+        .select("conv_id", "cell", "system", "before", "windows", F.posexplode("windows"))
+    )
+    opening = F.element_at("col", 1)
+    start = opening["end"] - opening["size"]
+    tokens = F.element_at("col", -1)["end"] - start
+    follows = F.col("system")["place"] < opening["place"]
+    inner = _tail(F.element_at("windows", 1), history)
+    parts = parts.select(
         "conv_id",
-        F.col("to_window").alias("window"),
-        F.lit(0).alias("kind"),
-        F.col("s.place").alias("place"),
-        F.col("s.role").alias("role"),
-        F.col("s.shown").alias("shown"),
-    )
-    # A window is bounded by its budget, so its turns may be gathered.
-    parts = F.sort_array(F.collect_list(F.struct("kind", "place", "role", "shown")))
-    gathered = shown.unionByName(heads).groupBy("conv_id", "window").agg(parts.alias("p"))
+        (2 * F.col("cell") + F.col("pos")).cast("long").alias("window"),
+        F.when(follows, F.col("system")).alias("system"),
+        F.when(F.col("pos") == 1, inner).otherwise(F.col("before")).alias("before"),
+        F.col("col").alias("new"),
+        start.alias("start"),
+        tokens.alias("tokens"),
+    )
+    head = F.coalesce(F.col("system")["size"], F.lit(0))
+    free = F.least(F.lit(history), budget - head - F.col("tokens"))
     # The system turn as head makes its repetition as history needless.
-    has_head = F.element_at("p", 1)["kind"] == 0
-    kept = F.filter(
-        "p",
-        lambda t: ~(has_head & (t["kind"] == 1) & (t["place"] == F.element_at("p", 1)["place"])),
+    recent = F.filter(
+        F.coalesce("before", F.array().cast(parts.schema["new"].dataType)),
+        lambda t: (F.col("start") - t["end"] + t["size"] <= free)
+        & ~t["place"].eqNullSafe(F.col("system")["place"]),
+    )
+    parts = parts.select(
+        "conv_id",
+        "window",
+        (head + F.col("tokens") > budget).alias("over"),
+        F.concat(F.array_compact(F.array("system")), recent).alias("old"),
+        "new",
+    )
+    shown = F.transform(F.concat("old", "new"), lambda t: t["shown"])
+    return parts.select(
+        "conv_id",
+        "window",
+        F.array_join(shown, "").alias("text"),
+        _spans(F.col("old"), F.col("new")).alias("loss"),
+        F.size("old").alias("repeated"),
+        "over",
     )
-    gathered = gathered.select("conv_id", "window", kept.alias("p"))
-    # Offsets of turns in the window, by one running pass.
+
+
+def _spans(old: Column, new: Column) -> Column:
+    """Where the texts of new assistant turns lie, by one running pass."""
+    ahead = F.aggregate(old, F.lit(0), lambda n, t: n + F.length(t["shown"]))
+    opened = F.lit(len(START) + 1)
     run = F.aggregate(
-        "p",
+        new,
         F.struct(
-            F.lit(0).cast("int").alias("at"),
-            F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
+            ahead.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")
         ),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["shown"])).cast("int").alias("at"),
+        lambda run, t: F.struct(
+            (run["at"] + F.length(t["shown"])).alias("at"),
             F.when(
-                (t["kind"] == 2) & (t["role"] == "assistant"),
+                t["role"] == "assistant",
                 F.concat(
-                    acc["spans"],
+                    run["spans"],
                     F.array(
                         F.struct(
-                            (acc["at"] + F.lit(len(START)) + F.length(t["role"]) + 1)
-                            .cast("int")
-                            .alias("start"),
+                            (run["at"] + opened + F.length(t["role"])).alias("start"),
                             (
-                                F.length(t["shown"])
-                                - F.lit(len(START) + 1 + len(END))
-                                - F.length(t["role"])
-                            )
-                            .cast("int")
-                            .alias("length"),
+                                F.length(t["shown"]) - opened - len(END) - F.length(t["role"])
+                            ).alias("length"),
                         )
                     ),
                 ),
             )
-            .otherwise(acc["spans"])
+            .otherwise(run["spans"])
             .alias("spans"),
         ),
     )
-    new = F.filter("p", lambda t: t["kind"] == 2)
-    new_tokens = F.aggregate(
-        new,
-        F.lit(0).cast("long"),
-        lambda n, t: n + F.ceil(F.length(t["shown"]) / CHARS_PER_TOKEN).cast("long"),
-    )
-    return gathered.select(
-        "conv_id",
-        "window",
-        F.array_join(F.transform("p", lambda t: t["shown"]), "").alias("text"),
-        run["spans"].alias("loss"),
-        F.size(F.filter("p", lambda t: t["kind"] < 2)).alias("repeated"),
-        (new_tokens > budget).alias("over"),
-    )
+    return run["spans"]
 
 
 def parse_windows(windows: DataFrame) -> DataFrame:

@@ -117,24 +117,36 @@ WITH c AS (
 ), p AS (
   SELECT *, ceil(n / 4)::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
     sum(ceil(n / 4)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn) AS done FROM r
+), f AS (
+  SELECT conv_id, min(i) AS si, arg_min(n, i) AS sn, arg_min(size, i) AS ssize
+  FROM p WHERE lower(role) = 'system' GROUP BY conv_id
+), m AS (
+  SELECT p.*, si, sn, coalesce(ssize, 0) AS head, greatest(0, 1024 - coalesce(ssize, 0)) AS free
+  FROM p LEFT JOIN f USING (conv_id)
+), o AS (
+  SELECT *, greatest(1, free - least(256, free // 2)) AS room FROM m
+), k AS (
+  SELECT *, ((done - size) // room)::BIGINT AS cell FROM o
+), e AS (
+  SELECT *, i = max(i) OVER g AND done > (cell + 1) * room AND count(*) OVER g > 1
+      AND sum(size) OVER g > room AS apart
+  FROM k WINDOW g AS (PARTITION BY conv_id, cell)
 ), w AS (
-  SELECT *, ((done - 1) // 1024)::BIGINT AS win FROM p
+  SELECT *, 2 * cell + apart::BIGINT AS win FROM e
 ), s AS (
-  SELECT conv_id, win, max(done) AS last,
+  SELECT conv_id, win, min(i) AS i, max(done) AS last, sum(size) AS tokens,
+    any_value(si) AS si, any_value(sn) AS sn, any_value(head) AS head,
     lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS nxt
   FROM w GROUP BY conv_id, win
-), f AS (
-  SELECT conv_id, min(i) AS i, arg_min(win, i) AS win, arg_min(n, i) AS n
-  FROM w WHERE lower(role) = 'system' GROUP BY conv_id
 ), heads AS (
-  SELECT s.conv_id, sum(f.n) AS n FROM s JOIN f ON s.conv_id = f.conv_id AND s.win > f.win
-  GROUP BY s.conv_id
+  SELECT conv_id, sum(sn) AS n FROM s WHERE si < i GROUP BY conv_id
 ), history AS (
   SELECT w.conv_id, sum(w.n) AS n
   FROM w JOIN s ON w.conv_id = s.conv_id AND w.win = s.win
-  LEFT JOIN f ON w.conv_id = f.conv_id
-  WHERE s.nxt IS NOT NULL AND s.last - w.done + w.size <= 256
-    AND (f.i IS NULL OR f.i <> w.i)
+  JOIN s AS t ON t.conv_id = s.conv_id AND t.win = s.nxt
+  WHERE s.last - w.done + w.size
+      <= least(256, 1024 - t.tokens - CASE WHEN t.si < t.i THEN t.head ELSE 0 END)
+    AND NOT (w.i = coalesce(t.si, -1) AND t.si < t.i)
   GROUP BY w.conv_id
 )
 SELECT conv_id, count(*) AS n_turns,

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -215,6 +216,75 @@ def conversations():
     return rows
 
 
+def shown(role, text):
+    """A turn as the template writes it, and its tokens."""
+    body = re.sub(r"<(\\*)\|", r"<\\\1|", text)
+    name = re.sub(r"<(\\*)\|", r"<\\\1|", role.replace("%", "%25").replace("\n", "%0A"))
+    made = f"<|im_start|>{name}\n{body}<|im_end|>\n"
+    return made, math.ceil(len(made) / 4), body
+
+
+def brute_windows(turns, budget, history):
+    """The windows of one conversation, as lists of (text, learned texts, repeated, over)."""
+    system = next((i for i, (role, _) in enumerate(turns) if role.lower() == "system"), None)
+    pieces = [shown(*turn) for turn in turns]
+    head = 0 if system is None else pieces[system][1]
+    left = max(0, budget - head)
+    room = max(1, left - min(history, left // 2))
+    cells, at = {}, 0
+    for i, (_, size, _) in enumerate(pieces):
+        cells.setdefault(at // room, []).append((i, at + size > (at // room + 1) * room))
+        at += size
+    windows = []
+    for cell in sorted(cells):
+        members = [i for i, _ in cells[cell]]
+        over_end = cells[cell][-1][1]
+        if over_end and len(members) > 1 and sum(pieces[i][1] for i in members) > room:
+            windows += [members[:-1], members[-1:]]
+        else:
+            windows.append(members)
+    made = []
+    for n, new in enumerate(windows):
+        opens = [system] if system is not None and system < new[0] else []
+        used = sum(pieces[i][1] for i in opens + new)
+        free, recent = min(history, budget - used), []
+        for i in reversed(windows[n - 1] if n else []):
+            if pieces[i][1] > free:
+                break
+            free -= pieces[i][1]
+            recent.insert(0, i)
+        old = opens + [i for i in recent if i not in opens]
+        learned = [pieces[i][2] for i in new if turns[i][0] == "assistant"]
+        text = "".join(pieces[i][0] for i in old + new)
+        made.append((text, learned, len(old), used > budget))
+    return made
+
+
+@pytest.mark.parametrize("budget, history", [(1024, 256), (20, 10), (64, 0), (300, 300)])
+def test_chat_windows_equal_brute_force(spark, budget, history):
+    rows = conversations()
+    rows += [(60, 0, "user", "b" * 40), (60, 1, "System", "s" * 2024)]
+    rows += [(60, t, ("user", "assistant")[t % 2], "z" * 2400) for t in range(2, 9)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {}
+    for r in chat.format_windows(table.repartition(5), budget, history).collect():
+        learned = [r.text[s.start : s.start + s.length] for s in r.loss]
+        tokens = sum(math.ceil((len(p) + 11) / 4) for p in r.text.split("<|im_end|>\n")[:-1])
+        new = r.text.count("<|im_start|>") - r.repeated
+        # Only one new turn with the system turn may pass the budget.
+        assert tokens <= budget or (r.over and new == 1 and r.repeated <= 1)
+        found.setdefault(r.conv_id, {})[r.window] = (r.text, learned, r.repeated, r.over)
+    turns = {}
+    for conv, turn, role, text in rows:
+        key = (-1 if turn is None else turn, role or "")
+        turns.setdefault(conv, []).append((key, (role or "", text or "")))
+    # Turns of one number are equal rows or differ in their role here, so the order is defined.
+    want = {c: [t for _, t in sorted(ts, key=lambda t: t[0])] for c, ts in turns.items()}
+    assert found.keys() == want.keys()
+    for conv, windows in found.items():
+        assert [windows[w] for w in sorted(windows)] == brute_windows(want[conv], budget, history)
+
+
 @pytest.mark.parametrize("budget, history", [(1024, 256), (20, 10), (64, 0)])
 def test_chat_windows_keep_every_turn(spark, budget, history):
     rows = conversations()
