@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tacit.llm.text import once, slices
 
@@ -186,14 +186,14 @@ def fit(
 ) -> Model | None:
     """Fit on rows with a language that are not held out; None where there is no such text.
 
-    The sample is bounded: about ``texts_per_language`` texts of each of the ``languages`` most
-    frequent languages, chosen by a hash of the id, and of a long text a stretch at a place that
-    the hash chooses.
+    The sample is bounded: at most ``texts_per_language`` texts of each of the ``languages`` most
+    frequent languages, chosen by a hash of id and text, and of a long text a stretch at a place
+    that the hash chooses.  Rows of one id, or without one, are chosen apart; equal rows count once.
     """
     known = docs.where(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
-    order = (F.xxhash64(F.col("doc_id"), F.lit("language sample")) / 2.0**64) + 0.5
+    order = (F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample")) / 2.0**64) + 0.5
     counts = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang")
     shares = {
         row["lang"]: texts_per_language / row["count"]
@@ -210,9 +210,17 @@ def fit(
     stretch = WINDOW * WINDOWS_PER_TEXT
     room = F.greatest(F.length("text") - stretch, F.lit(0))
     low = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), (room + 1).cast("long")).cast("int")
-    sample = (
+    few = (
         known.where(order < F.coalesce(share, F.lit(0.0)))
-        .select("lang", F.col("text").substr(low + 1, F.lit(stretch)).alias("text"))
+        .select("lang", order.alias("order"), F.col("text").substr(low + 1, F.lit(stretch)).alias("text"))
+        .distinct()
+    )
+    # Draws give the number in the mean; the ranks, over this small table, make it a bound.
+    first = Window.partitionBy("lang").orderBy("order", "text")
+    sample = (
+        few.withColumn("rank", F.row_number().over(first))
+        .where(F.col("rank") <= texts_per_language)
+        .select("lang", "text")
         .collect()
     )
     sample = sorted((row.lang, row.text) for row in sample)

@@ -19,9 +19,8 @@ from tacit.llm.langid import held_out
 from tacit.llm.text import Cache, slices
 from tacit.scratch import materialize, release, scope
 
-# Bounds of what is learned from: rows per class; entries of the lexicon.
+# Bound of what is learned from, and so of the lexicon: rows per class.
 ROWS_PER_CLASS = 6_000
-TERMS = 500
 # A term stands out if it is this many times as frequent among toxic rows, in so many of them.
 LIFT = 20.0
 SUPPORT = 5
@@ -30,6 +29,8 @@ STEM_CHARS = (4, 8)
 STEM_WORDS = 4
 # Words looked at on either side of a hit.
 CONTEXT = 6
+# Steps of the automaton that are remembered.
+STEPS = 2_000_000
 # Marks that open or close a quotation, and words that report one.
 QUOTES = "\"“”„«»‘’‹›"
 REPORTS = frozenset(
@@ -52,7 +53,9 @@ def allowed(term: str) -> int:
 class Automaton:
     """All words within the allowed edits of a term, or beginning with a stem.
 
-    States are sets of (trie node, edits), determined when first reached.
+    States are sets of (trie node, edits), determined when first reached and forgotten together
+    when they become many.  A word is left at the first letter that no term can follow, so very
+    long words cost no more than the longest term.
     """
 
     def __init__(self, terms: list[str], stems: list[str]):
@@ -76,6 +79,9 @@ class Automaton:
                 self.stem[at] = True
             else:
                 self.term[at] = max(self.term[at], edits)
+        self._forget()
+
+    def _forget(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.verdicts: list[int] = []
@@ -123,12 +129,12 @@ class Automaton:
 
     def judge(self, word: str) -> int:
         """EXACT (also for a stem), MISSPELT or NONE."""
+        if len(self.steps) > STEPS:
+            self._forget()
         at, steps = self.start, self.steps
         for letter in word:
             key = (at, letter)
             if key not in steps:
-                if len(steps) > 2_000_000:
-                    steps.clear()
                 steps[key] = self._step(at, letter)
             at = steps[key]
             if at <= 0:
@@ -203,8 +209,9 @@ def quoted(around: list[str], at: int) -> bool:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Learn lexicon and weights from labelled rows that are not held out.
 
-    About ``rows_per_class`` documents of either label are used, chosen by a hash of the id; a
-    document with several labels counts as toxic if one says so.  Without labels of both classes
+    About ``rows_per_class`` rows of either label are used, chosen by a hash of the id and, where
+    ids have several texts, of the text too; equal rows count once.  A document with several
+    labels counts as toxic if one says so.  Without labels of both classes
     the lexicon is empty and the weights are the prior.
     """
     with scope() as made:
@@ -229,10 +236,17 @@ def _fit(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> Model:
         docs.where(F.col("text").isNotNull())
         .select("doc_id", "text")
         .join(chosen, "doc_id")
-        .select("toxic", "text"),
+        .dropDuplicates(["doc_id", "text"])
+        .select("toxic", "text", (F.xxhash64("doc_id", "text") / 2.0**64 + 0.5).alias("place")),
         "toxicity-sample",
     )
     sizes = {row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()}
+    if max(sizes.values(), default=0) > 2 * rows_per_class:
+        # Some ids have very many texts: draw again, by row.
+        share = {toxic: rows_per_class / size for toxic, size in sizes.items()}
+        bound = F.when(F.col("toxic"), share.get(True, 1.0)).otherwise(share.get(False, 1.0))
+        rows = rows.where(F.col("place") < bound)
+        sizes = {row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model([], [], PRIOR.copy())
     terms, stems = _lexicon(rows, sizes[True], sizes[False])
@@ -242,7 +256,10 @@ def _fit(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> Model:
 
 
 def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Terms and stems that stand out among toxic rows, by counts of rows."""
+    """All terms and stems that stand out among toxic rows, by counts of rows.
+
+    Every entry is in ``SUPPORT`` rows of the bounded sample, which bounds their number.
+    """
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     words = rows.select("toxic", F.explode(found).alias("term")).where(
         F.length("term").between(3, 40)
@@ -282,22 +299,19 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], li
     chosen_stems = (
         per_row.join(stems.select("stem"), "stem")
         .where((lift >= LIFT) & (F.col("pos") >= SUPPORT) & (F.length("stem") >= low))
-        .orderBy(F.desc("pos"), "stem")
-        .limit(4 * TERMS)
+        .select("stem")
         .collect()
     )
-    kept: list[str] = []
+    known: set[str] = set()
     for stem in sorted((row.stem for row in chosen_stems), key=lambda s: (len(s), s)):
-        if not any(stem.startswith(other) for other in kept):
-            kept.append(stem)
+        if not any(stem[:n] in known for n in range(low, len(stem))):
+            known.add(stem)
+    kept = sorted(known)
     terms = (
-        counted.where((lift >= LIFT) & (F.col("pos") >= SUPPORT))
-        .orderBy(F.desc("pos"), "term")
-        .limit(TERMS)
-        .collect()
+        counted.where((lift >= LIFT) & (F.col("pos") >= SUPPORT)).select("term").collect()
     )
-    words_ = [r.term for r in terms if not any(r.term.startswith(stem) for stem in kept)]
-    return words_, kept
+    whole = sorted(row.term for row in terms)
+    return [t for t in whole if not any(t[:n] in known for n in range(low, high + 1))], kept
 
 
 def _weigh(rows: DataFrame, model: Model) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Quality rules, near duplicates, language ID and toxicity."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tacit.llm import langid, near_dup, quality, toxicity
 
@@ -272,6 +274,60 @@ def test_automaton_equals_edit_distance(word):
     assert automaton.judge(word) == want
 
 
+def test_automaton_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    automaton = toxicity.Automaton(["plainword", "other"], ["badd"])
+    for _ in range(3):
+        assert automaton.judge("plainwrd") == toxicity.MISSPELT
+        assert automaton.judge("other") == automaton.judge("baddest") == toxicity.EXACT
+        assert automaton.judge("p" * 100_000) == toxicity.NONE
+    assert len(automaton.states) < 100
+
+
+def plain_features(words, model):
+    """Counts of hits by a plain scan of terms, stems and the words around."""
+    counts = [0] * 4
+    for at, word in enumerate(words):
+        hits = set()
+        for part in re.findall(r"[^\W_]+", word.lower()):
+            if part in model.terms or any(part.startswith(stem) for stem in model.stems):
+                hits.add(toxicity.EXACT)
+            elif any(distance(part, t) <= toxicity.allowed(t) for t in model.terms):
+                hits.add(toxicity.MISSPELT)
+        if hits:
+            low = max(0, at - toxicity.CONTEXT)
+            around = words[low : at + toxicity.CONTEXT + 1]
+            counts[(0 if min(hits) == toxicity.EXACT else 2) + toxicity.quoted(around, at - low)] += 1
+    share = min(0.2, sum(counts) / max(1, len(words)))
+    return [math.log1p(c) for c in counts] + [10 * share]
+
+
+def test_features_of_toxicity_equal_a_plain_scan(spark, documents):
+    model = toxicity.Model(["moronic", "dolt", "plainwordy"], ["badd"], toxicity.PRIOR.copy())
+    rng = random.Random(4)
+    parts = ["moronic", "Moronc!", "dolt", "dolts", "baddish", "plainwrdy,", '"moronic"', "said", "fine"]
+    rows = [(0, None, None), (1, "", None), (2, "moronic", None), (3, "x" * 50_000 + " dolt", None)]
+    for i in range(4, 60):
+        rows.append((i, " ".join(rng.choice(parts + ["calm", "day"] * 4) for _ in range(30)), None))
+    found = {r.doc_id: r for r in toxicity.score(documents(rows), model).collect()}
+    for i, text, _ in rows:
+        features = plain_features((text or "").split(), model)
+        total = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features))
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+        assert found[i].predicted == int(found[i].score >= 0.5)
+
+
+def test_toxicity_sample_stays_bounded_where_one_id_has_many_texts(spark, documents):
+    rows = [(1, f"vile{'abcdefghij'[i % 10]} number {i}", None) for i in range(900)]
+    rows += [(i, "a calm day", None) for i in range(2, 300)] + [(1, "vilea number 0", None)] * 50
+    labels = spark.createDataFrame(
+        [(1, None, 1)] + [(i, None, 0) for i in range(2, 300)], "doc_id long, quality int, toxic int"
+    )
+    assert not documents([(1, "", None)]).where(langid.held_out(F.col("doc_id"))).count()
+    model = toxicity.fit(documents(rows), labels, rows_per_class=100)
+    assert "vile" in model.stems
+
+
 def test_automaton_finds_stems():
     automaton = toxicity.Automaton(["plainword"], ["badd"])
     assert automaton.judge("baddest") == toxicity.EXACT
