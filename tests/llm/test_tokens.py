@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import example, given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -82,6 +84,42 @@ def test_chunked_encoding_and_decoding(documents, reference, chunk, overlap):
         assert bytes(row.decoded) == (want[row.doc_id] or "").encode()
 
 
+HOSTILE = [
+    (1, "ab " * 60 + "x" * 90 + " cd" * 200, "en"),
+    (2, "12" * 700 + " the end", "en"),
+    (3, " " * 500 + "a" + "\n" * 300 + "don't " * 60, "en"),
+    (None, "ab " * 60 + "x" * 1000 + " cd" * 200 + "7" * 301 + " é" * 200, "fr"),
+    (5, "z" * 1500, "en"),
+    (6, None, "en"),
+    (6, "short", "en"),
+]
+
+
+@pytest.mark.parametrize("chunk, overlap", [(32_768, 1_024), (200, 30), (90, 10), (66, 12)])
+def test_overlaps_without_a_meeting(documents, reference, chunk, overlap):
+    """Also on the query's own path, which decodes short texts where they are encoded."""
+    docs = documents(HOSTILE + HOSTILE[:1])
+    made = byte_bpe.encode(docs, RANKS, chunk_chars=chunk, overlap_chars=overlap, decoded=True)
+    got = sorted((r.doc_id or 0, bytes(r.decoded), list(r.ids)) for r in made.collect())
+    rows = [(i or 0, (t or "").encode(), reference(t)) for i, t, _ in HOSTILE + HOSTILE[:1]]
+    assert got == sorted(rows)
+
+
+@pytest.mark.parametrize("chunk", [99, 100])
+def test_chunks_go_on_behind_an_overlap_without_a_meeting(documents, chunk):
+    text = "ab " * 30 + "x" * 250 + " cd" * 1000 + "1" * 400 + " ef" * 1000
+    key = [F.col("doc_id"), F.xxhash64("text").alias("_h"), F.length("text").alias("_n")]
+    found = byte_bpe._cuts(
+        documents([(1, text, "en")]).select(*key, "text"), public_tokenizers.PATTERN, chunk, 20
+    )
+    cuts = found.first().cuts
+    starts = {m.start() for m in regex.finditer(public_tokenizers.PATTERN, text)}
+    assert set(cuts) <= starts | {0} and cuts == sorted(set(cuts))
+    # Only the two runs, and what the last rounds took in with them, are longer than a chunk.
+    assert len(cuts) > len(text) / chunk - 16
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) < 1200
+
+
 def test_empty_tables(spark, documents):
     none = documents(ROWS).where("false")
     assert byte_bpe.encode(none, RANKS).count() == 0
