@@ -297,13 +297,15 @@ def plain_features(words, model):
         if hits:
             low = max(0, at - toxicity.CONTEXT)
             around = words[low : at + toxicity.CONTEXT + 1]
-            counts[(0 if min(hits) == toxicity.EXACT else 2) + toxicity.quoted(around, at - low)] += 1
+            shown = toxicity.quoted(around, at - low, model.reports)
+            counts[(0 if min(hits) == toxicity.EXACT else 2) + shown] += 1
     share = min(0.2, sum(counts) / max(1, len(words)))
     return [math.log1p(c) for c in counts] + [10 * share]
 
 
 def test_features_of_toxicity_equal_a_plain_scan(spark, documents):
-    model = toxicity.Model(["moronic", "dolt", "plainwordy"], ["badd"], toxicity.PRIOR.copy())
+    reports = frozenset(["said"])
+    model = toxicity.Model(["moronic", "dolt", "plainwordy"], ["badd"], toxicity.PRIOR.copy(), reports)
     rng = random.Random(4)
     parts = ["moronic", "Moronc!", "dolt", "dolts", "baddish", "plainwrdy,", '"moronic"', "said", "fine"]
     rows = [(0, None, None), (1, "", None), (2, "moronic", None), (3, "x" * 50_000 + " dolt", None)]
@@ -328,6 +330,33 @@ def test_toxicity_sample_stays_bounded_where_one_id_has_many_texts(spark, docume
     assert "vile" in model.stems
 
 
+def test_report_words_are_learned_from_clean_rows_with_hits(spark, documents):
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(1500):
+        words = speech(rng, "abcdefgh", 40).split()
+        toxic, at = i % 5 == 0, rng.randrange(4, 30)
+        if toxic:
+            words[at : at + 1] = ["Du", rng.choice(("alter", "ewiger")), "zorgolin"]
+        elif i % 50 == 1:
+            words[at : at + 1] = ["berichtete:", "du", "zorgolin"]
+        else:
+            words[at : at + 1] = ["du", "alter", "ewiger", *["berichtete"] * (i % 50 == 2)]
+        rows.append((i, " ".join(words), "de"))
+        marks.append((i, None, int(toxic)))
+    rows += [(2000, "er berichtete von zorgolin heute", "de"), (2001, "er ist ein zorgolin heute", "de")]
+    rows += [(2002, "berichtete", "de"), (2003, None, "de")]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(documents(rows), labels)
+    # "du" stands before hits of both kinds; the others only before abuse, or too rarely.
+    assert model.terms == ["zorgolin"] and model.reports == {"berichtete"}
+    found = {r.doc_id: r.score for r in toxicity.score(documents(rows), model).collect()}
+    assert found[2000] < found[2001] and found[2002] == found[2003]
+    # Without clean rows that have hits nothing is known to report.
+    plain = [r for r in rows if "berichtete" not in (r[1] or "")]
+    assert toxicity.fit(documents(plain), labels).reports == frozenset()
+
+
 def test_automaton_finds_stems():
     automaton = toxicity.Automaton(["plainword"], ["badd"])
     assert automaton.judge("baddest") == toxicity.EXACT
