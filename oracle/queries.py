@@ -235,6 +235,10 @@ def oracle_sql() -> dict[str, str]:
             | {"pairs": sql.pairs("inter", "distinct", "1.0 + user_idx % 3")},
         ),
         "sweep_users_split": one_step("user", 6),
+        "sweep_users_k16": one_step("user", 16),
+        "als_items_k16": one_step(
+            "item", 16, own=False, base=UNIFORM, method="solve", distribution="normal"
+        ),
         "fit_two_iterations": sql.query(
             MODEL | sql.fit("inter", 2, 2), sql.model_rows("p2", "q2", 2)
         ),

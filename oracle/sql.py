@@ -169,6 +169,24 @@ def solve2(side: str, systems: str) -> str:
     )
 
 
+def solve(side: str, systems: str, k: int) -> str:
+    """Elimination and back substitution for any number of factors."""
+    key = f"{side}_idx"
+    text = systems
+    for p in range(k - 1):
+        kept = [cell("a", f, g) for f, g in upper(k) if f <= p] + [f"b{f}" for f in range(p + 1)]
+        less = [
+            f"a{f}_{g} - a{p}_{f} * a{p}_{g} / a{p}_{p} AS a{f}_{g}" for f, g in upper(k) if f > p
+        ]
+        less += [f"b{f} - a{p}_{f} * b{p} / a{p}_{p} AS b{f}" for f in range(p + 1, k)]
+        text = f"(SELECT {key}, {', '.join(kept + less)} FROM {text})"
+    for p in reversed(range(k)):
+        minus = "".join(f" - a{p}_{g} * y{g}" for g in range(p + 1, k))
+        text = f"(SELECT *, (b{p}{minus}) / a{p}_{p} AS y{p} FROM {text})"
+    done = ", ".join(f"CAST(CAST(y{f} AS FLOAT) AS DOUBLE) AS x{f}" for f in range(k))
+    return f"SELECT {key}, {done} FROM {text}"
+
+
 def half_step(
     name: str,
     side: str,
@@ -185,7 +203,7 @@ def half_step(
         f"{name}_a": system(side, "pairs", vectors, "conf", f"{name}_s", k, lam),
     }
     if method == "solve":
-        parts[name] = solve2(side, f"{name}_a")
+        parts[name] = solve2(side, f"{name}_a") if k == 2 else solve(side, f"{name}_a", k)
     else:
         parts[name] = sweep(side, f"{name}_a", k, own)
     return parts

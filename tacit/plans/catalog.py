@@ -383,6 +383,22 @@ def sweep_users_split(spark, sf_dir):
     return long_factors(sweep_users(s.data, s.q, s.c, options, s.p), "user_idx")
 
 
+@registered
+def sweep_users_k16(spark, sf_dir):
+    """Sixteen factors, warm."""
+    s = Setup(spark, sf_dir, 16)
+    options = FitOptions(k=16, on_duplicate="distinct")
+    return long_factors(sweep_users(s.data, s.q, s.c, options, s.p), "user_idx")
+
+
+@registered
+def als_items_k16(spark, sf_dir):
+    """Exact solves with sixteen factors."""
+    s = Setup(spark, sf_dir, 16, "normal")
+    options = FitOptions(k=16, on_duplicate="distinct")
+    return long_factors(als_items(s.data, s.p, options), "item_idx")
+
+
 @registered
 def sweep_items_split(spark, sf_dir):
     """Every item of more than 16 pairs split into chunks."""

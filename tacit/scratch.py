@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -56,8 +57,8 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-# Tables of the open scopes, innermost last.
-_open: list[list[Stored]] = []
+# Tables of the open scopes, innermost last; every thread has scopes of its own.
+_open: ContextVar[tuple[list[Stored], ...]] = ContextVar("tacit_scopes", default=())
 
 
 @contextmanager
@@ -67,7 +68,7 @@ def scope():
     Where the block fails, its tables are dropped.
     """
     made: list[Stored] = []
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield made
     except BaseException:
@@ -76,7 +77,7 @@ def scope():
         made.clear()
         raise
     finally:
-        _open.pop()
+        _open.reset(token)
 
 
 def release(made: list[Stored], *kept: DataFrame) -> None:
@@ -89,8 +90,8 @@ def release(made: list[Stored], *kept: DataFrame) -> None:
     for table in made:
         if re.sub(r"^file:/+", "/", table.path) not in folders:
             table.drop()
-        elif _open:
-            _open[-1].append(table)
+        elif _open.get():
+            _open.get()[-1].append(table)
     made.clear()
 
 
@@ -102,8 +103,8 @@ def store(df: DataFrame, name: str) -> Stored:
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     # A plan that proves empty while it runs may skip the count.
     made = Stored(spark.read.schema(df.schema).parquet(path), path, seen.get.get("rows", 0))
-    if _open:
-        _open[-1].append(made)
+    if _open.get():
+        _open.get()[-1].append(made)
     return made
 
 

@@ -21,6 +21,7 @@ CHECKED = [
     "item_history",
     "split_loo_train",
     "sweep_users_split",
+    "als_items_k16",
     "fit_cold_normal",
     "als_fit_two_iterations",
     "ranked_candidates",
