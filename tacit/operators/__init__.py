@@ -5,6 +5,7 @@ from tacit.operators.evaluation import (
     negative_lists,
     prediction_error,
     rank_candidates,
+    rank_drawn,
     rank_gains,
     rank_lists,
     ranking_metrics,
@@ -43,6 +44,7 @@ __all__ = [
     "prediction_error",
     "random_split",
     "rank_candidates",
+    "rank_drawn",
     "rank_gains",
     "rank_lists",
     "ranking_metrics",
