@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tacit.operators import layout, leave_one_out, scoring
+from tacit.operators import evaluation, layout, leave_one_out, negative_lists, scoring
 
 
 @pytest.mark.parametrize("k,storage", [(2, "float"), (16, "float"), (128, "double")])
@@ -24,7 +24,7 @@ def test_item_rows_of_a_block():
 
 
 def test_hidden_rows_are_found_once(spark):
-    """Train reads the stored hidden rows, and counting copies needs no sort."""
+    """Train reads the stored hidden rows."""
     df = spark.range(600).selectExpr(
         "cast(id % 20 as int) user_idx", "cast((id * id + id) % 37 as int) item_idx",
         "cast(if(id % 7 = 0, null, id % 3) as float) rating")
@@ -36,3 +36,19 @@ def test_hidden_rows_are_found_once(spark):
     got = test.join(rated, ["user_idx", "item_idx"]).where(~F.col("rating").eqNullSafe(F.col("r.rating")))
     assert got.count() == 0 and test.count() == 20
     assert test.where("rating is null").count() > 0
+
+
+def test_seen_pairs_are_dealt_to_all_tasks_before_they_are_made_distinct(spark, monkeypatch):
+    plans = {}
+    real = evaluation.materialize
+
+    def record(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(evaluation, "materialize", record)
+    seen = spark.range(200).selectExpr("cast(id % 9 as int) user_idx", "cast(id % 40 as int) item_idx")
+    items = spark.range(60).selectExpr("cast(id as int) item_idx")
+    negative_lists(seen.limit(5), items, 3, mode="unseen", seen=seen)
+    top = plans["seen"].splitlines()
+    assert "Aggregate" in top[0] and "RepartitionByExpression" in top[1]
