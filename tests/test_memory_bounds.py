@@ -1,9 +1,11 @@
 """Sizes that bound what a task holds, whatever the size of the tables."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tacit.operators import evaluation, layout, leave_one_out, negative_lists, scoring
+from tacit.operators import evaluation, layout, leave_one_out, negative_lists, scoring, updates
 
 
 @pytest.mark.parametrize("k,storage", [(2, "float"), (16, "float"), (128, "double")])
@@ -52,3 +54,43 @@ def test_seen_pairs_are_dealt_to_all_tasks_before_they_are_made_distinct(spark,
     negative_lists(seen.limit(5), items, 3, mode="unseen", seen=seen)
     top = plans["seen"].splitlines()
     assert "Aggregate" in top[0] and "RepartitionByExpression" in top[1]
+
+
+def test_histories_are_packed_by_block():
+    """A row per entity (or chunk, or weight), without a list aggregate over all pairs."""
+    pairs = pa.table({
+        "block": pa.array([3] * 6, pa.int32()),
+        "item_idx": pa.array([5, 2, 5, 2, 5, 9], pa.int32()),
+        "user_idx": pa.array([1, 4, 0, 7, 2, None], pa.int32()),
+        "n": [1.0, 1.0, 2.0, 1.0, 1.0, 1.0],
+        "w": [1.0] * 6,
+        "wr": [1.0] * 6,
+        "c": [0.5, 0.25, 0.5, 0.25, 0.75, 0.5],
+    })
+    got = layout.pack_histories("item_idx", "user_idx", "int32")(pairs)
+    assert got.column("item_idx").to_pylist() == [2, 5, 5, 9]
+    assert got.column("c").to_pylist() == [0.25, 0.5, 0.75, 0.5]
+    lengths, others = layout.from_bytes(got.column("others"), "int32")
+    assert lengths.tolist() == [2, 2, 1, 1] and others.tolist()[:5] == [4, 7, 1, 0, 2]
+    assert updates.numbers_of(got.column("n"), lengths).tolist() == [1.0, 1.0, 1.0, 2.0, 1.0, 1.0]
+
+
+def test_messages_are_rows_of_many_vectors(spark):
+    """A row per batch and block, not per vector; no element goes through the JVM by itself."""
+    data = spark.range(6000).selectExpr(
+        "cast(id % 300 as int) user_idx", "cast(id * 7 % 500 as int) item_idx", "1D n", "1D w", "1D wr", "0.5D c_i")
+    made = layout.build_layout(data, 6000, "user", 1 << 14)
+    try:
+        assert not [kind for _, kind in made.histories.dtypes + made.routes.dtypes if kind.startswith("array")]
+        vectors = spark.range(500).selectExpr("cast(id as int) item_idx", "array(float(id), 1F) factors", "0.5D c_i")
+        kinds = updates.message_kinds(made, vectors, None)
+        got = updates.messages(made, vectors, None, kinds).toArrow()
+        counts, ids = layout.from_bytes(got.column("ids"), kinds[0])
+        sent = set(zip(np.repeat(got.column("block").to_numpy(), counts).tolist(), ids.tolist()))
+        home = data.select(made.home(F.col("user_idx")), "item_idx").distinct().collect()
+        assert sent == {tuple(row) for row in home} and len(ids) == len(sent)
+        assert got.num_rows < len(ids) / 4
+        first = layout.from_bytes(got.column("factors"), kinds[1])[1].reshape(-1, 2)[:, 0]
+        assert (first == ids).all()
+    finally:
+        made.release()
