@@ -102,3 +102,31 @@ def test_grid_sends_few_vectors():
     assert sent(36_000_000, 900_000, 1_200_000, 32) < 36_000_000
     # Six times the pairs, and no pair's vector is sent for itself.
     assert sent(216_000_000, 5_400_000, 7_200_000, 32) < 216_000_000
+
+
+def test_grid_of_small_blocks_sends_items_once():
+    """Vectors sent grow no faster than the pairs; a cell's users are those of its pairs."""
+
+    class Session:
+        class sparkContext:
+            defaultParallelism = 12
+
+    n_pairs, n_users, n_items = 216_000_000, 5_400_000, 7_200_000
+    assert scoring._grid(Session, n_pairs, n_users, n_items, 32, 100_000, 4)[0] == 1
+
+    def per_pair(times):
+        sizes = [n * times // 6 for n in (n_pairs, n_users, n_items)]
+        chunks, blocks = scoring._grid(Session, *sizes, 32, scoring.BLOCK_BYTES, 4)
+        return (sizes[1] * blocks + sizes[2] * chunks) / sizes[0]
+
+    assert per_pair(6) < 0.6
+
+
+def test_crowded_block_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CELL_PAIRS", 50)
+    rows = [(u, i) for u in range(400) for i in {7, u % 20}]
+    pairs = spark.createDataFrame(rows, "user_idx int, item_idx int")
+    users = spark.createDataFrame([(u, [u + 0.5, 1.0]) for u in range(400)], "user_idx int, factors array<float>")
+    items = spark.createDataFrame([(i, [1.0, i + 0.25]) for i in range(20)], "item_idx int, factors array<float>")
+    got = scoring.score_pairs(pairs, users, items, broadcast_bytes=0, block_bytes=16)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((u, i, u + i + 0.75) for u, i in rows)
