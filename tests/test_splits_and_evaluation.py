@@ -310,3 +310,27 @@ def test_first_rows_of_hundreds_of_thousands(spark):
     assert got.where("n = 1").agg(F.max("user_idx")).first()[0] == 288_888
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "SinglePartition" not in plan
+
+
+def test_rmse_coverage_draws_once(monkeypatch):
+    """Both parts of the split are stored; their readers do not draw again."""
+    from tacit.plans import catalog
+
+    seen = []
+
+    class Part:
+        pass
+
+    monkeypatch.setattr(catalog, "interactions", lambda *_: Part())
+    monkeypatch.setattr(catalog, "random_split", lambda *_: ("drawn train", "drawn test"))
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: f"stored {name}")
+    monkeypatch.setattr(catalog, "item_popularity", lambda df: seen.append(df))
+
+    def stop(df, *_):
+        seen.append(df)
+        raise StopIteration
+
+    monkeypatch.setattr(catalog, "fit", stop)
+    with pytest.raises(StopIteration):
+        catalog.rmse_coverage(None, "")
+    assert seen == ["stored train", "stored train"]
