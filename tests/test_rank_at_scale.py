@@ -1,14 +1,18 @@
 """Ranking of many cases: no list of negatives is broadcast, stored without need or named row by row."""
 
+import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tacit.functions import draw
+
 from tacit.operators import (
     evaluate, negative_lists, rank_drawn, rank_lists, score_pairs,
 )
-from tacit.operators import evaluation, scoring
+from tacit.operators import drawn, evaluation, scoring
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +134,46 @@ def test_crowded_block_is_cut(spark, monkeypatch):
     items = spark.createDataFrame([(i, [1.0, i + 0.25]) for i in range(20)], "item_idx int, factors array<float>")
     got = scoring.score_pairs(pairs, users, items, broadcast_bytes=0, block_bytes=16)
     assert sorted(tuple(r) for r in got.collect()) == sorted((u, i, u + i + 0.75) for u, i in rows)
+
+
+def test_draws_in_cells_are_draws_of_columns(spark):
+    """Ids of several lengths, negative ones and such as make a message longer than a block."""
+    pairs = [(0, 7), (12, 345), (2_000_000, 7_199_999), (-3, 12), (10**17, -(10**18) + 1), (-(2**63), 2**63 - 1)]
+    df = spark.createDataFrame([(u, i, j) for u, i in pairs for j in (0, 9, 10, 99, 100)], "u long, i long, j int")
+    want = {tuple(r[:3]): r[3] for r in df.select("*", draw(F.col("u"), F.col("i"), F.col("j"), seed=42)).collect()}
+    for u, i in pairs:
+        got = drawn.draw_heads(pa.array([f"{u}|{i}|"] * 2), 101, 42)
+        assert [got[1, j] for j in (0, 9, 10, 99, 100)] == [want[u, i, j] for j in (0, 9, 10, 99, 100)]
+    keys = pa.array(["x", "5|66|", "7|88|"])[1:]
+    made = drawn.draw_heads(keys, 1200, 3)
+    assert made.tolist() == [
+        [int(hashlib.md5(f"{key}{j}|3".encode()).hexdigest()[:8], 16) for j in range(1200)] for key in keys.to_pylist()
+    ]
+
+
+@pytest.mark.parametrize("n", [0, 1, 99])
+@pytest.mark.parametrize("step", [1, 2])
+def test_ranks_in_parts_and_small_groups(spark, model, monkeypatch, step, n):
+    """Several parts, blocks and groups give the ranks of the listed draws."""
+    p, test = model
+    q = items(spark, step)
+    cases = test.select("user_idx", F.col("item_idx").alias("true_item")).distinct()
+    want = rows(rank_lists(cases, negative_lists(test, q, n), p, q))
+    for name, value in (("PART_BYTES", 240), ("GROUP_DRAWS", 300), ("SLICE_ELEMENTS", 64), ("CELL_DRAWS", 900)):
+        monkeypatch.setattr(drawn, name, value)
+    assert rows(rank_drawn(test, p, q, n, block_bytes=48)) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("block", [24, 1 << 20])
+def test_no_shuffle_carries_draws(spark, model, block):
+    """A case travels as one row with its user's vector, whatever the number of its draws."""
+    p, test = model
+    plan = rank_drawn(test, p, items(spark, 1), 99, block_bytes=block)._jdf.queryExecution().optimizedPlan()
+    assert "negatives" not in plan.toString() and "array<int>" not in plan.toString()
+
+
+def test_nan_is_an_error_in_cells(spark, model):
+    p, test = model
+    q = items(spark, 1).withColumn("factors", F.expr("if(item_idx = 3, array(float('nan'), 1f, 1f), factors)"))
+    with pytest.raises(Exception, match="score is NaN"):
+        rank_drawn(test.where("item_idx <> 3"), p, q, 99, broadcast_bytes=0).collect()
