@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tacit.operators import evaluation, layout, leave_one_out, negative_lists, scoring, updates
+from tacit.operators import evaluation, layout, leave_one_out, negative_lists, rank_drawn, scoring, updates
 
 
 @pytest.mark.parametrize("k,storage", [(2, "float"), (16, "float"), (128, "double")])
@@ -94,3 +94,30 @@ def test_messages_are_rows_of_many_vectors(spark):
         assert (first == ids).all()
     finally:
         made.release()
+
+
+def test_tables_of_millions_of_short_rows_are_not_broadcast(spark, monkeypatch):
+    """The driver builds a broadcast, and a short row costs it several times its elements."""
+    sizes = (3_000_000, 3_250_000, 2)
+    monkeypatch.setattr(scoring, "table_sizes", lambda users, items: sizes)
+    monkeypatch.setattr(evaluation, "table_sizes", lambda users, items: sizes, raising=False)
+    stored, real = [], evaluation.store
+
+    def record(df, name):
+        made = real(df, name)
+        if name == "places":
+            # Numbering broadcasts a row per task.
+            made.rows = sizes[1]
+        else:
+            stored.append(df)
+        return made
+
+    monkeypatch.setattr(evaluation, "store", record)
+    users = spark.range(30).selectExpr("cast(id as int) user_idx", "array(1f, cast(id as float)) factors")
+    items = spark.range(30).selectExpr("cast(id * 2 as int) item_idx", "array(cast(id as float), 1f) factors")
+    test = spark.range(30).selectExpr("cast(id as int) user_idx", "cast(id * 4 % 60 as int) item_idx")
+    # The ranks are planned only: their places are those of the sizes above.
+    plans = [rank_drawn(test, users, items), scoring.score_pairs(test, users, items), *stored]
+    assert len(stored) == 1
+    for df in plans:
+        assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()
