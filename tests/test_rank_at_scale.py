@@ -177,3 +177,18 @@ def test_nan_is_an_error_in_cells(spark, model):
     q = items(spark, 1).withColumn("factors", F.expr("if(item_idx = 3, array(float('nan'), 1f, 1f), factors)"))
     with pytest.raises(Exception, match="score is NaN"):
         rank_drawn(test.where("item_idx <> 3"), p, q, 99, broadcast_bytes=0).collect()
+
+
+def test_small_blocks_bring_no_row_per_draw(spark, model, monkeypatch):
+    """Blocks of two items: stored rows are cases or items, never a case times its blocks."""
+    p, test = model
+    q, counts = items(spark, 1), {}
+    for module in (scoring, evaluation):
+        def record(df, name, real=module.store):
+            made = real(df, name)
+            counts[name] = max(made.rows, counts.get(name, 0))
+            return made
+
+        monkeypatch.setattr(module, "store", record)
+    got = rank_drawn(test, p, q, 99, broadcast_bytes=0, block_bytes=24)
+    assert got.count() > 100 and max(counts.values()) <= test.distinct().count()
